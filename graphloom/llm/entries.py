@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
+from graphloom.llm.decontam import contained_items
+from graphloom.llm.exact_dedup import exact_groups
+from graphloom.llm.simhash import near_components
 from graphloom.llm.substring_dedup import dedup_words
 from graphloom.llm.suffix_dedup import dedup_bytes
 
@@ -19,10 +22,25 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_decontam": op4_decontam,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_simhash": op6_simhash,
     }
 
 
@@ -38,5 +56,21 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+size AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+hit AS (SELECT doc_id, item_id, count(*) AS m FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS n_shingles, m AS n_shared, round(m / n, 6) AS containment FROM hit JOIN size USING (item_id) WHERE m * 5 >= n * 4
+"""
+
+_OP5 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1}
+    return {"op1_substring_dedup": _OP1, "op4_decontam": _OP4, "op5_exact_dedup": _OP5}
