@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm.common import table
 from graphloom.llm.decontam import contained_items
 from graphloom.llm.exact_dedup import exact_groups
+from graphloom.llm.packing import pack_documents
 from graphloom.llm.simhash import near_components
 from graphloom.llm.substring_dedup import dedup_words
 from graphloom.llm.suffix_dedup import dedup_bytes
+from graphloom.llm.token_counts import count_tokens
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -41,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontam": op4_decontam,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
+        "op7_token_counts": op7_token_counts,
+        "op10_packing": op10_packing,
     }
 
 
