@@ -22,7 +22,7 @@ from graphloom.llm.common import real_id
 from graphloom.llm.windows import remove_repeats, runs_of, union_length
 
 #: Bytes of a string, of the grams whose least hash is its minimiser, and of a shard.
-STRING_BYTES, GRAM_BYTES, SHARD_BYTES = 50, 14, 1 << 20
+STRING_BYTES, GRAM_BYTES, SHARD_BYTES = 50, 20, 1 << 20
 
 _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 _DIGEST = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

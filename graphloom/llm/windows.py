@@ -4,9 +4,12 @@ A window is `width` consecutive units (words or bytes) of one text. The least ha
 depends on the window's content alone, so equal windows have equal minimisers. Consecutive windows of a text with one minimiser overlap
 in all but a unit each; they travel as one packed string to the bucket that the minimiser names, where all copies of each window meet.
 
-Hot content is settled before it travels: of equal packed strings in one chunk of texts only those of the smallest id go on, as all
-others have a smaller id beside them already. The bucket's owner does the same with its stream of chunks, so memory follows the distinct
-strings of a bucket, never the copies.
+A string whose minimiser no other id has cannot hold a repeated window. So minimisers (32 bits of them) are matched first, and only
+strings with a shared one travel: text that nothing repeats costs a few bytes for each super-k-mer.
+
+Hot content is settled before it travels: of equal minimisers or packed strings in one chunk of texts only one goes on (of strings, that
+of the smallest id), as all others are known to have an equal beside them. The bucket's owner does the same with its stream of chunks, so
+memory follows the distinct strings of a bucket, never the copies.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphloom.llm.common import (
     BYTE_VALUES,
@@ -28,13 +30,12 @@ from graphloom.llm.common import (
     pack,
     partitions_for,
     row_batch,
-    shared_path,
-    shuffle_partitions,
     sliding_min,
     span_hashes,
     unpack,
     word_bounds,
 )
+from graphloom.session import shared_path
 
 #: Bytes of text worked on at once in numpy, and those whose packed strings go out together.
 CHUNK_BYTES, FLUSH_BYTES = 1 << 20, 8 << 20
@@ -51,40 +52,51 @@ _STRING = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
 _CUT = (np.int64, np.int64, np.int32, np.int32)
 
 
-def super_kmers(texts: list[bytes], unit: str, width: int, gram: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(index of the text, first unit, windows, minimiser, packed string) of each super-k-mer."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    joint = b"\n" if unit == "word" else b""
-    data = joint.join(texts) + joint
-    buf = np.frombuffer(data, np.uint8)
-    firsts = np.concatenate([[0], np.cumsum(sizes + len(joint))])
-    if unit == "word":
-        starts, ends = word_bounds(buf)
-        owner = np.searchsorted(firsts, starts, "right") - 1
-        values = span_hashes(BYTE_VALUES[buf], starts, ends)
-        base = np.searchsorted(starts, firsts)
-    else:
-        starts, ends, owner, values, base = None, None, np.repeat(np.arange(len(texts)), sizes), BYTE_VALUES[buf], firsts
-    n = len(values)
-    if n < width:
-        return
-    at = np.arange(n - gram + 1)
-    least = sliding_min(span_hashes(values, at, at + gram), width - gram + 1)
-    valid = owner[: len(least)] == owner[width - 1 : width - 1 + len(least)]
-    new = np.ones(len(least), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (owner[1 : len(least)] != owner[: len(least) - 1])
-    heads = np.flatnonzero(new & valid)
-    stops = np.concatenate([np.flatnonzero(new), [len(least)]])
-    stops = stops[np.searchsorted(stops, heads, "right")]
-    # a run of windows of one text is valid up to its last whole window
-    last = base[owner[heads] + 1] - width + 1
-    stops = np.minimum(stops, last)
-    for h, s, o, m in zip(heads.tolist(), stops.tolist(), owner[heads].tolist(), least[heads].tolist()):
-        b = int(base[o])
-        while h < s:
-            e = min(s, h + MOST_WINDOWS)
-            yield o, h - b, e - h, m, data[h : e + width - 1] if unit == "byte" else data[starts[h] : ends[e + width - 2]]
-            h = e
+class SuperKmers:
+    """The super-k-mers of some texts: owner (index of the text), first unit, end (after the last window's first unit), minimiser."""
+
+    def __init__(self, texts: list[bytes], unit: str, width: int, gram: int):
+        self.width = width
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        joint = b"\n" if unit == "word" else b""
+        self.data = joint.join(texts) + joint
+        buf = np.frombuffer(self.data, np.uint8)
+        firsts = np.concatenate([[0], np.cumsum(sizes + len(joint))])
+        self.starts = self.ends = None
+        if unit == "word":
+            self.starts, self.ends = word_bounds(buf)
+            owner = np.searchsorted(firsts, self.starts, "right") - 1
+            values = span_hashes(BYTE_VALUES[buf], self.starts, self.ends)
+            self.base = np.searchsorted(self.starts, firsts)
+        else:
+            owner, values, self.base = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), BYTE_VALUES[buf], firsts
+        n = len(values)
+        if n < width:
+            self.owner = self.heads = self.stops = np.zeros(0, dtype=np.int64)
+            self.minimiser = np.zeros(0, dtype=np.uint64)
+            return
+        at = np.arange(n - gram + 1)
+        least = sliding_min(span_hashes(values, at, at + gram), width - gram + 1)
+        m = len(least)
+        new = np.ones(m, dtype=bool)
+        new[1:] = (least[1:] != least[:-1]) | (owner[1:m] != owner[: m - 1])
+        runs = np.flatnonzero(new)
+        whole = owner[runs] == owner[runs + width - 1]
+        stops = np.append(runs[1:], m)[whole]
+        self.heads = runs[whole]
+        self.owner = owner[self.heads].astype(np.int64)
+        # a run of windows of one text is valid up to the text's last whole window
+        self.stops = np.minimum(stops, self.base[self.owner + 1] - width + 1)
+        self.minimiser = least[self.heads]
+
+    def strings(self, some: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(owner, first unit, windows, minimiser, packed string) of some super-k-mers."""
+        owner = self.owner[some]
+        for h, s, o, b, m in zip(self.heads[some].tolist(), self.stops[some].tolist(), owner.tolist(), self.base[owner].tolist(), self.minimiser[some].tolist()):
+            while h < s:
+                e = min(s, h + MOST_WINDOWS)
+                yield o, h - b, e - h, m, self.data[h : e + self.width - 1] if self.starts is None else self.data[self.starts[h] : self.ends[e + self.width - 2]]
+                h = e
 
 
 class _Strings:
@@ -135,26 +147,101 @@ def _dealt(bucket: np.ndarray, kind: int, arrays: list[np.ndarray], strings: lis
         yield row_batch(_SENT, *rows)
 
 
+def _minimisers(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n_buckets: int, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Minimisers to their buckets (kind 1); those that several ids of a chunk have, to the buckets of the documents (kind 0)."""
+
+    def flush(minimiser: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ids, minimiser))
+        minimiser, ids = minimiser[order], ids[order]
+        new = np.concatenate([[True], (minimiser[1:] != minimiser[:-1]) | (ids[1:] != ids[:-1])])
+        minimiser, ids = minimiser[new], ids[new]
+        heads = np.flatnonzero(np.concatenate([[True], minimiser[1:] != minimiser[:-1]]))
+        sizes = np.diff(heads, append=len(minimiser))
+        many = sizes > 1
+        inside = np.repeat(many, sizes)
+        yield from _replies(minimiser[inside].astype(np.uint32), ids[inside], n_doc_buckets)
+        order = np.argsort(ids[heads], kind="stable")
+        heads, many = heads[order], many[order]
+        yield from _dealt(_bucket_of(minimiser[heads], n_buckets), 1, [minimiser[heads].astype(np.uint32), many, ids[heads]])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for texts, cols in chunks(batches, CHUNK_BYTES):
+        found = SuperKmers(texts, unit, width, gram)
+        held.append((found.minimiser, cols["id"][found.owner]))
+        size += sum(map(len, texts))
+        if size >= FLUSH_BYTES:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if held:
+        yield from flush(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _bucket_of(minimiser: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix(minimiser) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _replies(minimiser: np.ndarray, ids: np.ndarray, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(ids, kind="stable")
+    yield from _dealt(ids[order] % n_doc_buckets, 0, [minimiser[order], ids[order]])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """The owner of minimisers: tells the documents which of theirs another id has too."""
+    for _, rows in by_bucket(batches):
+        parts = [unpack(payload, np.uint32, np.bool_, np.int64)[:3] for _, payload in rows]
+        minimiser, many, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, minimiser))
+        minimiser, many, ids = minimiser[order], many[order], ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], minimiser[1:] != minimiser[:-1]]))
+        sizes = np.diff(heads, append=len(minimiser))
+        shared = np.repeat((ids[heads] != ids[heads + sizes - 1]) | np.logical_or.reduceat(many, heads), sizes) & ~many
+        # an entry of many ids stands for its smallest, which its chunk has told already
+        yield from _replies(minimiser[shared], ids[shared], n_doc_buckets)
+
+
 def _send(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n_buckets: int, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 1 go to minimiser buckets, rows of kind 0 (settled removals) to buckets of documents."""
+    """From documents' buckets (kind 0 shared minimisers, then kind 1 texts): strings (kind 1), and settled removals (kind 0)."""
 
     def flush(strings: _Strings) -> Iterator[pa.RecordBatch]:
         flat = [(s, p) for s, ps in strings.places.items() for p in ps]
         if flat:
             mini = np.array([p[0] for _, p in flat], dtype=np.uint64)
             cols = [np.array([p[k] for _, p in flat], dtype=_STRING[k]) for k in range(1, 5)]
-            yield from _dealt((mix(mini) % np.uint64(n_buckets)).astype(np.int64), 1, [mini, *cols, np.array([len(s) for s, _ in flat], dtype=np.int32)], [s for s, _ in flat])
+            yield from _dealt(_bucket_of(mini, n_buckets), 1, [mini, *cols, np.array([len(s) for s, _ in flat], dtype=np.int32)], [s for s, _ in flat])
         yield from _cut_rows(strings.cuts, n_doc_buckets)
 
-    strings, size = _Strings(width), 0
-    for texts, cols in chunks(batches, CHUNK_BYTES):
-        ids, keys = cols["id"].tolist(), cols["key"].tolist()
-        for o, first, windows, mini, string in super_kmers(texts, unit, width, gram):
-            strings.add(string, (mini, ids[o], keys[o], first, windows))
-        size += sum(map(len, texts))
-        if size >= FLUSH_BYTES:
-            yield from flush(strings)
-            strings, size = _Strings(width), 0
+    strings = _Strings(width)
+    for _, rows in by_bucket(batches):
+        told: list[tuple[np.ndarray, np.ndarray]] = []
+        known = None
+        for kind, payload in rows:
+            if kind == 0:
+                told.append(unpack(payload, np.uint32, np.int64)[:2])
+                continue
+            if known is None:
+                minis, owners = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                order = np.argsort(owners, kind="stable")
+                minis, owners = minis[order], owners[order]
+                known = True
+            ids, keys, sizes, data = unpack(payload, np.int64, np.int64, np.int64)
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(ids):
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNK_BYTES, "right")))
+                texts = [data[e - z : e] for e, z in zip(ends[at:stop].tolist(), sizes[at:stop].tolist())]
+                own = ids[at:stop]
+                a, b = np.searchsorted(owners, own, "left"), np.searchsorted(owners, own, "right")
+                allowed = np.concatenate([np.int64(k) << 32 | minis[x:y].astype(np.int64) for k, (x, y) in enumerate(zip(a.tolist(), b.tolist()))])
+                if len(allowed):
+                    found = SuperKmers(texts, unit, width, gram)
+                    some = np.isin(found.owner << 32 | found.minimiser.astype(np.uint32).astype(np.int64), allowed)
+                    for o, first, windows, mini, string in found.strings(np.flatnonzero(some)):
+                        strings.add(string, (mini, int(own[o]), int(keys[at + o]), first, windows))
+                at = stop
+                if strings.bytes >= FLUSH_BYTES:
+                    yield from flush(strings)
+                    strings = _Strings(width)
     yield from flush(strings)
 
 
@@ -248,19 +335,28 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
     spark, own = docs.sparkSession, keyed(docs)
     n_buckets = partitions_for(docs, BUCKET_BYTES)
     n_doc_buckets = 2 * n_buckets
-    sent = shared_path(spark, "cuts")
-    found = own.mapInArrow(partial(_send, unit=unit, width=width, gram=gram, n_buckets=n_buckets, n_doc_buckets=n_doc_buckets), _SENT_DDL)
-    # settled removals pass through the owners' exchange beside the strings: each has its own bucket space
-    spread = found.repartition(n_buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    spread.mapInArrow(partial(_own_or_pass, width=width, n_doc_buckets=n_doc_buckets, repeated=repeated), _SENT_DDL).write.parquet(sent)
-    cuts = spark.read.schema(_SENT_DDL).parquet(sent)
+    grams = {"unit": unit, "width": width, "gram": gram, "n_buckets": n_buckets, "n_doc_buckets": n_doc_buckets}
+
+    def exchanged(rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition(n_buckets, *order[: 2 if order[0] == "kind" else 1]).sortWithinPartitions(*order)
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(_SENT_DDL).parquet(path)
+
+    # rows of kind 0 are for documents' buckets and pass the owners of kind 1 by
+    minimisers = exchanged(own.mapInArrow(partial(_minimisers, **grams), _SENT_DDL), "kind", "bucket")
+    shared = written(minimisers.mapInArrow(partial(_own_or_pass, own=partial(_shared, n_doc_buckets=n_doc_buckets)), _SENT_DDL), "shared")
     texts = own.mapInArrow(partial(_texts, n_doc_buckets=n_doc_buckets), _SENT_DDL)
-    together = cuts.unionByName(texts).repartition(max(n_buckets, shuffle_partitions(spark)), "bucket").sortWithinPartitions("bucket", "kind")
-    return together.mapInArrow(partial(_finish, result=result, schema=schema), ddl)
+    strings = exchanged(shared.unionByName(texts), "bucket", "kind").mapInArrow(partial(_send, **grams), _SENT_DDL)
+    owners = partial(_own, width=width, n_doc_buckets=n_doc_buckets, repeated=repeated)
+    cuts = written(exchanged(strings, "kind", "bucket").mapInArrow(partial(_own_or_pass, own=owners), _SENT_DDL), "cuts")
+    return exchanged(cuts.unionByName(texts), "bucket", "kind").mapInArrow(partial(_finish, result=result, schema=schema), ddl)
 
 
-def _own_or_pass(batches: Iterator[pa.RecordBatch], width: int, n_doc_buckets: int, repeated: Callable) -> Iterator[pa.RecordBatch]:
-    """Settled removals (kind 0, first in the order) pass; strings (kind 1) are worked on."""
+def _own_or_pass(batches: Iterator[pa.RecordBatch], own: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 (first in the order) pass; those of kind 1 go through own()."""
     import pyarrow.compute as pc
 
     def strings():
@@ -275,7 +371,7 @@ def _own_or_pass(batches: Iterator[pa.RecordBatch], width: int, n_doc_buckets: i
                 yield b
 
     passed: list[pa.RecordBatch] = []
-    for out in _own(strings(), width, n_doc_buckets, repeated):
+    for out in own(strings()):
         yield from passed
         passed.clear()
         yield out
