@@ -142,12 +142,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, by one running sum."""
+def span_hashes(values: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray | list[np.ndarray]:
+    """A 64-bit hash of values[start:end] for each span, by one running sum; for several arrays of ends, a list."""
     up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    begun, scale = total[starts], down[starts]
+    out = [mix((total[e] - begun) * scale + (e - starts).astype(np.uint64)) for e in ends]
+    return out[0] if len(out) == 1 else out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

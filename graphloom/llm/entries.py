@@ -10,16 +10,22 @@ from graphloom.llm.common import table
 from graphloom.llm.decontam import contained_items
 from graphloom.llm.exact_dedup import exact_groups
 from graphloom.llm.packing import pack_documents
+from graphloom.llm.quality import quality_scores
 from graphloom.llm.simhash import near_components
 from graphloom.llm.substring_dedup import dedup_words
 from graphloom.llm.suffix_dedup import dedup_bytes
 from graphloom.llm.token_counts import count_tokens
+from graphloom.llm.toxicity import toxicity_scores
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"), digest=True)
 
@@ -40,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -47,11 +57,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_quality": op2_quality,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontam": op4_decontam,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op10_packing": op10_packing,
     }
 
