@@ -40,7 +40,7 @@ def _exploded(words: DataFrame, n: int, *columns: str) -> DataFrame:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared, containment: the pairs of at least the threshold. items: item_id, text."""
+    """doc_id, item_id, n_shingles, n_shared, containment, text_key (xxhash64): the pairs of at least the threshold. items: item_id, text."""
     own = keyed(docs)
     item = keyed(items, "item_id").select(F.col("id").alias("item"), F.col("key").alias("item_key"), words_of(F.col("text")).alias("words")).distinct()
     hashes = _exploded(item, n, "item", "item_key").distinct()
@@ -59,9 +59,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     candidates = materialise(looked_up.join(sketch, "hash").select("id", "key", "item", "item_key").distinct(), "candidates")
     shingles = item.where(F.size("words") >= n).select("item", "item_key", _shingle_texts(F.col("words"), n).alias("of_item"))
     whole = candidates.join(shingles, ["item", "item_key"]).join(own, ["id", "key"])
-    shared = whole.select("id", "item", F.size("of_item").alias("n_shingles"), "of_item", words_of(F.col("text")).alias("words"))
-    counted = shared.select("id", "item", "n_shingles", F.size(F.array_intersect("of_item", _shingle_texts(F.col("words"), n))).alias("n_shared"))
+    shared = whole.select("id", "key", "item", F.size("of_item").alias("n_shingles"), "of_item", words_of(F.col("text")).alias("words"))
+    counted = shared.select("id", "key", "item", "n_shingles", F.size(F.array_intersect("of_item", _shingle_texts(F.col("words"), n))).alias("n_shared"))
     passed = counted.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))).distinct()
     return passed.select(
-        real_id().alias("doc_id"), real_id("item").alias("item_id"), F.col("n_shingles").cast("long"), F.col("n_shared").cast("long"), F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment")
+        real_id().alias("doc_id"), real_id("item").alias("item_id"), F.col("n_shingles").cast("long"), F.col("n_shared").cast("long"), F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"), F.col("key").alias("text_key")
     )

@@ -10,6 +10,7 @@ from graphloom.llm.common import table
 from graphloom.llm.decontam import contained_items
 from graphloom.llm.exact_dedup import exact_groups
 from graphloom.llm.packing import pack_documents
+from graphloom.llm.pii import personal_data
 from graphloom.llm.quality import quality_scores
 from graphloom.llm.simhash import near_components
 from graphloom.llm.substring_dedup import dedup_words
@@ -31,15 +32,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_token_counts": op7_token_counts,
         "op8_toxicity": op8_toxicity,
+        "op9_pii": op9_pii,
         "op10_packing": op10_packing,
     }
 

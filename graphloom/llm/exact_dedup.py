@@ -88,7 +88,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_groups(docs: DataFrame, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs; the largest doc_id of equal texts stays."""
+    """doc_id, keep_id, group_size, kept, text_sha256, text_key (xxhash64): one row for each row of docs; the largest doc_id of equal texts stays."""
     own = keyed(docs)
     members = materialise(own.select("id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "members")
     rows = members.count()
@@ -101,4 +101,4 @@ def exact_groups(docs: DataFrame, bucket_texts: int = BUCKET_TEXTS) -> DataFrame
     n = min(int(directory.max()) + 1, partitions_for(docs, 8 << 20))
     index = materialise(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, _INDEX_DDL), "hash-index")
     found = members.join(index.select("text_sha256", "keep", "group_size"), "text_sha256")
-    return found.select(real_id().alias("doc_id"), real_id("keep").alias("keep_id"), "group_size", (F.col("id") == F.col("keep")).alias("kept"), "text_sha256")
+    return found.select(real_id().alias("doc_id"), real_id("keep").alias("keep_id"), "group_size", (F.col("id") == F.col("keep")).alias("kept"), "text_sha256", F.col("key").alias("text_key"))

@@ -128,7 +128,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable), one row for each row of docs."""
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) and text_key (xxhash64), one row for each row of docs."""
     prints = materialise(fingerprints(docs), "fingerprints")
     distinct = prints.groupBy("print").agg(F.min("id").alias("first"))
     spread = variants(distinct.select("print")).repartition(partitions_for(docs, 8 << 20), "variant").sortWithinPartitions("variant", "print")
@@ -139,4 +139,4 @@ def near_components(docs: DataFrame) -> DataFrame:
     least = group.groupBy("label").agg(F.min("first").alias("component"))
     named = group.join(least, "label").select("print", "component")
     out = prints.join(named, "print")
-    return out.select(real_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"))
+    return out.select(real_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"), F.col("key").alias("text_key"))

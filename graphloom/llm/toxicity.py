@@ -207,7 +207,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     picked = [y.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(most_rows) for v in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most_rows narrow rows
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
-    rows = own.join(few, "id").dropDuplicates(["id"]).collect()
+    rows = own.join(few, "id").groupBy("id", "y").agg(F.min(F.struct("text", *columns)).alias("d")).select("id", "y", "d.*").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     return rows, counts.get(1, 0) / sum(counts.values()) if counts else 0.5
 
