@@ -1,0 +1 @@
+"""Empty on purpose: the engine's data model has no streams, watermarks or event time, so no streaming operator is claimed."""
