@@ -32,6 +32,13 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "nr") -> DataFrame
     return local.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")
 
 
+def numbered_within(df: DataFrame, group: str, *order: Column | str, name: str = "nr") -> DataFrame:
+    """0-based positions within each group, without gathering a group in one task."""
+    ranked = numbered(df, group, *order, name="_at")
+    first = ranked.groupBy(group).agg(F.min("_at").alias("_first"))
+    return ranked.join(first, group).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
+
+
 def running_sum(df: DataFrame, value: str, *order: Column | str, name: str = "running", exclusive: bool = False) -> DataFrame:
     """df with the running sum of a column in a total order, by ranges as numbered() does it."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
