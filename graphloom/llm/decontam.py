@@ -28,15 +28,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
-def _shingle_texts(words: Column, n: int) -> Column:
-    """The distinct shingles of a text with n words or more."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-
-
-def _exploded(words: DataFrame, n: int, *columns: str) -> DataFrame:
-    """(columns, hash) of each shingle."""
+def _exploded(words: DataFrame, n: int, *columns: str, text: bool = False) -> DataFrame:
+    """(columns, hash) of each shingle, on request with the shingle itself."""
     at = words.where(F.size("words") >= n).select(*columns, "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("at"))
-    return at.select(*columns, F.xxhash64(*[F.col("words")[F.col("at") + k] for k in range(n)]).alias("hash"))
+    own = [F.col("words")[F.col("at") + k] for k in range(n)]
+    return at.select(*columns, F.xxhash64(*own).alias("hash"), *([F.concat_ws(" ", *own).alias("shingle")] if text else []))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> DataFrame:
@@ -57,10 +53,12 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     words = own.select("id", "key", words_of(F.col("text")).alias("words")).select("id", "key", "words", bound.alias("bound"))
     looked_up = _exploded(words, n, "id", "key", "bound").where(F.col("hash") <= F.col("bound")).select("id", "key", "hash")
     candidates = materialise(looked_up.join(sketch, "hash").select("id", "key", "item", "item_key").distinct(), "candidates")
-    shingles = item.where(F.size("words") >= n).select("item", "item_key", _shingle_texts(F.col("words"), n).alias("of_item"))
-    whole = candidates.join(shingles, ["item", "item_key"]).join(own, ["id", "key"])
-    shared = whole.select("id", "key", "item", F.size("of_item").alias("n_shingles"), "of_item", words_of(F.col("text")).alias("words"))
-    counted = shared.select("id", "key", "item", "n_shingles", F.size(F.array_intersect("of_item", _shingle_texts(F.col("words"), n))).alias("n_shared"))
+    # verification: the candidates' shingles against the items', as strings
+    some = own.join(candidates.select("id", "key").distinct(), ["id", "key"], "left_semi").select("id", "key", words_of(F.col("text")).alias("words"))
+    of_items = _exploded(item, n, "item", "item_key", text=True).distinct()
+    met = _exploded(some, n, "id", "key", text=True).join(of_items, ["hash", "shingle"]).select("id", "key", "item", "item_key", "shingle").distinct()
+    pairs = candidates.join(met, ["id", "key", "item", "item_key"]).groupBy("id", "key", "item", "item_key").agg(F.count("*").cast("int").alias("n_shared"))
+    counted = pairs.join(sizes.select("item", "item_key", F.col("n").alias("n_shingles")), ["item", "item_key"])
     passed = counted.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))).distinct()
     return passed.select(
         real_id().alias("doc_id"), real_id("item").alias("item_id"), F.col("n_shingles").cast("long"), F.col("n_shared").cast("long"), F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"), F.col("key").alias("text_key")
