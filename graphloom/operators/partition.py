@@ -194,7 +194,7 @@ def refine_small(edges: DataFrame, vertices: DataFrame, part: DataFrame) -> Data
         got, _ = move_refine(off, dst, w, vw, own)
         return pd.DataFrame({"id": ids, "part": got.astype(np.int32)})
 
-    return _as_rows(edges, vertices, part).groupBy(F.lit(0)).applyInPandas(run, "id long, part int")
+    return _as_rows(edges, vertices, part).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, part int")
 
 
 def edit_distance(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def level_stats(runs: DataFrame, by: list[str] = ["graph", "method"]) -> DataFra
 
 def transposed(runs: DataFrame, by: list[str], figures: list[str]) -> DataFrame:
     """Each figure's values of all runs, in run order, as one array (runs of one experiment are few)."""
-    got = [F.transform(F.sort_array(F.collect_list(F.struct("run", f))), lambda x, f=f: x[f]).alias(f) for f in figures]
-    return runs.groupBy(*by).agg(*got)
+    lists = runs.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.struct("run", f))).alias(f) for f in figures])
+    return lists.select(*by, *[F.col(f)[f].alias(f) for f in figures])
 
 
 def method_ratios(runs: DataFrame, figure: str, base: str) -> DataFrame:

@@ -16,8 +16,17 @@ from graphloom.session import materialise, ship
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """at, value: the lines of a text file, in order (offsets of Spark's splits keep it)."""
-    return spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """at, value: the lines of a text file, or of a folder of them by name; at sorts in the order of lines (splits of a file are read in order)."""
+    return spark.read.text(path).select("value", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")).alias("at"))
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """form, field, symmetry of a MatrixMarket file."""
+    found = spark.read.text(path).where(F.lower("value").startswith("%%matrixmarket")).first()
+    head = found["value"].lower().split() if found else []
+    if len(head) < 5 or head[2] not in ("coordinate", "array"):
+        raise ValueError(f"{path}: no MatrixMarket header")
+    return head[2:5]
 
 
 def read_matrix_market(spark: SparkSession, path: str, symmetrize: bool = False, remove_diagonal: bool = False, transpose: bool = False) -> DataFrame:
@@ -25,15 +34,12 @@ def read_matrix_market(spark: SparkSession, path: str, symmetrize: bool = False,
 
     symmetrize adds the mirrored entries and keeps the first of each place. Complex values keep their real part.
     """
-    head = spark.read.text(path).first()["value"].lower().split()
-    if len(head) < 5 or not head[0].startswith("%%matrixmarket") or head[2] not in ("coordinate", "array"):
-        raise ValueError(f"{path}: no MatrixMarket header")
-    form, field, shape = head[2], head[3], head[4]
+    form, field, shape = _header(spark, path)
     body = materialise(_lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != "")), "mtx")
-    size_at = body.agg(F.min("at")).first()[0]
+    size = body.agg(F.min(F.struct("at", "value")).alias("m")).first()["m"]
     parts = F.split(F.trim("value"), r"\s+")
-    rows = int(body.where(F.col("at") == size_at).select(parts[0].cast("long")).first()[0])
-    own = body.where(F.col("at") != size_at)
+    rows = int(size["value"].split()[0])
+    own = body.where((F.col("at.file") != size["at"]["file"]) | (F.col("at.line") != size["at"]["line"]))
     if form == "coordinate":
         v = F.lit(1.0) if field == "pattern" else parts[2].cast("double")
         a = own.select((parts[0].cast("long") - 1).alias("i"), (parts[1].cast("long") - 1).alias("j"), v.alias("v"), "at")
@@ -59,19 +65,16 @@ def read_matrix_market(spark: SparkSession, path: str, symmetrize: bool = False,
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """A clean graph of a coordinate MatrixMarket file: square ones are symmetrised without loops; of rectangular ones, rows follow after the columns."""
-    lines = spark.read.text(path)
-    head = lines.first()["value"].lower().split()
-    if len(head) < 5 or head[2] != "coordinate":
+    form, _, shape = _header(spark, path)
+    if form != "coordinate":
         raise ValueError(f"{path}: only coordinate files make graphs")
     parts = F.split(F.trim("value"), r"\s+")
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size = body.first()["value"].split()
-    n, m = int(size[0]), int(size[1])
-    size_line = F.trim("value") == " ".join(size)
-    own = _lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    first = own.where(size_line).agg(F.min("at")).first()[0]
-    pairs = own.where(F.col("at") != first).select((parts[0].cast("long") - 1).alias("src"), (parts[1].cast("long") - 1).alias("dst"))
-    if n != m and head[4] == "general":
+    body = _lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    size = body.agg(F.min(F.struct("at", "value")).alias("m")).first()["m"]
+    n, m = map(int, size["value"].split()[:2])
+    first = F.struct(F.lit(size["at"]["file"]).alias("file"), F.lit(size["at"]["line"]).alias("line"))
+    pairs = body.where(F.col("at") != first).select((parts[0].cast("long") - 1).alias("src"), (parts[1].cast("long") - 1).alias("dst"))
+    if n != m and shape == "general":
         pairs = pairs.select((F.col("src") + m).alias("src"), "dst")
     return symmetrised(pairs)
 
