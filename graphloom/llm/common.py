@@ -48,6 +48,21 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(shuffle_partitions(df.sparkSession), min(1_000_000, -(-input_bytes(df) // bytes_each)))
 
 
+def dealt_to(rows: DataFrame, n: int, column: str = "bucket") -> DataFrame:
+    """Rows in n partitions by bucket number, each bucket in one; consecutive numbers go to different partitions, without hash collisions."""
+    return rows.repartitionById(n, F.pmod(F.col(column), F.lit(n)))
+
+
+def smallest_hashes(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """The `most` rows with the smallest hashes of the columns. Of many rows only those below a bound, about twice as many as asked for, compete, so that what reaches the driver does not grow with the input."""
+    n = rows.count()
+    ranked = rows.withColumn("_hash", F.xxhash64(*columns))
+    if n > 2 * most:
+        below = ranked.where(F.col("_hash") < int((2 * most / n - 0.5) * (1 << 64)))
+        ranked = below if below.count() >= most else ranked
+    return ranked.orderBy("_hash", *columns).limit(most).drop("_hash")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, text): no nulls; key tells rows of one id apart. The package goes to the executors with it."""
     ship(docs.sparkSession)

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import keyed, longs_of, real_id, row_batch
+from graphloom.llm.common import keyed, longs_of, real_id, row_batch, smallest_hashes
+from graphloom.session import materialise
 
 #: The order of kinds among spans that begin together; tokens of a segment; documents with base spans in the sample; passes and step.
 KINDS = ("email", "ip", "card", "phone")
@@ -311,8 +312,11 @@ def _find(batches: Iterator[pa.RecordBatch], weights: np.ndarray | None) -> Iter
 
 def fit(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> np.ndarray | None:
     """Trains on at most most_docs documents with digits or at-signs, those of the smallest hashes of their ids."""
-    own = keyed(docs).where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{3}")).orderBy(F.xxhash64("id", "key"), "id").limit(most_docs)
-    return train([r["text"] for r in sorted(own.collect(), key=lambda r: (r["id"], r["key"]))])
+    own = keyed(docs)
+    some = materialise(own.where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{3}")).select("id", "key"), "with-digits")
+    few = materialise(smallest_hashes(some, most_docs, "id", "key").distinct(), "sample")
+    rows = own.join(F.broadcast(few), ["id", "key"]).dropDuplicates(["id", "key"]).collect()  # few has at most most_docs narrow rows
+    return train([r["text"] for r in sorted(rows, key=lambda r: (r["id"], r["key"]))])
 
 
 def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
