@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import BYTE_VALUES, keyed, longs_of, real_id, row_batch, span_hashes, texts_of
+from graphloom.llm.common import BYTE_VALUES, keyed, longs_of, real_id, row_batch, smallest_hashes, span_hashes, texts_of
+from graphloom.session import materialise, ship
 
 #: Hash buckets, width of an embedding, widths of the filters, filters of each width; rows of each class in the sample; bytes scored at once.
 BUCKETS, DEPTH, WIDTHS, FILTERS, MOST_ROWS, SCORE_BYTES = 1 << 17, 8, (1, 2, 3), 8, 2000, 1 << 19
@@ -202,9 +204,9 @@ def held_out(ids: Column, parts: int, part: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most_rows: int, columns: tuple[str, ...] = ()) -> tuple[list, float]:
     """At most most_rows rows of each class, those of the smallest hashes of their ids, with their texts; and the positives' share of all."""
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    y = y.groupBy("id").agg(F.max("y").alias("y")).where(keep)
+    y = materialise(y.groupBy("id").agg(F.max("y").alias("y")).where(keep), "labels")
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [y.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(most_rows) for v in (0, 1)]
+    picked = [smallest_hashes(y.where(F.col("y") == v), most_rows, "id") for v in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most_rows narrow rows
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
     rows = own.join(few, "id").groupBy("id", "y").agg(F.min(F.struct("text", *columns)).alias("d")).select("id", "y", "d.*").collect()
@@ -239,8 +241,6 @@ def flagged(docs: DataFrame, model: ConvClassifier) -> DataFrame:
     """docs with score and toxic: whether the score reaches the threshold of the row's language. One pass, no shuffle."""
     limits = model.thresholds or {"": THRESHOLD}
     schema = docs.schema
-    from graphloom.session import ship
-
     ship(docs.sparkSession)
     names = docs.columns
 
@@ -251,8 +251,6 @@ def flagged(docs: DataFrame, model: ConvClassifier) -> DataFrame:
             on = s >= np.array([limits.get(x or "", limits[""]) for x in langs]) if len(s) else np.zeros(0, dtype=bool)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(on)], names=[*names, "_score", "_toxic"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_toxic", T.BooleanType())]))
 
 
