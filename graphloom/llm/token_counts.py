@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, keyed, partitions_for, real_id, row_batch, unpack
+from graphloom.llm.common import chunks, dealt_to, keyed, partitions_for, real_id, row_batch, unpack
 from graphloom.llm.tokenizer import default_path, load, tokenizer_digest
 from graphloom.llm.windows import _SENT_DDL, FLUSH_BYTES, _dealt, by_bucket
 from graphloom.session import materialise, shared_path
@@ -85,7 +85,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, cache_path:
         sent = sent.unionByName(have.mapInArrow(partial(_stored, n_buckets=n), _SENT_DDL))
     except AnalysisException:
         pass  # no cache yet
-    misses = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    misses = dealt_to(sent, n).sortWithinPartitions("bucket", "kind")
     misses.mapInArrow(partial(_encode_misses, path=path, tokenizer=tokenizer), _CACHE_DDL).write.mode("append").parquet(cache)
-    out = members.join(stored(), "content_sha256")
+    # written first: both sides of the join are then plain tables, of which Spark broadcasts a small one and splits hot digests of large ones
+    out = members.join(materialise(stored().join(members.select("content_sha256").distinct(), "content_sha256", "left_semi"), "counts"), "content_sha256")
     return out.select(real_id().alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
