@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, keyed, longs_of, partitions_for, real_id, row_batch, unpack
+from graphloom.llm.common import chunks, dealt_to, keyed, partitions_for, real_id, row_batch, unpack
 from graphloom.llm.windows import _SENT_DDL, FLUSH_BYTES, _dealt, by_bucket
 from graphloom.session import materialise
 
-#: Distinct texts in a bucket, at least; the bits of the hash that the directory uses, at most.
-BUCKET_TEXTS, MOST_BITS = 4096, 18
+#: Distinct texts that a bucket may hold, at least; buckets at most, as a power of two.
+BUCKET_TEXTS, MOST_BITS = 4096, 20
 
 #: Of a bucket's payload: hash, largest id, rows, bytes of the text.
 _TEXT = (np.int64, np.int64, np.int64, np.int64)
@@ -34,24 +34,21 @@ _INDEX = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("chained", pa
 _INDEX_DDL = "bucket int, hash long, chained int, text_sha256 string, keep long, group_size long"
 
 
-def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> np.ndarray:
-    """The bucket of each value of the hash's first bits. counts: distinct hashes by their first `bits` bits."""
-    fine = np.zeros(1 << bits, dtype=np.int64)
-    for prefix, n in counts.items():
-        fine[prefix] = n
-    directory, depth, local = np.zeros(1, dtype=np.int32), 0, [0]
-    while depth <= bits:
-        load = np.bincount(np.repeat(directory, len(fine) // len(directory)), weights=fine, minlength=len(local))
-        over = [b for b in range(len(local)) if load[b] > capacity and local[b] < bits]
-        if not over:
-            return directory
-        for b in over:
-            if local[b] == depth:  # the directory doubles
-                directory, depth = np.repeat(directory, 2), depth + 1
-            own = np.flatnonzero(directory == b)
-            directory[own[len(own) // 2 :]] = len(local)
-            local[b] += 1
-            local.append(local[b])
+def grow_directory(fine: np.ndarray, capacity: int) -> np.ndarray:
+    """The bucket of each value of the hash's first bits. fine: distinct hashes for each value of the most bits that may be used.
+
+    Overfull buckets are always of full depth (a bucket that fits is never looked at again), so each round doubles the directory once and
+    splits all of them; a bucket that still overflows at the finest depth stays as it is, and its texts are chained.
+    """
+    directory, buckets = np.zeros(1, dtype=np.int32), 1
+    while len(directory) < len(fine):
+        load = np.bincount(np.repeat(directory, len(fine) // len(directory)), weights=fine, minlength=buckets)
+        if not (load > capacity).any():
+            break
+        directory = np.repeat(directory, 2)
+        upper = (np.arange(len(directory)) % 2 == 1) & (load > capacity)[directory]
+        directory[upper] = buckets + np.arange(np.count_nonzero(upper), dtype=np.int32)
+        buckets += int(np.count_nonzero(upper))
     return directory
 
 
@@ -93,12 +90,13 @@ def exact_groups(docs: DataFrame, bucket_texts: int = BUCKET_TEXTS) -> DataFrame
     members = materialise(own.select("id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "members")
     rows = members.count()
     capacity = max(bucket_texts, rows >> MOST_BITS)
-    bits = min(MOST_BITS + 3, max(1, math.ceil(math.log2(max(rows, 1) / capacity + 1)) + 3))
-    prefix = F.shiftrightunsigned("key", 64 - bits).alias("prefix")
-    counts = dict(map(tuple, members.select("key").distinct().groupBy(prefix).count().collect()))
-    directory = grow_directory(counts, bits, capacity)
+    bits = max(1, math.ceil(math.log2(rows / capacity + 1)) + 1)
+    counted = members.select("key").distinct().groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).count().toArrow()  # at most 2^(MOST_BITS + 2) pairs
+    fine = np.zeros(1 << bits, dtype=np.int64)
+    fine[counted["prefix"].to_numpy()] = counted["count"].to_numpy()
+    directory = grow_directory(fine, capacity)
     sent = own.mapInArrow(partial(_send, directory=directory), _SENT_DDL)
     n = min(int(directory.max()) + 1, partitions_for(docs, 8 << 20))
-    index = materialise(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, _INDEX_DDL), "hash-index")
+    index = materialise(dealt_to(sent, n).sortWithinPartitions("bucket").mapInArrow(_own, _INDEX_DDL), "hash-index")
     found = members.join(index.select("text_sha256", "keep", "group_size"), "text_sha256")
     return found.select(real_id().alias("doc_id"), real_id("keep").alias("keep_id"), "group_size", (F.col("id") == F.col("keep")).alias("kept"), "text_sha256", F.col("key").alias("text_key"))

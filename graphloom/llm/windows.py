@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from graphloom.llm.common import (
     BYTE_VALUES,
     chunks,
+    dealt_to,
     keyed,
     longs_of,
     mix,
@@ -338,7 +339,7 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
     grams = {"unit": unit, "width": width, "gram": gram, "n_buckets": n_buckets, "n_doc_buckets": n_doc_buckets}
 
     def exchanged(rows: DataFrame, *order: str) -> DataFrame:
-        return rows.repartition(n_buckets, *order[: 2 if order[0] == "kind" else 1]).sortWithinPartitions(*order)
+        return dealt_to(rows, n_buckets).sortWithinPartitions(*order)
 
     def written(rows: DataFrame, name: str) -> DataFrame:
         path = shared_path(spark, name)
