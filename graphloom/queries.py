@@ -32,9 +32,14 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def _parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed bisection of the co-purchase graph: part = id mod 2."""
-    return g.vertices_of(tables.copurchase(spark, sf_dir)).select("id", (F.col("id") % 2).cast("int").alias("part"))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The co-purchase graph, written once for a query that reads it more than once."""
+    return materialise(tables.copurchase(spark, sf_dir), "edges")
+
+
+def _parity(edges: DataFrame) -> DataFrame:
+    """A fixed bisection of a graph: part = id mod 2."""
+    return materialise(g.vertices_of(edges).select("id", (F.col("id") % 2).cast("int").alias("part")), "parity")
 
 
 def _price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,30 +424,30 @@ def hec3_map(spark, sf_dir):
 
 @query
 def hec3_coarse_edges(spark, sf_dir):
-    edges = materialise(tables.copurchase(spark, sf_dir), "edges")
+    edges = _edges(spark, sf_dir)
     return contract.contract_edges(edges, coarsen.hec3(edges))
 
 
 @query
 def hec3_coarse_vertices(spark, sf_dir):
-    edges = materialise(tables.copurchase(spark, sf_dir), "edges")
+    edges = _edges(spark, sf_dir)
     return contract.contract_vertices(g.vertices_of(edges), coarsen.hec3(edges))
 
 
 @query
 def contract_ptap(spark, sf_dir):
-    edges = materialise(tables.copurchase(spark, sf_dir), "edges")
+    edges = _edges(spark, sf_dir)
     return contract.contract_by_products(edges, materialise(coarsen.hec3(edges), "mapping"))
 
 
 @query
 def hec_map(spark, sf_dir):
-    return coarsen.hec_serial(materialise(tables.copurchase(spark, sf_dir), "edges"))
+    return coarsen.hec_serial(_edges(spark, sf_dir))
 
 
 @query
 def hec2_map(spark, sf_dir):
-    return coarsen.hec2(materialise(tables.copurchase(spark, sf_dir), "edges"))
+    return coarsen.hec2(_edges(spark, sf_dir))
 
 
 @query
@@ -496,14 +501,14 @@ def gosh2_seeds(spark, sf_dir):
 
 @query
 def gosh2_stage1(spark, sf_dir):
-    edges = materialise(tables.copurchase(spark, sf_dir), "edges")
+    edges = _edges(spark, sf_dir)
     return coarsen.gosh2_stage(edges, coarsen.gosh2_seeds(edges).withColumn("root", F.col("id")), "w")
 
 
 @query
 def gosh2_map(spark, sf_dir):
     """All stages: every vertex has a cluster; rows only."""
-    return coarsen.gosh2(materialise(tables.copurchase(spark, sf_dir), "edges"))
+    return coarsen.gosh2(_edges(spark, sf_dir))
 
 
 @query
@@ -516,8 +521,9 @@ def weighted_aggregation_sums(spark, sf_dir):
 @query
 def recoarsen_map(spark, sf_dir):
     """Clusters within the parts of a bisection: none is mixed."""
-    part = _parity(spark, sf_dir)
-    own = coarsen.recoarsen_hec(tables.copurchase(spark, sf_dir), part).join(part, "id").groupBy("cid").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
+    edges = _edges(spark, sf_dir)
+    part = _parity(edges)
+    own = coarsen.recoarsen_hec(edges, part).join(part, "id").groupBy("cid").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
     return own.agg(F.sum("n").alias("vertices"), F.max("parts").alias("parts"))
 
 
@@ -537,15 +543,15 @@ def coarsen_summary(spark, sf_dir):
 
 @query
 def prolong(spark, sf_dir):
-    mapping = coarsen.hec3(materialise(tables.copurchase(spark, sf_dir), "edges"))
+    mapping = coarsen.hec3(_edges(spark, sf_dir))
     coarse = mapping.select(F.col("cid").alias("id"), (F.col("cid") * 3 + 1).alias("x")).distinct()
     return contract.prolong(mapping, coarse)
 
 
 @query
 def restrict(spark, sf_dir):
-    edges = materialise(tables.copurchase(spark, sf_dir), "edges")
-    return _long(contract.restrict_partition(coarsen.hec3(edges), g.vertices_of(edges), _parity(spark, sf_dir)), "part")
+    edges = _edges(spark, sf_dir)
+    return _long(contract.restrict_partition(coarsen.hec3(edges), g.vertices_of(edges), _parity(edges)), "part")
 
 
 # --- partitions --------------------------------------------------------------------------------------------------------------------------
@@ -553,34 +559,38 @@ def restrict(spark, sf_dir):
 
 @query
 def edge_cut(spark, sf_dir):
-    return partition.edge_cut(tables.copurchase(spark, sf_dir), _parity(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    return partition.edge_cut(edges, _parity(edges))
 
 
 @query
 def gains(spark, sf_dir):
-    return partition.gains(tables.copurchase(spark, sf_dir), _parity(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    return partition.gains(edges, _parity(edges))
 
 
 @query
 def imbalance(spark, sf_dir):
-    return partition.imbalance(g.vertices_of(tables.copurchase(spark, sf_dir)), _parity(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    return partition.imbalance(g.vertices_of(edges), _parity(edges))
 
 
 @query
 def median_bisection(spark, sf_dir):
-    x = g.degrees(tables.copurchase(spark, sf_dir)).select("id", F.col("wdeg").alias("x"))
+    x = materialise(g.degrees(tables.copurchase(spark, sf_dir)), "degrees").select("id", F.col("wdeg").alias("x"))
     return _long(partition.split_by_order(x), "part")
 
 
 @query
 def weighted_bisection(spark, sf_dir):
     """By weighted degree, part 0 up to half of the vertices' weight (here their degree)."""
-    deg = g.degrees(tables.copurchase(spark, sf_dir))
+    deg = materialise(g.degrees(tables.copurchase(spark, sf_dir)), "degrees")
     return _long(partition.split_by_order(deg.select("id", F.col("wdeg").alias("x")), "x", deg.select("id", F.col("deg").alias("vw"))), "part")
 
 
 def _scan(spark, sf_dir):
-    edges, part = tables.copurchase(spark, sf_dir), _parity(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
+    part = _parity(edges)
     order = numbered(partition.gains(edges, part).where("gain > 0"), F.desc("gain"), "id", name="pos").select("id", "pos")
     return partition.cut_scan(edges, g.vertices_of(edges), part, order)
 
@@ -597,7 +607,7 @@ def cut_scan_best_prefix(spark, sf_dir):
 
 @query
 def partition_edit_distance(spark, sf_dir):
-    a = _parity(spark, sf_dir)
+    a = _parity(tables.copurchase(spark, sf_dir))
     return partition.edit_distance(a, a.select("id", (F.col("id") % 3 % 2).cast("int").alias("part")))
 
 
@@ -646,8 +656,8 @@ def _quality(edges, part, base):
 @query
 def bisect_quality(spark, sf_dir):
     """Multilevel bisection of the co-purchase graph against the parity split."""
-    edges = materialise(tables.copurchase(spark, sf_dir), "edges")
-    return _quality(edges, multilevel.bisect(edges), _parity(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    return _quality(edges, multilevel.bisect(edges), _parity(edges))
 
 
 @query
