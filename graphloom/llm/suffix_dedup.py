@@ -28,6 +28,10 @@ _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 _DIGEST = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
+#: The least numbers of two bytes, of three, and so on to eight.
+_HEIGHTS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
+
 def _eights(data: np.ndarray, n: int) -> np.ndarray:
     """The eight bytes from each of the first n places as one number, big end first; data is padded."""
     out = np.zeros(n, dtype=np.uint64)
@@ -37,15 +41,15 @@ def _eights(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, margin: int, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes of data in order, and the eight bytes from each place (and from `margin` places past the end).
 
     Larsson and Sadakane: sort by eight bytes, then sort each group that is still tied by the rank of what follows, at doubled depth,
-    until none is tied. (Kasai's bound holds in a whole order only, so the refinement doesn't stop at the strings' width.)
+    until none is tied or `depth` bytes are compared.
     """
     n = len(data)
     eights = _eights(np.concatenate([data, np.zeros(margin + 16, dtype=np.uint8)]), n + margin + 8)
-    order = np.argsort(eights[:n], kind="stable")
+    order = np.argsort(eights[:n])
     rank = np.zeros(n + 1, dtype=np.int64)  # at n: past the end, before all
 
     def heads_of(differs: np.ndarray) -> np.ndarray:
@@ -57,14 +61,14 @@ def suffix_array(data: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]
     rank[order] = heads_of(differs) + 1
     tied, have = np.flatnonzero(~(differs & np.append(differs[1:], True))), 8
     if len(short) and not data[-8:].all():  # real zero bytes near the end: begin at single bytes instead
-        order = np.argsort(data, kind="stable")
+        order = np.argsort(data)
         differs = np.concatenate([[True], data[order[1:]] != data[order[:-1]]])
         rank[order] = heads_of(differs) + 1
         tied, have = np.flatnonzero(~(differs & np.append(differs[1:], True))), 1
-    while len(tied):
+    while len(tied) and (depth is None or have < depth):
         own = order[tied]
         key = rank[own] * (n + 2) + rank[np.minimum(own + have, n)]
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[tied], key = own[again], key[again]
         differs[tied] = np.concatenate([[True], key[1:] != key[:-1]])
         rank[order[tied]] = heads_of(differs)[tied] + 1
@@ -76,7 +80,8 @@ def suffix_array(data: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]
 def common_prefixes(order: np.ndarray, eights: np.ndarray, most: int) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in order, up to `most` (Kasai: at least one less than its left neighbour's).
 
-    Works on every eighth place at once; the places after them start from their left neighbours' lengths.
+    Works on every eighth place at once; the places after them start from their left neighbours' lengths. Neighbours that share `most` bytes
+    may be tied in an order of limited depth (above `most`), where the bound fails, so what follows these starts from nothing.
     """
     n = len(order)
     before = np.full(n, -1, dtype=np.int64)
@@ -84,16 +89,13 @@ def common_prefixes(order: np.ndarray, eights: np.ndarray, most: int) -> np.ndar
     shared = np.zeros(n + 1, dtype=np.int64)
     for first in range(8):
         p = np.arange(first, n, 8)
-        length = np.maximum(shared[p - 1] - 1, 0) if first else np.zeros(len(p), dtype=np.int64)
+        length = np.where(shared[p - 1] < most, np.maximum(shared[p - 1] - 1, 0), 0) if first else np.zeros(len(p), dtype=np.int64)
         length[before[p] < 0] = 0
         live = np.flatnonzero((before[p] >= 0) & (length < most))
         while len(live):
             at, other = p[live] + length[live], before[p[live]] + length[live]
             differ = eights[at] ^ eights[other]
-            # bytes equal from the big end: bits of the number's height
-            high = np.where(differ == 0, 8, 7 - (np.frexp(np.maximum(differ, 1).astype(np.float64))[1] - 1) // 8)
-            odd = differ >= np.uint64(1 << 53)  # rounding may lift the height by one bit
-            high[odd] = 7 - (np.frexp((differ[odd] >> np.uint64(11)).astype(np.float64))[1] + 10) // 8
+            high = np.where(differ == 0, 8, 7 - np.searchsorted(_HEIGHTS, differ, "right"))  # bytes equal from the big end
             length[live] += high
             live = live[(high == 8) & (length[live] < most)]
         shared[p] = np.minimum(length, most)
@@ -108,7 +110,7 @@ class _Shard:
         sizes = np.array([len(s) for s in strings], dtype=np.int64)
         self.owner = np.repeat(np.arange(len(strings)), sizes)
         self.position = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[self.owner]
-        order, eights = suffix_array(data, width)
+        order, eights = suffix_array(data, width, 2 * width)
         shared = common_prefixes(order, eights, width)
         whole = self.position[order] <= sizes[self.owner[order]] - width  # others run past their string's end
         group = np.cumsum(shared < width)[whole]

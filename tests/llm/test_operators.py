@@ -119,7 +119,12 @@ def test_suffix_array_and_prefixes(data):
     buf = np.frombuffer(data, np.uint8)
     order, eights = suffix_dedup.suffix_array(buf, 50)
     assert order.tolist() == sorted(range(len(data)), key=lambda k: data[k:])
-    shared = suffix_dedup.common_prefixes(order, eights, 50)
+    for depth in (None, 100):
+        order, eights = suffix_dedup.suffix_array(buf, 50, depth)
+        check_prefixes(data, order, suffix_dedup.common_prefixes(order, eights, 50))
+
+
+def check_prefixes(data, order, shared):
     padded = data + bytes(200)
     for a, b, n in zip(order[:-1].tolist(), order[1:].tolist(), shared[1:].tolist()):
         want = 0
