@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import keyed, longs_of, real_id, row_batch, texts_of, word_bounds
+from graphloom.llm.common import keyed, longs_of, real_id, texts_of, word_bounds
 from graphloom.llm.toxicity import held_out
 from graphloom.session import materialise
 
