@@ -1,0 +1,194 @@
+"""Near copies by resemblance: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Candidates come from 240 MinHash values in 48 bands of five: a pair at the least similarity shares no band with a chance of 5e-9. Candidates
+are verified by the whole sets of 64-bit shingle hashes, so no dissimilar pair is linked. Only distinct sets take part. Groups of over
+32 sets are first compared with one of them each, in a few rounds; then only pairs that no link connects yet are compared one by one.
+
+Defined results: A-Z are folded; a text of one to four words has its whole word sequence as its only shingle; null and empty texts have
+the empty set and are alike; repeated rows share a component; a null doc_id counts as the largest.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import BYTE_VALUES, chunks, keyed, longs_of, mix, partitions_for, real_id, row_batch, span_hashes, texts_of, word_bounds
+from graphloom.operators.components import star_components
+from graphloom.session import materialise
+
+SHINGLE_WORDS, BANDS, BAND_ROWS = 5, 48, 5
+#: Least similarity, as a fraction.
+LEAST, OF = 4, 5
+#: Groups of at most so many sets are compared pairwise at once; larger ones with one of theirs in so many rounds first.
+PAIRWISE, LEADER_ROUNDS = 32, 3
+CHUNK_BYTES = 1 << 20
+
+_FOLDED = BYTE_VALUES.copy()
+_FOLDED[65:91] = BYTE_VALUES[97:123]
+_FACTORS = np.random.default_rng(5008).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SET = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_HASHES = pa.schema([("print", pa.int64()), ("hashes", pa.binary())])
+_PAIR = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("hot", pa.int64())])
+_LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+
+def shingle_sets(texts: list[bytes], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the distinct shingle hashes of each text, ascending, one text after the other."""
+    data = b"\n".join(texts) + b"\n"
+    firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    buf = np.frombuffer(data, np.uint8)
+    starts, ends = word_bounds(buf)
+    base = np.searchsorted(starts, firsts)
+    counts = np.diff(base)
+    n = np.where(counts > 0, np.maximum(1, counts - words + 1), 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + base[owner]
+    hashes = span_hashes(span_hashes(_FOLDED[buf], starts, ends), at, np.minimum(at + words, base[owner + 1]))
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(texts))
+
+
+def prints_and_bands(hashes: np.ndarray, sizes: np.ndarray, banded: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit print of each set (0 for the empty one), and a row of band values for each set that is not empty."""
+    prints = np.zeros(len(sizes), dtype=np.uint64)
+    some = np.flatnonzero(sizes)
+    bands = np.zeros((len(some), BANDS), dtype=np.uint64)
+    if not len(some):
+        return prints, bands
+    heads = (np.cumsum(sizes) - sizes)[some]
+    prints[some] = mix(np.add.reduceat(mix(hashes), heads) + sizes[some].astype(np.uint64))
+    for k in range(BANDS if banded else 0):
+        own = np.full(len(some), k + 1, dtype=np.uint64)
+        for factor in _FACTORS[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
+            own = mix(own ^ np.minimum.reduceat(hashes * factor, heads))
+        bands[:, k] = own
+    return prints, bands
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts, cols in chunks(batches, CHUNK_BYTES):
+        hashes, sizes = shingle_sets(texts)
+        prints, bands = prints_and_bands(hashes, sizes)
+        ends = np.cumsum(np.where(sizes > 0, BANDS, 0))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(bands.view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (cols["id"], cols["key"], prints.view(np.int64), sizes)), lists], schema=_SET)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts, _ in chunks(batches, CHUNK_BYTES):
+        hashes, sizes = shingle_sets(texts)
+        prints, _ = prints_and_bands(hashes, sizes, banded=False)
+        ends = np.cumsum(sizes)
+        yield row_batch(_HASHES, prints.view(np.int64), [hashes[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist())])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups, of a stream sorted by the first; the last group waits for the next batch."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        now = [longs_of(b, c) for c in columns]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut or (held and held[-1][0][-1] != now[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in now])]
+            held = []
+        held.append([c[cut:] for c in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _groups(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    heads = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+    return heads, np.diff(heads, append=len(band))
+
+
+def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have the least similarity."""
+    return OF * np.minimum(n, m) >= LEAST * np.maximum(n, m)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (src, dst, hot null) of small groups; of larger ones a row (print, n, band) for each set."""
+    for band, prints, n in _whole_groups(batches, "band", "print", "n"):
+        heads, sizes = _groups(band) if len(band) else (np.zeros(0, int), np.zeros(0, int))
+        small = np.repeat(sizes <= PAIRWISE, sizes)
+        b, p, m = band[small], prints[small], n[small]
+        found = []
+        for step in range(1, PAIRWISE):
+            same = np.flatnonzero(b[step:] == b[:-step])
+            if not len(same):
+                break
+            same = same[_alike(m[same], m[same + step])]
+            found.append(np.stack([np.minimum(p[same], p[same + step]), np.maximum(p[same], p[same + step])], axis=1))
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield row_batch(_PAIR, pairs[:, 0], pairs[:, 1], [None] * len(pairs))
+        yield row_batch(_PAIR, prints[~small], n[~small], band[~small])
+
+
+def _unlinked(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    """Of large groups, the pairs in different components: with one set, another one each turn, and in the last turn all."""
+    for band, prints, n, label in _whole_groups(batches, "band", "print", "n", "label"):
+        for h, s in zip(*(x.tolist() for x in _groups(band))) if len(band) else ():
+            p, m, c = prints[h : h + s], n[h : h + s], label[h : h + s]
+            if (c == c[0]).all():
+                continue
+            own = range(s) if turn == LEADER_ROUNDS else [int(np.argmin(mix(p.view(np.uint64) ^ np.uint64(turn))))]
+            for k in own:
+                other = (c != c[k]) & _alike(m, m[k])
+                if turn == LEADER_ROUNDS:
+                    other[:k] = False
+                q = p[other]
+                if len(q):
+                    yield row_batch(_LINK, np.minimum(q, p[k]), np.maximum(q, p[k]))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = np.zeros(b.num_rows, dtype=bool)
+        for k, (x, y) in enumerate(zip(texts_of(b, "x"), texts_of(b, "y"))):
+            n, union = (len(x) + len(y)) // 8, len(np.unique(np.frombuffer(x + y, np.uint64)))
+            keep[k] = OF * (n - union) >= LEAST * union
+        yield row_batch(_LINK, longs_of(b, "src")[keep], longs_of(b, "dst")[keep])
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable by links of at least the similarity) and text_key (xxhash64), one row for each row of docs."""
+    own, parts = keyed(docs), partitions_for(docs, 8 << 20)
+    sets = materialise(own.mapInArrow(_sets, "id long, key long, print long, n long, bands array<long>"), "shingle-sets")
+    firsts = materialise(sets.groupBy("print").agg(F.min(F.struct("id", "key")).alias("row"), F.min("n").alias("n"), F.first("bands").alias("bands")), "distinct-sets")
+    spread = firsts.select(F.explode("bands").alias("band"), "print", "n").repartition(parts, "band").sortWithinPartitions("band", "print")
+    found = materialise(spread.mapInArrow(_pairs, "src long, dst long, hot long"), "resemblance-pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct(), "candidates")
+        ends = pairs.select(F.col("src").alias("print")).unionByName(pairs.select(F.col("dst").alias("print"))).distinct()
+        rows = materialise(firsts.join(ends, "print").select("row.id", "row.key"), "candidate-rows")
+        hashes = own.join(rows, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).mapInArrow(_hashes, "print long, hashes binary")
+        hashes = materialise(hashes, "candidate-sets")
+        both = pairs.join(hashes.select(F.col("print").alias("src"), F.col("hashes").alias("x")), "src").join(hashes.select(F.col("print").alias("dst"), F.col("hashes").alias("y")), "dst")
+        return materialise(both.select("src", "dst", "x", "y").mapInArrow(_verified, "src long, dst long"), "links")
+
+    links = verified(found.where("hot is null").select("src", "dst"))
+    labels = materialise(star_components(links), "labels")
+    hot = found.where("hot is not null").select(F.col("hot").alias("band"), F.col("src").alias("print"), F.col("dst").alias("n"))
+    if not hot.isEmpty():
+        for turn in range(LEADER_ROUNDS + 1):
+            named = hot.join(labels.withColumnRenamed("id", "print"), "print", "left").select("band", "print", "n", F.coalesce("label", "print").alias("label"))
+            rest = named.repartition(parts, "band").sortWithinPartitions("band", "print").mapInArrow(partial(_unlinked, turn=turn), "src long, dst long")
+            links = materialise(links.unionByName(verified(rest)), "all-links")
+            labels = materialise(star_components(links), "labels")
+    group = materialise(firsts.join(labels.withColumnRenamed("id", "print"), "print", "left").select("print", F.col("row.id").alias("first"), F.coalesce("label", "print").alias("label")), "set-groups")
+    least = group.groupBy("label").agg(F.min("first").alias("component"))
+    out = sets.select("id", "key", "print").join(group.join(least, "label").select("print", "component"), "print")
+    return out.select(real_id().alias("doc_id"), real_id("component").alias("component_id"), F.col("key").alias("text_key"))

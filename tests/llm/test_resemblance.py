@@ -1,0 +1,57 @@
+"""The near-dedup stage against all pairs by brute force: five-word shingles, similarity 0.8."""
+
+import random
+
+import pytest
+
+import corpus_pipeline as p
+from graphloom.llm import resemblance
+from graphloom.session import materialise
+
+
+def shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def least_ids(rows):
+    """The smallest id of each row's component."""
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if 5 * len(sets[a] & sets[b]) >= 4 * union and label[a] != label[b]:
+                x, y = label[a], label[b]
+                label = [y if q == x else q for q in label]
+    least = {}
+    for (d, _), c in zip(rows, label):
+        least[c] = min(least.get(c, d), d)
+    return [least[c] for c in label]
+
+
+def invented():
+    """Texts around the least similarity, short ones, and a family of over PAIRWISE texts that share most of their words."""
+    rng, rows = random.Random(3), [None, "", " ", "one", "ONE", "one two", "a b c d", "A b  c d", "a b c d e"]
+    for n, copies, most in ((60, 12, 4), (300, 8, 20), (90, 60, 3), (90, 60, 7)):
+        base = [f"w{rng.randrange(500)}" for _ in range(n)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randint(0, most)):
+                own[rng.randrange(n)] = f"x{rng.randrange(9999)}"
+            rows.append(" ".join(own))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("source", ["invented", "table"])
+def test_components(spark, sf, source):
+    rows = invented() if source == "invented" else [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"), "resemblance-docs")
+    got = {r["doc_id"]: r["component_id"] for r in resemblance.similar_components(docs).collect()}
+    assert got == {d: c for (d, _), c in zip(rows, least_ids(rows))}
+
+
+def test_stage_drops_what_is_similar(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {d for (d, _), c in zip(rows, least_ids(rows)) if d == c}
+    assert {r["doc_id"] for r in p.drop_near_copies(spark, docs, sf).collect()} == want
