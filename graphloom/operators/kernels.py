@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.priority import SALT, priority
 from graphloom.operators.graph import degrees, vertices_of
 from graphloom.plans.iterate import fixpoint
-from graphloom.session import materialise
+from graphloom.session import materialise, ship
+
+#: Rounds of a colouring before its rest, if it has at most so many pairs, goes to one task that colours in order.
+ROUNDS_FIRST, SMALL_PAIRS = 12, 2_000_000
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Colours of uncoloured vertices one by one in (p, id): what the rounds would give. Rows: id, p, dst, color (dst null: the vertex; color null: dst has none yet)."""
+    priority_of, near, used = {}, {}, {}
+    for b in batches:
+        for i, p, d, c in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if d is None:
+                priority_of[i] = p
+            elif c is None:
+                near.setdefault(i, []).append(d)
+            else:
+                used.setdefault(i, set()).add(c)
+    colors = {}
+    for i in sorted(priority_of, key=lambda k: (priority_of[k], k)):
+        taken = used.get(i, set()) | {colors[d] for d in near.get(i, ()) if d in colors}
+        colors[i] = next(c for c in range(len(taken) + 1) if c not in taken)
+    yield pa.RecordBatch.from_arrays([pa.array(list(colors), pa.int64()), pa.array(list(colors.values()), pa.int32())], names=["id", "new"])
 
 
 def coloring(edges: DataFrame, vertices: DataFrame | None = None, salt: str = SALT) -> DataFrame:
@@ -24,8 +48,21 @@ def coloring(edges: DataFrame, vertices: DataFrame | None = None, salt: str = SA
         ready = F.col("first").isNull() | (F.struct("p", "id") < F.col("first"))
         return state.join(seen, "id", "left").select("id", "p", F.when(F.col("color").isNotNull(), F.col("color")).when(ready, least).alias("color"))
 
+    def finish(state: DataFrame, rounds: int) -> DataFrame | None:
+        if rounds < ROUNDS_FIRST:
+            return None
+        rest = state.where("color is null").select("id", "p")
+        near = pairs.join(rest.select(F.col("id").alias("src"), "p"), "src").join(state.select(F.col("id").alias("dst"), "color"), "dst")
+        rows = materialise(rest.select("id", "p", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("int").alias("color")).unionByName(
+            near.select(F.col("src").alias("id"), "p", F.when(F.col("color").isNotNull(), F.lit(-1)).otherwise(F.col("dst")).alias("dst"), "color").distinct()), "rest")
+        if rows.count() > SMALL_PAIRS:
+            return None
+        ship(rows.sparkSession)
+        new = rows.coalesce(1).mapInArrow(_in_order, "id long, new int")
+        return state.join(new, "id", "left").select("id", "p", F.coalesce("color", "new").alias("color"))
+
     start = ids.select("id", priority("id", salt).alias("p"), F.lit(None).cast("int").alias("color"))
-    return fixpoint(start, step, F.col("color").isNull(), "coloring").select("id", "color")
+    return fixpoint(start, step, F.col("color").isNull(), "coloring", finish).select("id", "color")
 
 
 def two_hop(edges: DataFrame) -> DataFrame:

@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 
 from graphloom.session import materialise
 
-MOST_ROUNDS = 200
+#: Rounds in a row that decide no row, after which a loop counts as endless.
+STALLED_ROUNDS = 64
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], pending: Column, name: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """step() applied until no row of the state is pending; each state is a written table, so that lineage stays short and losses are cheap."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], pending: Column, name: str, finish: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame:
+    """step() applied until no row of the state is pending; each state is a written table, so that lineage stays short and losses are cheap.
+
+    There is no bound on rounds that decide rows. finish(state, rounds) may decide all that is left at once; None goes on with rounds.
+    """
     state = materialise(state, name)
-    for _ in range(most_rounds):
-        if state.where(pending).isEmpty():
-            return state
+    rounds, least, stalled = 0, None, 0
+    while left := state.where(pending).count():
+        stalled = 0 if least is None or left < least else stalled + 1
+        least = left if least is None else min(least, left)
+        if stalled >= STALLED_ROUNDS:
+            raise RuntimeError(f"{name}: {left} rows still pending, none decided in {stalled} rounds")
+        done = finish(state, rounds) if finish else None
+        if done is not None:
+            return materialise(done, name)
         state = materialise(step(state), name)
-    raise RuntimeError(f"{name}: rows still pending after {most_rounds} rounds")
+        rounds += 1
+    return state
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "nr") -> DataFrame:
