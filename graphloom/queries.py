@@ -358,28 +358,29 @@ def greatest_difference(spark, sf_dir):
 
 @query
 def gs_sweep(spark, sf_dir):
-    """A symmetric sweep on the trade matrix made dominant, in colour order (row mod 25: dense, so each row is a colour)."""
+    """A symmetric sweep on the trade matrix made dominant; it is dense, so each row is a colour."""
     t = tables.nation_trade(spark, sf_dir)
     off = t.where("i <> j").select("i", "j", F.col("v").cast("double"))
-    a = off.unionByName(off.groupBy("i").agg((F.sum("v") * 2).alias("v")).select("i", F.col("i").alias("j"), "v"))
-    b = t.groupBy("i").agg(F.sum("v").cast("double").alias("v"))
-    colors = b.where("i < 3 or i >= 3").select("i", F.least(F.col("i"), F.lit(2)).alias("color"))
-    x = sparse.gauss_seidel(a.where("i = j or i < 3 or j < 3"), b, b.select("i", F.lit(0.0).alias("v")), colors)
+    a = materialise(off.unionByName(off.groupBy("i").agg((F.sum("v") * 2).alias("v")).select("i", F.col("i").alias("j"), "v")), "trade")
+    b = materialise(t.groupBy("i").agg(F.sum("v").cast("double").alias("v")), "trade-sums")
+    x = sparse.gauss_seidel(a, b, b.select("i", F.lit(0.0).alias("v")), b.select("i", F.col("i").alias("color")), direction="symmetric")
     return x.select("i", F.round("v", 6).alias("v"))
 
 
 @query
 def triangular_solve(spark, sf_dir):
     """L x = b with L from the trade matrix: unit-free lower triangle, twice the diagonal."""
-    t = tables.nation_trade(spark, sf_dir).where("i >= j and i - j <= 1").select("i", "j", F.when(F.col("i") == F.col("j"), 2.0 * F.col("v")).otherwise(F.col("v").cast("double")).alias("v"))
+    t = tables.nation_trade(spark, sf_dir).where("i >= j").select("i", "j", F.when(F.col("i") == F.col("j"), 2.0 * F.col("v")).otherwise(F.col("v").cast("double")).alias("v"))
+    t = materialise(t, "trade")
     x = sparse.triangular_solve(t, t.groupBy("i").agg(F.sum("v").alias("v")))
     return x.select("i", F.round("v", 6).alias("v"))
 
 
 @query
 def incomplete_lu(spark, sf_dir):
-    """Factors of a tridiagonal matrix multiply to it: the largest difference, rounded."""
-    t = tables.nation_trade(spark, sf_dir).where("abs(i - j) <= 1").select(F.lit(0).cast("long").alias("g"), "i", "j", F.when(F.col("i") == F.col("j"), 4.0 * F.col("v") + 100).otherwise(F.col("v").cast("double")).alias("v"))
+    """Factors of the trade matrix multiply to it (its pattern is full): the largest difference, rounded."""
+    t = tables.nation_trade(spark, sf_dir).select(F.lit(0).cast("long").alias("g"), "i", "j", F.when(F.col("i") == F.col("j"), 4.0 * F.col("v") + 100).otherwise(F.col("v").cast("double")).alias("v"))
+    t = materialise(t, "trade")
     f = materialise(sparse.incomplete_lu(t), "ilu")
     product = sparse.spgemm(f.where("part = 'L'").select("i", "j", "v"), f.where("part = 'U'").select("i", "j", "v"))
     gap = sparse.spadd(1, product, -1, t).agg(F.max(F.abs("v")).alias("v"))
