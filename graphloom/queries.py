@@ -80,7 +80,7 @@ def user_sequence_graph(spark, sf_dir):
 
 @query
 def order_part_graph(spark, sf_dir):
-    return tables.order_part(spark, sf_dir)
+    return tables.large_order_part(spark, sf_dir)
 
 
 @query
@@ -116,7 +116,7 @@ def matrix_market_values(spark, sf_dir):
 @query
 def compressed_rows_round_trip(spark, sf_dir):
     path = shared_path(spark, "crs")
-    edges = tables.order_part(spark, sf_dir)
+    edges = tables.large_order_part(spark, sf_dir)
     ids = materialise(numbered(g.vertices_of(edges).select(F.col("id").alias("old_id")), "old_id", name="new_id"), "ids")
     files.write_compressed_rows(g.relabelled(edges, ids), path, ids.count())
     return files.read_compressed_rows(spark, path)
@@ -220,17 +220,17 @@ def members_by_color(spark, sf_dir):
 
 @query
 def connected_components(spark, sf_dir):
-    return g.star_components(tables.order_part(spark, sf_dir))
+    return g.star_components(tables.large_order_part(spark, sf_dir))
 
 
 @query
 def largest_component(spark, sf_dir):
-    return g.largest_component(tables.order_part(spark, sf_dir))
+    return g.largest_component(tables.large_order_part(spark, sf_dir))
 
 
 @query
 def bfs_levels(spark, sf_dir):
-    edges = tables.order_part(spark, sf_dir)
+    edges = tables.large_order_part(spark, sf_dir)
     return g.bfs_levels(edges, edges.agg(F.min("src").alias("id")))
 
 
@@ -458,18 +458,18 @@ def matching_pairs(spark, sf_dir):
 
 @query
 def leaf_pairs(spark, sf_dir):
-    return coarsen.leaf_pairs(tables.order_part(spark, sf_dir))
+    return coarsen.leaf_pairs(tables.large_order_part(spark, sf_dir))
 
 
 @query
 def twin_pairs(spark, sf_dir):
-    return coarsen.twin_pairs(tables.order_part(spark, sf_dir))
+    return coarsen.twin_pairs(tables.large_order_part(spark, sf_dir))
 
 
 @query
 def relative_round(spark, sf_dir):
     """Even ids (orders) are free, parts are the hubs."""
-    edges = tables.order_part(spark, sf_dir)
+    edges = tables.large_order_part(spark, sf_dir)
     return coarsen.relative_round(edges, g.vertices_of(edges).where("id % 2 = 0").select("id"))
 
 
@@ -482,12 +482,12 @@ def two_hop_matching_sizes(spark, sf_dir):
 
 @query
 def mis2_set(spark, sf_dir):
-    return coarsen.mis2(tables.order_part(spark, sf_dir)).where("state = 1").select("id")
+    return coarsen.mis2(tables.large_order_part(spark, sf_dir)).where("state = 1").select("id")
 
 
 @query
 def mis2_map(spark, sf_dir):
-    return coarsen.mis2_aggregation(tables.order_part(spark, sf_dir))
+    return coarsen.mis2_aggregation(tables.large_order_part(spark, sf_dir))
 
 
 @query
@@ -745,6 +745,39 @@ def bipartite_coloring(spark, sf_dir):
     return own.agg(F.count_if(F.col("n") != F.col("c")).alias("conflicts"))
 
 
+# --- all orders and parts: what the queries of like names do on large line items only ----------------------------------------------------
+
+
+@query
+def whole_order_part_graph(spark, sf_dir):
+    return tables.order_part(spark, sf_dir)
+
+
+@query
+def whole_compressed_rows_round_trip(spark, sf_dir):
+    path = shared_path(spark, "crs")
+    edges = tables.order_part(spark, sf_dir)
+    ids = materialise(numbered(g.vertices_of(edges).select(F.col("id").alias("old_id")), "old_id", name="new_id"), "ids")
+    files.write_compressed_rows(g.relabelled(edges, ids), path, ids.count())
+    return files.read_compressed_rows(spark, path)
+
+
+@query
+def whole_bfs_levels(spark, sf_dir):
+    edges = tables.order_part(spark, sf_dir)
+    return g.bfs_levels(edges, edges.agg(F.min("src").alias("id")))
+
+
+@query
+def whole_mis2_set(spark, sf_dir):
+    return coarsen.mis2(tables.order_part(spark, sf_dir)).where("state = 1").select("id")
+
+
+@query
+def whole_mis2_map(spark, sf_dir):
+    return coarsen.mis2_aggregation(tables.order_part(spark, sf_dir))
+
+
 # --- experiments -------------------------------------------------------------------------------------------------------------------------
 
 

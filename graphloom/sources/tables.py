@@ -34,13 +34,19 @@ def user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirrored(half)
 
 
-def order_part(spark: SparkSession, sf_dir: str, least_quantity: float = 49.0) -> DataFrame:
-    """Bipartite and sparse: orders (even ids) and parts (odd ids) of large line items."""
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least_quantity)
+def order_part(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> DataFrame:
+    """Bipartite: orders (even ids) and parts (odd ids) of all line items, or of those of at least the quantity."""
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if least_quantity is None else rows.where(F.col("l_quantity") >= least_quantity)
     pairs = rows.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
     return mirrored(pairs.withColumn("w", F.lit(1).cast("long")))
 
 
+def large_order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse part of order_part: large line items only, a graph with leaves, twins and many components."""
+    return order_part(spark, sf_dir, 49.0)
+
+
 def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix entries i (customer nation), j (supplier nation), v (line items)."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("i"))
