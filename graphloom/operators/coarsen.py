@@ -77,14 +77,15 @@ def pointer_jumped(up: DataFrame) -> DataFrame:
     return fixpoint(up, jump, ~F.col("done"), "pointers").select("id", F.col("up").alias("root"))
 
 
-def hec2(edges: DataFrame, vertices: DataFrame | None = None, salt: str = SALT, most_rounds: int = 200) -> DataFrame:
+def hec2(edges: DataFrame, vertices: DataFrame | None = None, salt: str = SALT) -> DataFrame:
     """Heavy-edge clustering in rounds: each vertex accepts its first suitor by priority; accepted pairs that come before those they touch merge; then free vertices join their heavy neighbour's cluster."""
     hn = materialise(heavy_neighbour(edges, vertices, salt).withColumn("p", priority("id", salt)), "heavy")
     state = materialise(hn.select("id", "hn", "p", F.when(F.col("id") == F.col("hn"), F.col("id")).alias("root")), "state")
-    for _ in range(most_rounds):
-        free = state.where("root is null")
-        if free.isEmpty():
-            break
+    before = None
+    while left := (free := state.where("root is null")).count():
+        if left == before:
+            raise RuntimeError(f"hec2: {left} vertices still free, none joined in a round")
+        before = left
         both = free.join(free.select(F.col("id").alias("hn")), "hn")
         pairs = both.groupBy("hn").agg(F.min(F.struct("p", "id")).alias("m")).select(F.col("m.id").alias("u"), F.col("hn").alias("v"), F.col("m.p").alias("p"))
         ends = pairs.select(F.col("u").alias("x"), "p", "u").unionByName(pairs.select(F.col("v").alias("x"), "p", "u"))

@@ -108,14 +108,14 @@ def order_clusters(order: DataFrame, size: int) -> DataFrame:
     return order.select("id", F.expr(f"rnk div {size}").alias("cid"))
 
 
-def balloon_clusters(edges: DataFrame, clusters: int, salt: str = "42", most_rounds: int = 100) -> DataFrame:
+def balloon_clusters(edges: DataFrame, clusters: int, salt: str = "42") -> DataFrame:
     """id, cid: clusters grown at once from hashed roots; in each round a free vertex joins the adjacent cluster that is smallest so far."""
     from graphloom.functions.priority import priority
 
     ids = vertices_of(edges).select("id")
     roots = ids.orderBy(priority("id", salt), "id").limit(clusters).withColumn("cid", F.col("id"))
     state = materialise(ids.join(roots, "id", "left"), "balloon")
-    for _ in range(most_rounds):
+    while True:
         sizes = state.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"))
         taken = state.where("cid is not null").join(sizes, "cid").select(F.col("id").alias("dst"), "cid", "size")
         free = state.where("cid is null").select(F.col("id").alias("src"))

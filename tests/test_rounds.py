@@ -27,3 +27,11 @@ def test_a_loop_without_progress_ends(spark, monkeypatch):
     monkeypatch.setattr(iterate, "STALLED_ROUNDS", 3)
     with pytest.raises(RuntimeError):
         iterate.fixpoint(spark.range(2), lambda s: s, F.lit(True), "endless")
+
+
+def test_a_balloon_reaches_the_end_of_a_long_path(spark):
+    from graphloom.operators import graph
+
+    up = spark.range(210).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    path = materialise(up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1).cast("long")), "path")
+    assert graph.balloon_clusters(path, 1).select("cid").distinct().count() == 1
