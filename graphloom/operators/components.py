@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import materialise
+from graphloom.session import materialise, release
 
 
 def star_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -15,9 +15,9 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     nothing changes; the number of rounds is logarithmic. Edges live in a written table between rounds.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    loops = edges.where(a == b).select(a.alias("id")).distinct()
-    e, before = materialise(e, "edges"), None
+    ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    first = materialise(ends, "ends")  # read once: edges may be dear to compute
+    e, before, written = first.where("u <> v"), None, None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
@@ -31,6 +31,9 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = materialise(small.distinct(), "edges")
+        release(large, written)
+        written = e
+    loops = first.where("u = v").select(F.col("u").alias("id"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
     return stars.unionByName(loops.join(stars, "id", "left_anti").select("id", F.col("id").alias("label")))
