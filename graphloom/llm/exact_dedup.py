@@ -1,6 +1,6 @@
 """Operator 5: exact deduplication through an extendible-hash index on shared files.
 
-The directory starts with one bucket; while a bucket holds more distinct hashes than its capacity, it splits by one more bit of the hash,
+The directory starts with one bucket; while a bucket holds more bytes of distinct texts than its capacity, it splits by one more bit of the hash,
 and the directory doubles whenever a bucket outgrows its depth. Map tasks reduce each chunk of texts to its distinct ones and send them to
 their buckets; an owner task works through a bucket's stream, chains texts whose hashes collide and compares their bytes. What the owners
 find is the index: one row for each distinct text, in files of the shared folder, with which the documents are joined.
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, dealt_to, keyed, partitions_for, real_id, row_batch, unpack
+from graphloom.llm.common import chunks, dealt_to, keyed, real_id, row_batch, unpack
 from graphloom.llm.windows import _SENT_DDL, FLUSH_BYTES, _dealt, by_bucket
 from graphloom.session import materialise
 
-#: Distinct texts that a bucket may hold, at least; buckets at most, as a power of two.
-BUCKET_TEXTS, MOST_BITS = 4096, 20
+#: Bytes of distinct texts (and TEXT_COST for each) that a bucket may hold, at least; buckets at most, as a power of two.
+BUCKET_BYTES, TEXT_COST, MOST_BITS = 8 << 20, 200, 20
 
 #: Of a bucket's payload: hash, largest id, rows, bytes of the text.
 _TEXT = (np.int64, np.int64, np.int64, np.int64)
@@ -35,7 +35,7 @@ _INDEX_DDL = "bucket int, hash long, chained int, text_sha256 string, keep long,
 
 
 def grow_directory(fine: np.ndarray, capacity: int) -> np.ndarray:
-    """The bucket of each value of the hash's first bits. fine: distinct hashes for each value of the most bits that may be used.
+    """The bucket of each value of the hash's first bits. fine: load for each value of the most bits that may be used.
 
     Overfull buckets are always of full depth (a bucket that fits is never looked at again), so each round doubles the directory once and
     splits all of them; a bucket that still overflows at the finest depth stays as it is, and its texts are chained.
@@ -65,9 +65,9 @@ def _send(batches: Iterator[pa.RecordBatch], directory: np.ndarray) -> Iterator[
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in by_bucket(batches):
+    for bucket, _, rows in by_bucket(batches):
         chains: dict[int, list[list]] = {}
-        for _, payload in rows:
+        for payload in rows:
             hashes, ids, counts, sizes, data = unpack(payload, *_TEXT)
             at = 0
             for h, i, n, size in zip(hashes.tolist(), ids.tolist(), counts.tolist(), sizes.tolist()):
@@ -84,19 +84,20 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield row_batch(_INDEX, *zip(*flat))
 
 
-def exact_groups(docs: DataFrame, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
+def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, text_key (xxhash64): one row for each row of docs; the largest doc_id of equal texts stays."""
     own = keyed(docs)
-    members = materialise(own.select("id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "members")
-    rows = members.count()
-    capacity = max(bucket_texts, rows >> MOST_BITS)
-    bits = max(1, math.ceil(math.log2(rows / capacity + 1)) + 1)
-    counted = members.select("key").distinct().groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).count().toArrow()  # at most 2^(MOST_BITS + 2) pairs
+    members = materialise(own.select("id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.octet_length("text").cast("long") + TEXT_COST).alias("load")), "members")
+    total = members.agg(F.sum("load")).first()[0] or 0
+    capacity = max(bucket_bytes, total >> MOST_BITS)
+    bits = max(1, math.ceil(math.log2(total / capacity + 1)) + 1)
+    distinct = members.groupBy("key").agg(F.max("load").alias("load"))
+    counted = distinct.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("prefix")).agg(F.sum("load").alias("load")).toArrow()  # at most 2^(MOST_BITS + 2) pairs
     fine = np.zeros(1 << bits, dtype=np.int64)
-    fine[counted["prefix"].to_numpy()] = counted["count"].to_numpy()
+    fine[counted["prefix"].to_numpy()] = counted["load"].to_numpy()
     directory = grow_directory(fine, capacity)
     sent = own.mapInArrow(partial(_send, directory=directory), _SENT_DDL)
-    n = min(int(directory.max()) + 1, partitions_for(docs, 8 << 20))
+    n = max(1, min(int(directory.max()) + 1, -(-total // (8 << 20))))
     index = materialise(dealt_to(sent, n).sortWithinPartitions("bucket").mapInArrow(_own, _INDEX_DDL), "hash-index")
-    found = members.join(index.select("text_sha256", "keep", "group_size"), "text_sha256")
+    found = members.drop("load").join(index.select("text_sha256", "keep", "group_size"), "text_sha256")
     return found.select(real_id().alias("doc_id"), real_id("keep").alias("keep_id"), "group_size", (F.col("id") == F.col("keep")).alias("kept"), "text_sha256", F.col("key").alias("text_key"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import mix, powers, real_id
-from graphloom.llm.windows import remove_repeats, runs_of, union_length
+from graphloom.llm.windows import _SPACE, CHUNK_BYTES, remove_repeats, runs_of, union_length
 
 #: Words in a window and in the grams whose least hash is the minimiser.
 WINDOW_WORDS, GRAM_WORDS = 50, 8
@@ -29,9 +29,9 @@ _DIGEST = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 def repeated_windows(strings: list[bytes], ids: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
     """(string, first window, windows) of the runs of windows that also start in a string of a smaller id."""
     numbers: dict[bytes, int] = {}
-    words = [[numbers.setdefault(w, len(numbers)) for w in s.split()] for s in strings]
+    words = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in s.split()), dtype=np.int64) for s in strings]
     sizes = np.array([len(w) for w in words])
-    flat = np.array([x for w in words for x in w], dtype=np.int64)
+    flat = np.concatenate(words)
     owner = np.repeat(np.arange(len(strings)), sizes)
     first = np.cumsum(sizes) - sizes
     position = np.arange(len(flat)) - first[owner]
@@ -55,27 +55,38 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray, width: int) -> Itera
     yield from runs_of(flags, owner[starts], position[starts])
 
 
-def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
-    words = text.split()  # of bytes: at x20 and x09-x0D
-    if not len(starts):
-        return len(words), 0, b" ".join(words)
+def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(words, removed words, kept ones joined) of each piece of a text, cut between words, so that a very long text makes no long list."""
     s, e = union_length(starts, ends)
-    kept, at = [], 0
-    for a, b in zip(s.tolist(), e.tolist()):
-        kept += words[at:a]
-        at = b
-    kept += words[at:]
-    return len(words), len(words) - len(kept), b" ".join(kept)
+    at = base = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + CHUNK_BYTES)
+        stop = gap.start() if gap else len(text)
+        words = text[at:stop].split()  # of bytes: at x20 and x09-x0D
+        kept, begin = [], 0
+        a, b = np.searchsorted(e, base, "right"), np.searchsorted(s, base + len(words), "left")
+        for x, y in zip((s[a:b] - base).tolist(), (e[a:b] - base).tolist()):
+            kept += words[begin : max(x, 0)]
+            begin = y
+        kept += words[begin:]
+        yield len(words), len(words) - len(kept), b" ".join(kept)
+        at, base = stop, base + len(words)
 
 
 def _kept_text(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:
-    n, removed, kept = _kept(text, starts, ends)
-    return n, removed, kept.decode("utf-8", "replace")
+    parts = list(_kept(text, starts, ends))
+    return sum(p[0] for p in parts), sum(p[1] for p in parts), b" ".join(p[2] for p in parts if p[2]).decode("utf-8", "replace")
 
 
 def _kept_digest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:
-    n, removed, kept = _kept(text, starts, ends)
-    return n, removed, hashlib.sha256(kept).hexdigest()
+    n = removed = 0
+    digest, gap = hashlib.sha256(), b""
+    for words, gone, kept in _kept(text, starts, ends):
+        n, removed = n + words, removed + gone
+        if kept:
+            digest.update(gap + kept)
+            gap = b" "
+    return n, removed, digest.hexdigest()
 
 
 def dedup_words(docs: DataFrame, width: int = WINDOW_WORDS, gram: int = GRAM_WORDS, digest: bool = False) -> DataFrame:

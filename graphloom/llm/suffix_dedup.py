@@ -22,7 +22,7 @@ from graphloom.llm.common import real_id
 from graphloom.llm.windows import remove_repeats, runs_of, union_length
 
 #: Bytes of a string, of the grams whose least hash is its minimiser, and of a shard.
-STRING_BYTES, GRAM_BYTES, SHARD_BYTES = 50, 20, 1 << 20
+STRING_BYTES, GRAM_BYTES, SHARD_BYTES = 50, 20, 1 << 18
 
 _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 _DIGEST = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -103,34 +103,39 @@ def common_prefixes(order: np.ndarray, eights: np.ndarray, most: int) -> np.ndar
 
 
 class _Shard:
-    """The distinct strings of one shard in order, and where each occurs."""
+    """The distinct strings of one shard in order, and where each occurs. Places and groups are 32-bit numbers, as a shard is small."""
 
     def __init__(self, strings: list[bytes], ids: np.ndarray, width: int):
         data = np.frombuffer(b"".join(strings), np.uint8)
-        sizes = np.array([len(s) for s in strings], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(strings)), sizes)
-        self.position = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[self.owner]
+        sizes = np.array([len(s) for s in strings], dtype=np.int32)
+        self.ids, self.ends = ids, np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
         order, eights = suffix_array(data, width, 2 * width)
         shared = common_prefixes(order, eights, width)
-        whole = self.position[order] <= sizes[self.owner[order]] - width  # others run past their string's end
+        del eights
+        whole = order + width <= self.ends[owner[order]]  # others run past their string's end
         group = np.cumsum(shared < width)[whole]
-        self.places = order[whole]
-        heads = np.flatnonzero(np.diff(group, prepend=-1))
-        self.group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
-        self.ids = ids[self.owner[self.places]]
-        self.smallest = np.minimum.reduceat(self.ids, heads)
-        padded = np.concatenate([data, np.zeros(width, dtype=np.uint8)])
-        views = np.lib.stride_tricks.sliding_window_view(padded, width)
+        self.places = order[whole].astype(np.int32)
+        new = np.diff(group, prepend=-1) != 0
+        heads = np.flatnonzero(new)
+        self.group = (np.cumsum(new) - 1).astype(np.int32)
+        self.smallest = np.minimum.reduceat(ids[owner[self.places]], heads)
+        views = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, dtype=np.uint8)]), width)
         self.heads = np.ascontiguousarray(views[self.places[heads]]).view(f"S{width}").ravel()
 
     def runs(self, smallest: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        flags = np.zeros(len(self.owner), dtype=bool)
-        flags[self.places] = self.ids > smallest[self.group]
-        yield from runs_of(flags, self.owner, self.position)
+        owner = np.searchsorted(self.ends, np.arange(self.ends[-1]), "right")  # of each byte
+        flags = np.zeros(len(owner), dtype=bool)
+        flags[self.places] = self.ids[owner[self.places]] > smallest[self.group]
+        first = np.concatenate([[0], self.ends[:-1]])
+        yield from runs_of(flags, owner, np.arange(len(owner)) - first[owner])
 
 
 def repeated_strings(strings: list[bytes], ids: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
-    """(string, first place, places) of the runs of `width`-byte strings that also start in a string of a smaller id."""
+    """(string, first place, places) of the runs of `width`-byte strings that also start in a string of a smaller id.
+
+    Called for about PART_BYTES at a time (see windows.py), so the shards that live at once are few.
+    """
     cuts, total = [0], 0
     for i, s in enumerate(strings):
         if total and total + len(s) > SHARD_BYTES:

@@ -15,14 +15,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import chunks, dealt_to, keyed, partitions_for, real_id, row_batch, unpack
 from graphloom.llm.tokenizer import default_path, load, tokenizer_digest
 from graphloom.llm.windows import _SENT_DDL, FLUSH_BYTES, _dealt, by_bucket
-from graphloom.session import materialise, shared_path
+from graphloom.session import materialise, path_is_empty, shared_path
 
 LIMIT_TOKENS = 1024
 
@@ -50,9 +49,12 @@ def _stored(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.Re
 
 def _encode_misses(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str) -> Iterator[pa.RecordBatch]:
     model = load(path)
-    for _, rows in by_bucket(batches):
-        seen: set[bytes] = set()
-        for kind, payload in rows:
+    seen: set[bytes] = set()
+    last = None
+    for bucket, kind, rows in by_bucket(batches):
+        if bucket != last:
+            seen, last = set(), bucket
+        for payload in rows:
             sizes, data = unpack(payload, np.int64)
             ends = np.cumsum(sizes)
             own = [data[e - z : e] for e, z in zip(ends.tolist(), sizes.tolist())]
@@ -80,11 +82,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, cache_path:
 
     n = partitions_for(docs, 8 << 20)
     sent = own.select("text", "id", "key").mapInArrow(partial(_distinct_texts, n_buckets=n), _SENT_DDL)
-    try:
+    if not path_is_empty(spark, cache):
         have = stored().join(members.select("content_sha256").distinct(), "content_sha256", "left_semi").select("content_sha256")
         sent = sent.unionByName(have.mapInArrow(partial(_stored, n_buckets=n), _SENT_DDL))
-    except AnalysisException:
-        pass  # no cache yet
     misses = dealt_to(sent, n).sortWithinPartitions("bucket", "kind")
     misses.mapInArrow(partial(_encode_misses, path=path, tokenizer=tokenizer), _CACHE_DDL).write.mode("append").parquet(cache)
     # written first: both sides of the join are then plain tables, of which Spark broadcasts a small one and splits hot digests of large ones

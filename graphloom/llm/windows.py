@@ -7,15 +7,21 @@ in all but a unit each; they travel as one packed string to the bucket that the
 A string whose minimiser no other id has cannot hold a repeated window. So minimisers (32 bits of them) are matched first, and only
 strings with a shared one travel: text that nothing repeats costs a few bytes for each super-k-mer.
 
-Hot content is settled before it travels: of equal minimisers or packed strings in one chunk of texts only one goes on (of strings, that
-of the smallest id), as all others are known to have an equal beside them. The bucket's owner does the same with its stream of chunks, so
-memory follows the distinct strings of a bucket, never the copies.
+Hot content is split. Of equal packed strings in one chunk of texts only that of the smallest id goes on, as the others are known to have
+an equal beside them; the bucket's owner does the same with its stream of chunks. A minimiser that occurs over `MOST_ENTRIES` times in all,
+or in over `MOST_LOCAL` texts of a chunk, is hot (variants of a common passage): its windows travel one by one as 128-bit BLAKE2b
+digests, of each chunk's equal ones those of the smallest id, to the buckets that the digests name. So no bucket has more than so many
+strings of a minimiser, and the windows of one hot passage are dealt over all tasks. The owner works through a bucket in parts of whole
+minimisers of about `PART_BYTES`; memory follows the bucket size, never the copies.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +44,29 @@ from graphloom.llm.common import (
 )
 from graphloom.session import shared_path
 
-#: Bytes of text worked on at once in numpy, and those whose packed strings go out together.
-CHUNK_BYTES, FLUSH_BYTES = 1 << 20, 8 << 20
+#: Bytes of text worked on at once in numpy, those whose packed strings go out together, and those that an owner compares at once.
+CHUNK_BYTES, FLUSH_BYTES, PART_BYTES = 1 << 20, 8 << 20, 1 << 20
 #: Windows in one packed string at most, so that repetitive texts make no boundless strings.
 MOST_WINDOWS = 256
-#: Bytes of input for each bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket; buckets of digests for each bucket of strings.
+BUCKET_BYTES, DIGEST_BUCKETS = 8 << 20, 8
+#: A minimiser is hot beyond so many occurrences in all, or so many texts of one chunk.
+MOST_ENTRIES, MOST_LOCAL = 4096, 32
 
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _SENT_DDL = "bucket int, kind int, payload binary"
 #: Of a bucket's payload: minimiser, id, key, first unit, windows, bytes of the string.
 _STRING = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
+#: Of hot windows: the digest's halves, id, key, first unit.
+_WINDOW = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
 #: Of a removal's payload: id, key, first unit, unit after the last.
 _CUT = (np.int64, np.int64, np.int32, np.int32)
+#: Of minimisers: 32 bits of one, id, bucket of the document, occurrences (-1: of so many texts of a chunk that they know it is hot).
+_ENTRY = (np.uint32, np.int64, np.int32, np.int32)
+#: Of shared minimisers: 32 bits of one, id, whether it is hot.
+_REPLY = (np.uint32, np.int64, np.bool_)
+
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 class SuperKmers:
@@ -100,6 +116,31 @@ class SuperKmers:
                 h = e
 
 
+def pieces(texts: list[bytes], unit: str, width: int) -> Iterator[tuple[list[bytes], int]]:
+    """The texts of a chunk with the number of their first unit; one text over CHUNK_BYTES comes in pieces, which overlap so that each window is whole in just one."""
+    if len(texts) != 1 or len(texts[0]) <= CHUNK_BYTES:
+        yield texts, 0
+        return
+    text, at, units = texts[0], 0, 0
+    if unit == "byte":
+        for at in range(0, max(1, len(text) - width + 1), CHUNK_BYTES):
+            yield [text[at : at + CHUNK_BYTES + width - 1]], at
+        return
+    while True:
+        stop = at
+        while True:
+            stop += CHUNK_BYTES
+            gap = _SPACE.search(text, stop) if stop < len(text) else None
+            end = gap.start() if gap else len(text)
+            starts, _ = word_bounds(np.frombuffer(text, np.uint8, end - at, at))
+            if end == len(text) or len(starts) >= 2 * width:
+                break
+        yield [text[at:end]], units
+        if end == len(text):
+            return
+        at, units = at + int(starts[len(starts) - width + 1]), units + len(starts) - width + 1
+
+
 class _Strings:
     """Distinct packed strings with the places of the smallest id that has each; all other places are settled as removals."""
 
@@ -128,10 +169,24 @@ class _Strings:
             self.places[string] = [place]
 
 
-def _cut_rows(cuts: list[tuple[int, int, int, int]], n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    if cuts:
-        a = np.array(cuts, dtype=np.int64)
-        yield from _dealt(a[:, 0] % n_doc_buckets, 0, [a[:, 0], a[:, 1], a[:, 2].astype(np.int32), a[:, 3].astype(np.int32)])
+def doc_bucket(ids: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each document, by id and key: repeated and null ids spread over all."""
+    return (mix(ids.view(np.uint64) ^ mix(keys.view(np.uint64))) % np.uint64(n)).astype(np.int64)
+
+
+def _cut_rows(cuts: np.ndarray, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Removals (id, key, first, end) to their documents; touching ones of a document are merged before they travel."""
+    if not len(cuts):
+        return
+    a = cuts[np.lexsort((cuts[:, 2], cuts[:, 1], cuts[:, 0]))]
+    other = np.concatenate([[True], (a[1:, 0] != a[:-1, 0]) | (a[1:, 1] != a[:-1, 1])])
+    reach = np.maximum.accumulate((np.cumsum(other) << 33) + a[:, 3]) & ((1 << 33) - 1)  # the furthest end so far in the document
+    new = other.copy()
+    new[1:] |= a[1:, 2] > reach[:-1]
+    heads = np.flatnonzero(new)
+    ids, keys = np.ascontiguousarray(a[heads, 0]), np.ascontiguousarray(a[heads, 1])
+    ends = reach[np.append(heads[1:], len(a)) - 1]
+    yield from _dealt(doc_bucket(ids, keys, n_doc_buckets), 0, [ids, keys, a[heads, 2].astype(np.int32), ends.astype(np.int32)])
 
 
 def _dealt(bucket: np.ndarray, kind: int, arrays: list[np.ndarray], strings: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
@@ -148,32 +203,43 @@ def _dealt(bucket: np.ndarray, kind: int, arrays: list[np.ndarray], strings: lis
         yield row_batch(_SENT, *rows)
 
 
-def _minimisers(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n_buckets: int, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Minimisers to their buckets (kind 1); those that several ids of a chunk have, to the buckets of the documents (kind 0)."""
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and sizes of the runs of equal rows."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    heads = np.flatnonzero(new)
+    return heads, np.diff(heads, append=len(new))
 
-    def flush(minimiser: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((ids, minimiser))
-        minimiser, ids = minimiser[order], ids[order]
-        new = np.concatenate([[True], (minimiser[1:] != minimiser[:-1]) | (ids[1:] != ids[:-1])])
-        minimiser, ids = minimiser[new], ids[new]
-        heads = np.flatnonzero(np.concatenate([[True], minimiser[1:] != minimiser[:-1]]))
-        sizes = np.diff(heads, append=len(minimiser))
-        many = sizes > 1
-        inside = np.repeat(many, sizes)
-        yield from _replies(minimiser[inside].astype(np.uint32), ids[inside], n_doc_buckets)
-        order = np.argsort(ids[heads], kind="stable")
-        heads, many = heads[order], many[order]
-        yield from _dealt(_bucket_of(minimiser[heads], n_buckets), 1, [minimiser[heads].astype(np.uint32), many, ids[heads]])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+def _minimisers(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n_buckets: int, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Minimisers to their buckets (kind 1); those that many texts of a chunk have are hot, and these texts are told at once (kind 0)."""
+
+    def flush(minimiser: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((docs, ids, minimiser))
+        minimiser, ids, docs = minimiser[order], ids[order], docs[order]
+        heads, count = _groups(minimiser, ids, docs)
+        minimiser, ids, docs, count = minimiser[heads], ids[heads], docs[heads], count.astype(np.int32)
+        heads, sizes = _groups(minimiser)
+        hot = np.repeat(sizes > MOST_LOCAL, sizes)
+        yield from _replies(minimiser[hot].astype(np.uint32), ids[hot], docs[hot], np.ones(np.count_nonzero(hot), dtype=bool))
+        count[heads[sizes > MOST_LOCAL]] = -1
+        sent = np.flatnonzero(~hot | (count < 0))
+        sent = sent[np.argsort(ids[sent], kind="stable")]
+        yield from _dealt(_bucket_of(minimiser[sent], n_buckets), 1, [minimiser[sent].astype(np.uint32), ids[sent], docs[sent].astype(np.int32), count[sent]])
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for texts, cols in chunks(batches, CHUNK_BYTES):
-        found = SuperKmers(texts, unit, width, gram)
-        held.append((found.minimiser, cols["id"][found.owner]))
-        size += sum(map(len, texts))
-        if size >= FLUSH_BYTES:
-            yield from flush(*(np.concatenate(x) for x in zip(*held)))
-            held, size = [], 0
+        docs = doc_bucket(cols["id"], cols["key"], n_doc_buckets)
+        for some, _ in pieces(texts, unit, width):
+            found = SuperKmers(some, unit, width, gram)
+            held.append((found.minimiser, cols["id"][found.owner], docs[found.owner]))
+            size += sum(map(len, some))
+            if size >= FLUSH_BYTES:
+                yield from flush(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
     if held:
         yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
@@ -182,27 +248,64 @@ def _bucket_of(minimiser: np.ndarray, n_buckets: int) -> np.ndarray:
     return (mix(minimiser) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def _replies(minimiser: np.ndarray, ids: np.ndarray, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
+def _replies(minimiser: np.ndarray, ids: np.ndarray, docs: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.argsort(ids, kind="stable")
-    yield from _dealt(ids[order] % n_doc_buckets, 0, [minimiser[order], ids[order]])
+    yield from _dealt(docs[order], 0, [minimiser[order], ids[order], hot[order]])
 
 
-def _shared(batches: Iterator[pa.RecordBatch], n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    """The owner of minimisers: tells the documents which of theirs another id has too."""
-    for _, rows in by_bucket(batches):
-        parts = [unpack(payload, np.uint32, np.bool_, np.int64)[:3] for _, payload in rows]
-        minimiser, many, ids = (np.concatenate(x) for x in zip(*parts))
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The owner of minimisers: tells the documents which of theirs another id has too, and which of these are hot."""
+    for _, _, rows in by_bucket(batches):
+        minimiser, ids, docs, count = (np.concatenate(x) for x in zip(*(unpack(payload, *_ENTRY)[:4] for payload in rows)))
         order = np.lexsort((ids, minimiser))
-        minimiser, many, ids = minimiser[order], many[order], ids[order]
-        heads = np.flatnonzero(np.concatenate([[True], minimiser[1:] != minimiser[:-1]]))
-        sizes = np.diff(heads, append=len(minimiser))
-        shared = np.repeat((ids[heads] != ids[heads + sizes - 1]) | np.logical_or.reduceat(many, heads), sizes) & ~many
-        # an entry of many ids stands for its smallest, which its chunk has told already
-        yield from _replies(minimiser[shared], ids[shared], n_doc_buckets)
+        minimiser, ids, docs, count = minimiser[order], ids[order], docs[order], count[order]
+        heads, sizes = _groups(minimiser)
+        known = np.minimum.reduceat(count, heads) < 0
+        hot = np.repeat(known | (np.add.reduceat(count.astype(np.int64), heads) > MOST_ENTRIES), sizes)
+        shared = np.repeat(known | (ids[heads] != ids[heads + sizes - 1]), sizes) & (count > 0)  # the others know
+        yield from _replies(minimiser[shared], ids[shared], docs[shared].astype(np.int64), hot[shared])
+
+
+def window_digests(string: bytes, unit: str, width: int) -> list[bytes]:
+    """A 128-bit digest of each window of a packed string; words count, what separates them does not."""
+    digest = hashlib.blake2b
+    if unit == "byte":
+        return [digest(string[k : k + width], digest_size=16).digest() for k in range(len(string) - width + 1)]
+    words = string.split()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [digest(joined[a:b], digest_size=16).digest() for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def _hot_windows(strings: _Strings, unit: str) -> np.ndarray | None:
+    """Rows (digest's halves, id, key, first unit) of the windows of the strings."""
+    digests, rows = [], []
+    for s, places in strings.places.items():
+        own = window_digests(s, unit, strings.width)
+        for _, i, k, first, windows in places:
+            digests += own
+            rows.append((i, k, first, windows))
+    if not rows:
+        return None
+    halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    a = np.array(rows, dtype=np.int64)
+    each = np.repeat(np.arange(len(a)), a[:, 3])
+    first = a[each, 2] + np.arange(len(each)) - np.repeat(np.cumsum(a[:, 3]) - a[:, 3], a[:, 3])
+    return np.concatenate([halves.view(np.int64), a[each, :2], first[:, None]], axis=1)
+
+
+def _settle(windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal windows: those of the smallest id, and the removals of all others."""
+    a = windows[np.lexsort((windows[:, 2], windows[:, 1], windows[:, 0]))]
+    heads, sizes = _groups(a[:, 0], a[:, 1])
+    later = a[:, 2] > np.repeat(a[heads, 2], sizes)
+    gone = a[later]
+    return a[~later], np.column_stack([gone[:, 2], gone[:, 3], gone[:, 4], gone[:, 4] + width])
 
 
 def _send(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n_buckets: int, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    """From documents' buckets (kind 0 shared minimisers, then kind 1 texts): strings (kind 1), and settled removals (kind 0)."""
+    """From documents' buckets (kind 0 shared minimisers, then kind 1 texts): strings (kind 1), hot windows (kind 2), and settled removals (kind 0)."""
 
     def flush(strings: _Strings) -> Iterator[pa.RecordBatch]:
         flat = [(s, p) for s, ps in strings.places.items() for p in ps]
@@ -210,21 +313,28 @@ def _send(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n
             mini = np.array([p[0] for _, p in flat], dtype=np.uint64)
             cols = [np.array([p[k] for _, p in flat], dtype=_STRING[k]) for k in range(1, 5)]
             yield from _dealt(_bucket_of(mini, n_buckets), 1, [mini, *cols, np.array([len(s) for s, _ in flat], dtype=np.int32)], [s for s, _ in flat])
-        yield from _cut_rows(strings.cuts, n_doc_buckets)
-
-    strings = _Strings(width)
-    for _, rows in by_bucket(batches):
-        told: list[tuple[np.ndarray, np.ndarray]] = []
-        known = None
-        for kind, payload in rows:
-            if kind == 0:
-                told.append(unpack(payload, np.uint32, np.int64)[:2])
-                continue
-            if known is None:
-                minis, owners = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-                order = np.argsort(owners, kind="stable")
-                minis, owners = minis[order], owners[order]
-                known = True
+        yield from _cut_rows(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4), n_doc_buckets)
+
+    def flush_hot(strings: _Strings) -> Iterator[pa.RecordBatch]:
+        windows = _hot_windows(strings, unit)
+        if windows is not None:
+            windows, gone = _settle(windows, width)
+            yield from _cut_rows(gone, n_doc_buckets)
+            cols = [np.ascontiguousarray(windows[:, k]) for k in range(5)]
+            yield from _dealt(_bucket_of(cols[0].view(np.uint64), n_buckets * DIGEST_BUCKETS), 2, [cols[0], cols[1], cols[2], cols[3], cols[4].astype(np.int32)])
+        yield from _cut_rows(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4), n_doc_buckets)
+
+    strings, hot_strings = _Strings(width), _Strings(width)
+    told: list[tuple[np.ndarray, ...]] = []
+    for _, kind, rows in by_bucket(batches):
+        if kind == 0:
+            told = [unpack(payload, *_REPLY)[:3] for payload in rows]
+            continue
+        minis, owners, hots = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, t) for t in _REPLY)
+        told = []
+        order = np.argsort(owners, kind="stable")
+        minis, owners, hots = minis[order].astype(np.int64), owners[order], hots[order]
+        for payload in rows if len(minis) else ():
             ids, keys, sizes, data = unpack(payload, np.int64, np.int64, np.int64)
             ends = np.cumsum(sizes)
             at = 0
@@ -233,59 +343,79 @@ def _send(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n
                 texts = [data[e - z : e] for e, z in zip(ends[at:stop].tolist(), sizes[at:stop].tolist())]
                 own = ids[at:stop]
                 a, b = np.searchsorted(owners, own, "left"), np.searchsorted(owners, own, "right")
-                allowed = np.concatenate([np.int64(k) << 32 | minis[x:y].astype(np.int64) for k, (x, y) in enumerate(zip(a.tolist(), b.tolist()))])
-                if len(allowed):
-                    found = SuperKmers(texts, unit, width, gram)
-                    some = np.isin(found.owner << 32 | found.minimiser.astype(np.uint32).astype(np.int64), allowed)
-                    for o, first, windows, mini, string in found.strings(np.flatnonzero(some)):
-                        strings.add(string, (mini, int(own[o]), int(keys[at + o]), first, windows))
+                allowed = np.concatenate([np.int64(k) << 32 | minis[x:y] for k, (x, y) in enumerate(zip(a.tolist(), b.tolist()))])
+                hot = np.concatenate([hots[x:y] for x, y in zip(a.tolist(), b.tolist())])
+                for some, units in pieces(texts, unit, width) if len(allowed) else ():
+                    found = SuperKmers(some, unit, width, gram)
+                    named = found.owner << 32 | found.minimiser.astype(np.uint32).astype(np.int64)
+                    is_hot = np.isin(named, allowed[hot])
+                    for held, which in ((strings, np.isin(named, allowed[~hot]) & ~is_hot), (hot_strings, is_hot)):
+                        for o, first, windows, mini, string in found.strings(np.flatnonzero(which)):
+                            held.add(string, (mini, int(own[o]), int(keys[at + o]), units + first, windows))
+                    if strings.bytes >= FLUSH_BYTES:
+                        yield from flush(strings)
+                        strings = _Strings(width)
+                    if hot_strings.bytes >= CHUNK_BYTES:
+                        yield from flush_hot(hot_strings)
+                        hot_strings = _Strings(width)
                 at = stop
-                if strings.bytes >= FLUSH_BYTES:
-                    yield from flush(strings)
-                    strings = _Strings(width)
     yield from flush(strings)
+    yield from flush_hot(hot_strings)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
-    """The rows of each bucket, of a stream sorted by bucket."""
-    from itertools import groupby
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    """(bucket, kind, payloads) of each bucket and kind, of a stream sorted by both."""
 
     def rows():
         for b in batches:
-            yield from zip(longs_of(b, "bucket").tolist(), longs_of(b, "kind").tolist(), b.column(2).to_pylist())
+            payloads = b.column(2)
+            for k, (bucket, kind) in enumerate(zip(longs_of(b, "bucket").tolist(), longs_of(b, "kind").tolist())):
+                yield bucket, kind, payloads[k]
 
-    for bucket, own in groupby(rows(), key=lambda r: r[0]):
-        yield bucket, ((kind, payload) for _, kind, payload in own)
+    for (bucket, kind), own in groupby(rows(), key=lambda r: r[:2]):
+        yield bucket, kind, (payload.as_py() for _, _, payload in own)
 
 
 def _own(batches: Iterator[pa.RecordBatch], width: int, n_doc_buckets: int, repeated: Callable) -> Iterator[pa.RecordBatch]:
-    """The owner of minimiser buckets: which windows of which places also start in a smaller id."""
-    for _, rows in by_bucket(batches):
+    """The owner of buckets of minimisers (kind 1) or digests (kind 2): which windows of which places also start in a smaller id."""
+    for _, kind, rows in by_bucket(batches):
+        if kind == 2:
+            windows = np.concatenate([np.column_stack([c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in unpack(payload, *_WINDOW)[:5]]) for payload in rows])
+            yield from _cut_rows(_settle(windows, width)[1], n_doc_buckets)
+            continue
         strings = _Strings(width)
-        for _, payload in rows:
+        for payload in rows:
             *cols, data = unpack(payload, *_STRING)
             at = 0
             for *place, size in zip(*(c.tolist() for c in cols)):
                 strings.add(data[at : at + size], tuple(place))
                 at += size
             if len(strings.cuts) > 100_000:
-                yield from _cut_rows(strings.cuts, n_doc_buckets)
+                yield from _cut_rows(np.array(strings.cuts, dtype=np.int64), n_doc_buckets)
                 strings.cuts.clear()
         flat = [(s, p) for s, ps in strings.places.items() for p in ps]
+        strings.places.clear()
         # equal windows have one minimiser: a string whose minimiser no other id has is clean
         mini = np.array([p[0] for _, p in flat], dtype=np.uint64)
         ids = np.array([p[1] for _, p in flat], dtype=np.int64)
         order = np.lexsort((ids, mini))
-        heads = np.flatnonzero(np.concatenate([[True], mini[order][1:] != mini[order][:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
-        sizes = np.diff(heads, append=len(order))
-        mixed = np.repeat(ids[order][heads] != ids[order][heads + sizes - 1], sizes) if len(order) else np.zeros(0, dtype=bool)
-        some = [flat[i] for i in order[mixed].tolist()]
-        strings.places.clear()
-        if some:
-            for place, first, windows in repeated([s for s, _ in some], np.array([p[1] for _, p in some], dtype=np.int64), width):
-                _, i, k, start, _ = some[place][1]
-                strings.cuts.append((i, k, start + first, start + first + windows + width - 1))
-        yield from _cut_rows(strings.cuts, n_doc_buckets)
+        heads, sizes = _groups(mini[order])
+        part, total = [], 0
+        for h, n in zip(heads.tolist(), sizes.tolist()):
+            some = order[h : h + n].tolist()
+            if ids[some[0]] != ids[some[-1]]:
+                part += some
+                total += sum(len(flat[k][0]) for k in some)
+            if part and (total >= PART_BYTES or h == heads[-1]):
+                strings.cuts += _repeats([flat[k] for k in part], width, repeated)
+                part, total = [], 0
+        yield from _cut_rows(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4), n_doc_buckets)
+
+
+def _repeats(some: list[tuple[bytes, tuple[int, int, int, int, int]]], width: int, repeated: Callable) -> Iterator[tuple[int, int, int, int]]:
+    for string, first, windows in repeated([s for s, _ in some], np.array([p[1] for _, p in some], dtype=np.int64), width):
+        _, i, k, start, _ = some[string][1]
+        yield i, k, start + first, start + first + windows + width - 1
 
 
 def runs_of(flags: np.ndarray, owner: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -302,27 +432,26 @@ def runs_of(flags: np.ndarray, owner: np.ndarray, position: np.ndarray) -> Itera
 def _texts(batches: Iterator[pa.RecordBatch], n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
     """Texts as compressed blobs, dealt to buckets of documents (kind 1)."""
     for texts, cols in chunks(batches, FLUSH_BYTES):
-        yield from _dealt(cols["id"] % n_doc_buckets, 1, [cols["id"], cols["key"], np.array([len(t) for t in texts], dtype=np.int64)], texts)
+        yield from _dealt(doc_bucket(cols["id"], cols["key"], n_doc_buckets), 1, [cols["id"], cols["key"], np.array([len(t) for t in texts], dtype=np.int64)], texts)
 
 
 def _finish(batches: Iterator[pa.RecordBatch], result: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for _, rows in by_bucket(batches):
-        cuts: list[tuple[np.ndarray, ...]] = []
-        order = starts = None
-        for kind, payload in rows:
-            if kind == 0:
-                cuts.append(unpack(payload, *_CUT)[:4])
-                continue
-            if starts is None:
-                all_cuts = [np.concatenate([c[k] for c in cuts]) if cuts else np.zeros(0, dtype=_CUT[k]) for k in range(4)]
-                order = np.lexsort((all_cuts[2], all_cuts[1], all_cuts[0]))
-                ids, keys, begins, ends = (c[order] for c in all_cuts)
-                heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(ids) else np.zeros(0, dtype=np.int64)
-                starts = dict(zip(zip(ids[heads].tolist(), keys[heads].tolist()), zip(heads.tolist(), np.append(heads[1:], len(ids)).tolist())))
+    cuts: list[tuple[np.ndarray, ...]] = []
+    for _, kind, rows in by_bucket(batches):
+        if kind == 0:
+            cuts = [unpack(payload, *_CUT)[:4] for payload in rows]
+            continue
+        ids, keys, begins, ends = (np.concatenate(x) for x in zip(*cuts)) if cuts else (np.zeros(0, dtype=t) for t in _CUT)
+        cuts = []
+        order = np.lexsort((begins, keys, ids))
+        ids, keys, begins, ends = (c[order] for c in (ids, keys, begins, ends))
+        heads, sizes = _groups(ids, keys)
+        spans = dict(zip(zip(ids[heads].tolist(), keys[heads].tolist()), zip(heads.tolist(), (heads + sizes).tolist())))
+        for payload in rows:
             i, k, sizes, data = unpack(payload, np.int64, np.int64, np.int64)
             out, at = [], 0
             for one_id, key, size in zip(i.tolist(), k.tolist(), sizes.tolist()):
-                a, b = starts.get((one_id, key), (0, 0))
+                a, b = spans.get((one_id, key), (0, 0))
                 out.append((one_id, *result(data[at : at + size], begins[a:b], ends[a:b])))
                 at += size
             yield row_batch(schema, *zip(*out))
@@ -346,9 +475,9 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
         rows.write.parquet(path)
         return spark.read.schema(_SENT_DDL).parquet(path)
 
-    # rows of kind 0 are for documents' buckets and pass the owners of kind 1 by
+    # rows of kind 0 are for documents' buckets and pass the owners of the others by
     minimisers = exchanged(own.mapInArrow(partial(_minimisers, **grams), _SENT_DDL), "kind", "bucket")
-    shared = written(minimisers.mapInArrow(partial(_own_or_pass, own=partial(_shared, n_doc_buckets=n_doc_buckets)), _SENT_DDL), "shared")
+    shared = written(minimisers.mapInArrow(partial(_own_or_pass, own=_shared), _SENT_DDL), "shared")
     texts = own.mapInArrow(partial(_texts, n_doc_buckets=n_doc_buckets), _SENT_DDL)
     strings = exchanged(shared.unionByName(texts), "bucket", "kind").mapInArrow(partial(_send, **grams), _SENT_DDL)
     owners = partial(_own, width=width, n_doc_buckets=n_doc_buckets, repeated=repeated)
@@ -357,26 +486,14 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
 
 
 def _own_or_pass(batches: Iterator[pa.RecordBatch], own: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 (first in the order) pass; those of kind 1 go through own()."""
-    import pyarrow.compute as pc
-
-    def strings():
-        for b in batches:
-            kinds = longs_of(b, "kind")
-            if not kinds.any():
-                passed.append(b)
-            else:
-                if not kinds.all():
-                    passed.append(b.filter(pc.equal(b.column(1), 0)))
-                    b = b.filter(pc.equal(b.column(1), 1))
-                yield b
-
-    passed: list[pa.RecordBatch] = []
-    for out in own(strings()):
-        yield from passed
-        passed.clear()
-        yield out
-    yield from passed
+    """Rows of kind 0, which come first in the order, pass as they come; those of the other kinds go through own()."""
+    batches = iter(batches)
+    for b in batches:
+        first = int(np.count_nonzero(longs_of(b, "kind") == 0))
+        if first:
+            yield b.slice(0, first)
+        if first < b.num_rows:
+            yield from own(chain([b.slice(first)], batches))
 
 
 def union_length(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

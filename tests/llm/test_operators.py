@@ -7,13 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from graphloom.llm import decontam, exact_dedup, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, windows
 from graphloom.llm.tokenizer import default_path, load
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,6 +106,54 @@ def test_byte_strings(docs):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_left(50)
 
 
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_hot_and_long_texts(unit, monkeypatch):
+    """Hot minimisers, merged removals, pieces of long texts: the exchange's own steps, with small bounds, against brute force."""
+    for name, bound in (("MOST_ENTRIES", 6), ("MOST_LOCAL", 3), ("CHUNK_BYTES", 400), ("FLUSH_BYTES", 3000), ("PART_BYTES", 500)):
+        monkeypatch.setattr(windows, name, bound)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 100)
+    width, gram = (50, 8) if unit == "word" else (50, 20)
+    repeated = substring_dedup.repeated_windows if unit == "word" else suffix_dedup.repeated_strings
+    grams = {"unit": unit, "width": width, "gram": gram, "n_buckets": 3, "n_doc_buckets": 6}
+    texts = [(t or "").encode() for _, t in ROWS]
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("text", pa.string())])
+    keys = [xxhash.xxh64_intdigest(t, 42) - (1 << 63) for t in texts]
+    own = [pa.RecordBatch.from_arrays([pa.array(IDS[a : a + 20]), pa.array(keys[a : a + 20]), pa.array([t.decode() for t in texts[a : a + 20]])], schema=schema) for a in range(0, len(IDS), 20)]
+
+    def exchanged(batches, *order):
+        rows = pa.Table.from_batches(list(batches), schema=windows._SENT)
+        return rows.sort_by([(c, "ascending") for c in order]).to_batches(max_chunksize=5)
+
+    to_owners = exchanged(windows._minimisers(iter(own), **grams), "kind", "bucket")
+    shared = list(windows._own_or_pass(to_owners, own=windows._shared))
+    blobs = list(windows._texts(iter(own), n_doc_buckets=6))
+    sent = exchanged(windows._send(exchanged([*shared, *blobs], "bucket", "kind"), **grams), "kind", "bucket")
+    kinds = {k for b in sent for k in b.column(1).to_pylist()}
+    assert kinds == {0, 1, 2}
+    cuts = list(windows._own_or_pass(sent, own=lambda rows: windows._own(rows, width, 6, repeated)))
+    result, out_schema = (substring_dedup._kept_digest, substring_dedup._DIGEST) if unit == "word" else (suffix_dedup._kept_digest, suffix_dedup._DIGEST)
+    done = windows._finish(iter(exchanged([*cuts, *blobs], "bucket", "kind")), result, out_schema)
+    got = [tuple(r.values()) for b in done for r in b.to_pylist()]
+    assert shown(got) == (words_left(50) if unit == "word" else bytes_left(50))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"bb", b"longword", b"\xc3\xa9"]), max_size=400), st.sampled_from([3, 7]), st.sampled_from(["word", "byte"]))
+def test_pieces_hold_each_window_once(words, width, unit):
+    text, own = b" ".join(words), windows.CHUNK_BYTES
+    windows.CHUNK_BYTES = 50
+    try:
+        parts = list(windows.pieces([text], unit, width))
+    finally:
+        windows.CHUNK_BYTES = own
+    split = (lambda t: t.split()) if unit == "word" else list
+    whole, at = split(text), 0
+    for (piece,), first in parts:
+        assert split(piece) == whole[first : first + len(split(piece))] and first == at
+        at = first + max(0, len(split(piece)) - width + 1)
+    assert at == max(0, len(whole) - width + 1)
+
+
 def test_shards_are_merged(monkeypatch):
     strings = [(t or "").encode() for _, t in ROWS if t]
     ids = np.array([i for i, (_, t) in zip(IDS, ROWS) if t])
@@ -139,7 +188,7 @@ def test_exact_groups(docs):
         groups.setdefault(t or "", []).append(i)
     want = shown([(i, max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, (_, t) in zip(IDS, ROWS)])
     want = sorted(((d, None if k == (1 << 63) - 1 else k, *rest) for d, k, *rest in want), key=repr)
-    for capacity in (4096, 2):
+    for capacity in (1 << 20, 600):
         assert rows_of(exact_dedup.exact_groups(docs, capacity), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
 
 
