@@ -235,17 +235,18 @@ def test_spark_hash_is_the_printed_one(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**32), st.integers(2, 90))
-def test_links_connect_what_brute_force_does(seed, n):
+@given(seed=st.integers(0, 2**32), n=st.integers(2, 90))
+@pytest.mark.parametrize("most", [32, 3])
+def test_links_connect_what_brute_force_does(most, seed, n):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 3, dtype=np.int64)
     prints = np.unique(np.array([int(base[k % 3]) ^ sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 4))) for k in range(n)], dtype=np.int64))
-    links = []
-    for first, width in simhash.SEGMENTS:
-        for k in range(width):
-            v = (prints.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1) & ~(1 << k) | (first + k) << 22
-            order = np.argsort(v, kind="stable")
-            links += zip(*(x.tolist() for x in simhash.links_of(v[order], prints[order])))
+    bits = prints.view(np.uint64)[:, None]
+    codes = [np.uint64(k << 32) | simhash._field(bits, first, width) for k, (first, width, _, _) in enumerate(simhash.NARROW.halves())]
+    every = np.tile(np.arange(len(prints)), len(codes))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "PAIRWISE", most)
+        links = list(zip(*(x.tolist() for x in simhash.links_of(np.concatenate(codes), prints[every], bits[every], simhash.NARROW))))
     assert all((a ^ b).bit_count() <= 4 if a >= 0 and b >= 0 else True for a, b in links)
     root = {p: p for p in prints.tolist()}
 
