@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable
 
+#: Texts with so long a run of blanks go to the library: the other one's matcher looks back over a whole run and gives up at about a million.
+LONG_BLANKS = 100_000
+_BLANKS = re.compile(r"\s+")
+
 _loaded: dict[str, "TextTokenizer"] = {}
 
 #: Fixed value: the pattern by which byte-level vocabularies with use_regex split a text.
@@ -41,7 +46,7 @@ class TextTokenizer:
     """ids(texts): the little-endian 32-bit ids of each text, without any added ones.
 
     A .json file is read by tokenizers and a .model file by sentencepiece. Where a .json file is a plain byte-level vocabulary whose merges
-    are numbered in their order, tiktoken gives the same ids from the same file in a third of the time, and is used instead.
+    are numbered in their order, tiktoken gives the same ids from the same file in a third of the time, and is used instead (but see LONG_BLANKS).
     """
 
     def __init__(self, path: str):
@@ -54,16 +59,16 @@ class TextTokenizer:
             return
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        fast = _byte_level(said)
-        if fast is not None:
-            self._ids = lambda texts: (fast.encode(t, allowed_special="all") for t in texts)
-            return
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        self._ids = lambda texts: (e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False))
+        fast = _byte_level(said)
+        if fast is None:
+            self._ids = lambda texts: (e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False))
+        else:
+            self._ids = lambda texts: (library.encode(t, add_special_tokens=False).ids if has_long_blanks(t) else fast.encode(t, allowed_special="all") for t in texts)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -75,6 +80,10 @@ class TextTokenizer:
         return out
 
 
+def has_long_blanks(text: str) -> bool:
+    return len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in _BLANKS.finditer(text))
+
+
 def _byte_level(said: dict):
     """A tiktoken encoding of a tokenizers file, or None where the two could differ."""
     import tiktoken

@@ -319,6 +319,13 @@ def test_ids_equal_the_library():
     assert got == library_ids(TRICKY)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n\u3000"])
+def test_long_blanks(blank):
+    run = (blank * 2_000_000)[:2_000_000]
+    texts = [run, f"a{run}b", f"in a{run[:150_000]}word{run[:99_999]}<|endoftext|> x{run[:100_000]}"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in load(default_path()).ids(texts)] == library_ids(texts)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=200))
 def test_ids_equal_the_library_on_any_text(text):
