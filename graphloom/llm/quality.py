@@ -100,7 +100,7 @@ def _matrix(b: pa.RecordBatch, column: str = "stats") -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Means and scale of the statistics, class means, Cholesky factors and log-determinants of class covariances, prior, calibration."""
+    """Means and scale of the statistics, class means, inverse Cholesky factors and log-determinants of class covariances, prior, calibration."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -117,7 +117,7 @@ class Discriminant:
         z = np.clip((stats - self.centre) / self.scale, -12, 12)
         dense = []
         for mean, factor, logdet in zip(self.means, self.factors, self.logdets):
-            white = np.linalg.solve(factor, (z - mean).T)
+            white = factor @ (z - mean).T  # factor: the cached inverse of the covariance's Cholesky factor
             dense.append(-0.5 * ((white**2).sum(axis=0) + logdet))
         return dense[1] - dense[0] + self.prior
 
@@ -151,7 +151,7 @@ def discriminant(rows: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Di
         mixed = (1 - lean) * own[c] + lean * pooled
         mixed = (1 - TO_DIAGONAL) * mixed + TO_DIAGONAL * np.diag(np.diagonal(pooled)) + 1e-3 * np.eye(d)
         factor = np.linalg.cholesky(mixed)
-        factors.append(factor)
+        factors.append(np.linalg.inv(factor))
         logdets.append(2 * float(np.log(np.diagonal(factor)).sum()))
     return Discriminant(centre, scale, tuple(means), tuple(factors), tuple(logdets), float(np.log(rows[1] / rows[0])))
 

@@ -6,7 +6,8 @@ layer scores the pooled responses. The first coordinate of each embedding starts
 at random; all are then trained. Scores see nothing but the text. Each language's threshold, for the `toxic` flag of the general interface,
 is the one with the best F1 on validation rows of that language (of all languages where it has too few).
 
-Training takes a bounded sample of labelled rows: of each class those with the smallest hashes of their ids, at most `most_rows`.
+Training takes a bounded sample of labelled rows: of each class those with the smallest hashes of their ids, at most `most_rows`, and of
+these the texts of at most `most_bytes` bytes each, so that what reaches the driver is bounded. Longer texts are scored, whole, like all.
 
 Defined results: null and empty texts are scored as texts without words; without labelled rows of both classes every score is the share of
 positive labels (0.5 without any); repeated rows are scored alike; of several labels of a document the largest counts.
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from graphloom.llm.common import BYTE_VALUES, keyed, longs_of, real_id, row_batch, smallest_hashes, span_hashes, texts_of
 from graphloom.session import materialise, ship
 
-#: Hash buckets, width of an embedding, widths of the filters, filters of each width; rows of each class in the sample; bytes scored at once.
-BUCKETS, DEPTH, WIDTHS, FILTERS, MOST_ROWS, SCORE_BYTES = 1 << 17, 8, (1, 2, 3), 8, 2000, 1 << 19
+#: Hash buckets, width of an embedding, widths of the filters, filters of each width; rows of each class in the sample, bytes of each; bytes scored at once.
+BUCKETS, DEPTH, WIDTHS, FILTERS, MOST_ROWS, MOST_BYTES, SCORE_BYTES = 1 << 17, 8, (1, 2, 3), 8, 2000, 1 << 16, 1 << 19
 #: Bytes of the prefixes; passes over the sample, and steps at least; rows of a step; learning rate; threshold; seed.
 PREFIXES, EPOCHS, LEAST_STEPS, BATCH, RATE, THRESHOLD, SEED = (4, 5, 6), 3, 200, 64, 0.02, 0.3, 11
 
@@ -106,6 +107,34 @@ class ConvClassifier:
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
+def gradients(model: ConvClassifier, words: np.ndarray, firsts: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of the mean log loss: by each text's logit; by filters, offsets and weights (with decay); by the embeddings of words (their places, one row each)."""
+    h, x = model.pooled(words, firsts)
+    p = 1 / (1 + np.exp(-np.clip(h @ model.weights + model.bias, -30, 30)))
+    d = ((p - labels) / len(labels)).astype(np.float32)
+    grads = [np.zeros_like(q) for q in (*model.filters, *model.offsets, model.weights)]
+    grads[-1] = h.T @ d + 1e-4 * model.weights
+    dh = np.outer(d, model.weights) * (h > 0)
+    at_word, grad_x = [np.zeros(0, dtype=np.int64)], [np.zeros((0, model.embed.shape[1]), dtype=np.float32)]
+    done = 0
+    for j, w in enumerate(model.filters):
+        width, _, count = w.shape
+        own_d = dh[:, done : done + count]
+        done += count
+        grads[len(model.filters) + j] = own_d.sum(axis=0)
+        for t in range(len(labels)):
+            a, b = firsts[t], firsts[t + 1] - width + 1
+            if b <= a or not own_d[t].any():
+                continue
+            conv = sum(x[a + k : b + k] @ w[k] for k in range(width))
+            best = a + conv.argmax(axis=0)
+            for k in range(width):
+                grads[j][k] += x[best + k].T * own_d[t]
+                at_word.append(best + k)
+                grad_x.append(own_d[t][:, None] * w[k].T)
+    return d, grads, (np.concatenate(at_word), np.concatenate(grad_x) / words.shape[1])
+
+
 def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = SEED) -> ConvClassifier:
     """prior: the positives' share among all labelled rows, to which the scores are shifted back."""
     if len(set(labels.tolist())) < 2:
@@ -140,28 +169,8 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = SEED
             firsts = np.concatenate([[0], np.cumsum([len(features[k]) for k in own])])
             if not len(words):
                 continue
-            h, x = model.pooled(words, firsts)
-            p = 1 / (1 + np.exp(-np.clip(h @ model.weights + model.bias, -30, 30)))
-            d = ((p - labels[own]) / len(own)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in dense]
-            grads[-1] = h.T @ d + 1e-4 * model.weights
-            dh = np.outer(d, model.weights) * (h > 0)
-            at_word, grad_x = [], []
-            for j, (w, width) in enumerate(zip(filters, WIDTHS)):
-                own_d = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                grads[len(filters) + j] = own_d.sum(axis=0)
-                for t in range(len(own)):
-                    a, b = firsts[t], firsts[t + 1] - width + 1
-                    if b <= a or not own_d[t].any():
-                        continue
-                    conv = sum(x[a + k : b + k] @ w[k] for k in range(width))
-                    best = a + conv.argmax(axis=0)
-                    for k in range(width):
-                        grads[j][k] += x[best + k].T * own_d[t]
-                        at_word.append(best + k)
-                        grad_x.append(own_d[t][:, None] * w[k].T)
-            if at_word:
-                where, g = np.concatenate(at_word), np.concatenate(grad_x) / words.shape[1]
+            d, grads, (where, g) = gradients(model, words, firsts, labels[own])
+            if len(where):
                 np.subtract.at(embed, words[where].ravel(), np.repeat(g, words.shape[1], axis=0) * np.float32(rate * 50))
             step += 1
             for q, g, (m, v) in zip(dense, grads, moments):
@@ -201,29 +210,31 @@ def held_out(ids: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(ids.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most_rows: int, columns: tuple[str, ...] = ()) -> tuple[list, float]:
-    """At most most_rows rows of each class, those of the smallest hashes of their ids, with their texts; and the positives' share of all."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most_rows: int, most_bytes: int, columns: tuple[str, ...] = ()) -> tuple[list, float]:
+    """At most most_rows rows of each class, those of the smallest hashes of their ids, with their texts of at most most_bytes; and the positives' share of all."""
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     y = materialise(y.groupBy("id").agg(F.max("y").alias("y")).where(keep), "labels")
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [smallest_hashes(y.where(F.col("y") == v), most_rows, "id") for v in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most_rows narrow rows
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
-    rows = own.join(few, "id").groupBy("id", "y").agg(F.min(F.struct("text", *columns)).alias("d")).select("id", "y", "d.*").collect()
+    rows = own.where(F.octet_length("text") <= most_bytes).join(few, "id").groupBy("id", "y").agg(F.min(F.struct("text", *columns)).alias("d")).select("id", "y", "d.*").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     return rows, counts.get(1, 0) / sum(counts.values()) if counts else 0.5
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, most_rows: int = MOST_ROWS, label: str = "toxic") -> ConvClassifier:
-    """Trains on four fifths of the sample and sets the thresholds on the rest, then trains on all of it."""
-    rows, prior = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, most_rows, ("lang",) if "lang" in docs.columns else ())
+def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, label: str = "toxic") -> ConvClassifier:
+    """Trains on four fifths of the sample and sets the thresholds on the rest (a small sample is trained on as a whole)."""
+    rows, prior = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, most_rows, most_bytes, ("lang",) if "lang" in docs.columns else ())
     texts, y = [r["text"].encode() for r in rows], np.array([r["y"] for r in rows], dtype=np.int64)
     part = np.arange(len(rows)) % 5 == 0
     pick = lambda xs, on: [x for x, o in zip(xs, on) if o]
-    first = train(pick(texts, ~part), y[~part], prior)
-    calibrate(first, pick(texts, part), y[part], pick([r["lang"] if "lang" in docs.columns else None for r in rows], part))
-    model = train(texts, y, prior)
-    model.thresholds = first.thresholds
+    model = train(pick(texts, ~part), y[~part], prior)
+    calibrate(model, pick(texts, part), y[part], pick([r["lang"] if "lang" in docs.columns else None for r in rows], part))
+    if len(rows) < most_rows:
+        whole = train(texts, y, prior)
+        whole.thresholds = model.thresholds
+        return whole
     return model
 
 
@@ -238,8 +249,9 @@ def score(docs: DataFrame, model: ConvClassifier) -> DataFrame:
 
 
 def flagged(docs: DataFrame, model: ConvClassifier) -> DataFrame:
-    """docs with score and toxic: whether the score reaches the threshold of the row's language. One pass, no shuffle."""
+    """docs with _score and _toxic: whether the score reaches the threshold of the row's language. One pass, no shuffle. Input columns of these names are replaced."""
     limits = model.thresholds or {"": THRESHOLD}
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("_score", "_toxic")])
     schema = docs.schema
     ship(docs.sparkSession)
     names = docs.columns

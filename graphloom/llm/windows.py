@@ -42,16 +42,18 @@ from graphloom.llm.common import (
     unpack,
     word_bounds,
 )
-from graphloom.session import shared_path
+from graphloom.session import materialise, release
 
 #: Bytes of text worked on at once in numpy, those whose packed strings go out together, and those that an owner compares at once.
 CHUNK_BYTES, FLUSH_BYTES, PART_BYTES = 1 << 20, 8 << 20, 1 << 20
 #: Windows in one packed string at most, so that repetitive texts make no boundless strings.
 MOST_WINDOWS = 256
 #: Bytes of text for each bucket; buckets of digests for each bucket of strings.
-BUCKET_BYTES, DIGEST_BUCKETS = 8 << 20, 8
+BUCKET_BYTES, DIGEST_BUCKETS = 16 << 20, 8
 #: A minimiser is hot beyond so many occurrences in all, or so many texts of one chunk.
 MOST_ENTRIES, MOST_LOCAL = 4096, 32
+#: Removals that an owner holds before they go out.
+MOST_CUTS = 200_000
 
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _SENT_DDL = "bucket int, kind int, payload binary"
@@ -377,39 +379,53 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Ite
 
 
 def _own(batches: Iterator[pa.RecordBatch], width: int, n_doc_buckets: int, repeated: Callable) -> Iterator[pa.RecordBatch]:
-    """The owner of buckets of minimisers (kind 1) or digests (kind 2): which windows of which places also start in a smaller id."""
+    """The owner of buckets of minimisers (kind 1) or digests (kind 2): which windows of which places also start in a smaller id.
+
+    Removals are gathered over a task's buckets and go out in few rows, a part of them at a time.
+    """
+    held: list[np.ndarray] = []
     for _, kind, rows in by_bucket(batches):
-        if kind == 2:
-            windows = np.concatenate([np.column_stack([c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in unpack(payload, *_WINDOW)[:5]]) for payload in rows])
-            yield from _cut_rows(_settle(windows, width)[1], n_doc_buckets)
-            continue
-        strings = _Strings(width)
-        for payload in rows:
-            *cols, data = unpack(payload, *_STRING)
-            at = 0
-            for *place, size in zip(*(c.tolist() for c in cols)):
-                strings.add(data[at : at + size], tuple(place))
-                at += size
-            if len(strings.cuts) > 100_000:
-                yield from _cut_rows(np.array(strings.cuts, dtype=np.int64), n_doc_buckets)
-                strings.cuts.clear()
-        flat = [(s, p) for s, ps in strings.places.items() for p in ps]
-        strings.places.clear()
-        # equal windows have one minimiser: a string whose minimiser no other id has is clean
-        mini = np.array([p[0] for _, p in flat], dtype=np.uint64)
-        ids = np.array([p[1] for _, p in flat], dtype=np.int64)
-        order = np.lexsort((ids, mini))
-        heads, sizes = _groups(mini[order])
-        part, total = [], 0
-        for h, n in zip(heads.tolist(), sizes.tolist()):
-            some = order[h : h + n].tolist()
-            if ids[some[0]] != ids[some[-1]]:
-                part += some
-                total += sum(len(flat[k][0]) for k in some)
-            if part and (total >= PART_BYTES or h == heads[-1]):
-                strings.cuts += _repeats([flat[k] for k in part], width, repeated)
-                part, total = [], 0
-        yield from _cut_rows(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4), n_doc_buckets)
+        for cuts in _hot_cuts(rows, width) if kind == 2 else _string_cuts(rows, width, repeated):
+            held.append(cuts)
+            if sum(map(len, held)) > MOST_CUTS:
+                yield from _cut_rows(np.concatenate(held), n_doc_buckets)
+                held = []
+    if held:
+        yield from _cut_rows(np.concatenate(held), n_doc_buckets)
+
+
+def _hot_cuts(rows: Iterator[bytes], width: int) -> Iterator[np.ndarray]:
+    parts = [np.column_stack([c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in unpack(payload, *_WINDOW)[:5]]) for payload in rows]
+    yield _settle(np.concatenate(parts), width)[1]
+
+
+def _string_cuts(rows: Iterator[bytes], width: int, repeated: Callable) -> Iterator[np.ndarray]:
+    strings = _Strings(width)
+    for payload in rows:
+        *cols, data = unpack(payload, *_STRING)
+        at = 0
+        for *place, size in zip(*(c.tolist() for c in cols)):
+            strings.add(data[at : at + size], tuple(place))
+            at += size
+        if strings.cuts:
+            yield np.array(strings.cuts, dtype=np.int64)
+            strings.cuts.clear()
+    flat = [(s, p) for s, ps in strings.places.items() for p in ps]
+    strings.places.clear()
+    # equal windows have one minimiser: a string whose minimiser no other id has is clean
+    mini = np.array([p[0] for _, p in flat], dtype=np.uint64)
+    ids = np.array([p[1] for _, p in flat], dtype=np.int64)
+    order = np.lexsort((ids, mini))
+    heads, sizes = _groups(mini[order])
+    part, total = [], 0
+    for h, n in zip(heads.tolist(), sizes.tolist()):
+        some = order[h : h + n].tolist()
+        if ids[some[0]] != ids[some[-1]]:
+            part += some
+            total += sum(len(flat[k][0]) for k in some)
+        if part and (total >= PART_BYTES or h == heads[-1]):
+            yield np.array(list(_repeats([flat[k] for k in part], width, repeated)), dtype=np.int64).reshape(-1, 4)
+            part, total = [], 0
 
 
 def _repeats(some: list[tuple[bytes, tuple[int, int, int, int, int]]], width: int, repeated: Callable) -> Iterator[tuple[int, int, int, int]]:
@@ -462,7 +478,7 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
 
     repeated(strings, ids, width) yields (string, first window, windows) of the runs of windows that also start in a string of a smaller id.
     """
-    spark, own = docs.sparkSession, keyed(docs)
+    own = keyed(docs)
     n_buckets = partitions_for(docs, BUCKET_BYTES)
     n_doc_buckets = 2 * n_buckets
     grams = {"unit": unit, "width": width, "gram": gram, "n_buckets": n_buckets, "n_doc_buckets": n_doc_buckets}
@@ -470,18 +486,14 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
     def exchanged(rows: DataFrame, *order: str) -> DataFrame:
         return dealt_to(rows, n_buckets).sortWithinPartitions(*order)
 
-    def written(rows: DataFrame, name: str) -> DataFrame:
-        path = shared_path(spark, name)
-        rows.write.parquet(path)
-        return spark.read.schema(_SENT_DDL).parquet(path)
-
     # rows of kind 0 are for documents' buckets and pass the owners of the others by
     minimisers = exchanged(own.mapInArrow(partial(_minimisers, **grams), _SENT_DDL), "kind", "bucket")
-    shared = written(minimisers.mapInArrow(partial(_own_or_pass, own=_shared), _SENT_DDL), "shared")
+    shared = materialise(minimisers.mapInArrow(partial(_own_or_pass, own=_shared), _SENT_DDL), "shared")
     texts = own.mapInArrow(partial(_texts, n_doc_buckets=n_doc_buckets), _SENT_DDL)
     strings = exchanged(shared.unionByName(texts), "bucket", "kind").mapInArrow(partial(_send, **grams), _SENT_DDL)
     owners = partial(_own, width=width, n_doc_buckets=n_doc_buckets, repeated=repeated)
-    cuts = written(exchanged(strings, "kind", "bucket").mapInArrow(partial(_own_or_pass, own=owners), _SENT_DDL), "cuts")
+    cuts = materialise(exchanged(strings, "kind", "bucket").mapInArrow(partial(_own_or_pass, own=owners), _SENT_DDL), "cuts")
+    release(shared)
     return exchanged(cuts.unionByName(texts), "bucket", "kind").mapInArrow(partial(_finish, result=result, schema=schema), ddl)
 
 

@@ -378,8 +378,8 @@ def check_packing(rows, texts, size):
 
 
 def test_packing(docs, nothing):
-    for groups in (8, 1024):
-        rows = packing.pack_documents(docs, size=256, small=40, groups=groups).collect()
+    for small, groups in ((40, 8), (None, 64)):
+        rows = packing.pack_documents(docs, size=256, small=small, groups=groups).collect()
         used, total = check_packing(rows, [t or "" for _, t in ROWS], 256)
         gaps = []
         for n in sorted((r["length"] for r in rows), reverse=True):
@@ -392,6 +392,32 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def every_configuration(sizes, room):
+    yield ()
+    for k, s in enumerate(sizes):
+        if s <= room:
+            yield from ((s, *rest) for rest in every_configuration(sizes[k:], room - s))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(9, 40), st.integers(1, 50), min_size=1, max_size=6), st.integers(0, 10**6))
+def test_configurations_are_optimal(counts, seed):
+    sizes = sorted(counts, reverse=True)
+    every = list(every_configuration(sizes, 48))
+    values = np.random.default_rng(seed).random(len(sizes))
+    value, used = packing.best_configuration(sizes, values, 48)
+    worth = dict(zip(sizes, values.tolist()))
+    assert used @ np.array(sizes) <= 48 and abs(value - max(sum(worth[s] for s in c) for c in every)) < 1e-9
+    runs = packing.configurations(counts, 48)
+    placed = Counter()
+    for n, c in runs:
+        assert sum(c) <= 48 and n > 0
+        for s in c:
+            placed[s] += n
+    assert placed == Counter(counts)
+    assert sum(n for n, _ in runs) <= sum(-(-n // (48 // s)) for s, n in counts.items()) + len(sizes)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=40), st.integers(1, 30))
 def test_plan_places_every_length(counts, groups):
@@ -564,6 +590,116 @@ def test_held_out_accuracy(spark, score, label, parts, part):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in rows)
 
 
+def test_discriminant_against_plain_formula():
+    """Scores from cached inverse factors equal log densities of two normal distributions with the shrunk covariances."""
+    rng = np.random.default_rng(5)
+    d = len(quality.STATISTICS)
+    own = [rng.normal(0, 1, (n, d)) @ rng.normal(0, 1, (d, d)) + rng.normal(0, 1, d) for n in (150, 90)]
+    rows, sums = np.array([150.0, 90.0]), np.stack([x.sum(axis=0) for x in own])
+    model = quality.discriminant(rows, sums, np.stack([x.T @ x for x in own]))
+    both = np.concatenate(own)
+    z = [(x - both.mean(axis=0)) / both.std(axis=0) for x in own]
+    cov = [np.cov(x.T, bias=True) for x in z]
+    pooled = (150 * cov[0] + 90 * cov[1]) / 240
+    test = rng.normal(0, 2, (40, d))
+    t = np.clip((test - both.mean(axis=0)) / both.std(axis=0), -12, 12)
+    dense = []
+    for c, n in ((0, 150), (1, 90)):
+        lean = max(quality.TO_POOLED, d / (d + n))
+        s = (1 - quality.TO_DIAGONAL) * ((1 - lean) * cov[c] + lean * pooled) + quality.TO_DIAGONAL * np.diag(np.diagonal(pooled)) + 1e-3 * np.eye(d)
+        away = t - z[c].mean(axis=0)
+        dense.append([-0.5 * (a @ np.linalg.inv(s) @ a + np.linalg.slogdet(s)[1]) for a in away])
+    assert np.allclose(model.margin(test), np.array(dense[1]) - np.array(dense[0]) + np.log(90 / 150), atol=1e-6)
+
+
+def test_statistics_by_plain_python():
+    """Word and line statistics of odd texts, counted one by one."""
+    for t in [t for _, t in ROWS if t]:
+        got = dict(zip(quality.STATISTICS, quality.statistics(t.encode()).tolist()))
+        words = t.encode().split()
+        lines = [x for x in t.encode().split(b"\n") if x]
+        odds = lambda hits, n: float(np.log((hits + 0.5) / (n - hits + 0.5)))
+        w = max(1, len(words))
+        assert abs(got["words"] - np.log1p(len(words))) < 1e-4 and abs(got["bytes"] - np.log1p(len(t.encode()))) < 1e-4
+        assert abs(got["distinct_words"] - odds(len(set(words)), w)) < 1e-4 and abs(got["short_words"] - odds(sum(len(x) <= 3 for x in words), w)) < 1e-4
+        assert abs(got["top_word"] - odds(max(Counter(words).values(), default=0), w)) < 1e-4
+        assert abs(got["repeated_lines"] - odds(len(lines) - len(set(lines)), max(1, len(lines)))) < 1e-4
+
+
+def small_model(seed=1):
+    rng = np.random.default_rng(seed)
+    filters = [rng.normal(0, 0.5, (w, toxicity.DEPTH, 3)) for w in toxicity.WIDTHS]
+    return toxicity.ConvClassifier(rng.normal(0, 0.5, (toxicity.BUCKETS, toxicity.DEPTH)), filters, [rng.normal(0, 0.1, 3) for _ in toxicity.WIDTHS], rng.normal(0, 1, 9), 0.1)
+
+
+def plain_scores(model, texts):
+    """Convolution and pooling written out, a text, a filter and a place at a time."""
+    out = []
+    for t in texts:
+        words, _ = toxicity.word_features([t])
+        x = [sum(model.embed[b] for b in row) / len(row) for row in words.tolist()]
+        pooled = []
+        for w, b in zip(model.filters, model.offsets):
+            for f in range(w.shape[2]):
+                sums = [sum(float(x[a + k] @ w[k][:, f]) for k in range(len(w))) for a in range(len(x) - len(w) + 1)]
+                pooled.append(max(0.0, max(sums) + b[f]) if sums else 0.0)
+        out.append(1 / (1 + np.exp(-(np.dot(pooled, model.weights) + model.bias))))
+    return out
+
+
+def test_convolution_and_pooling_by_hand(monkeypatch):
+    model = small_model()
+    texts = [b"", b"one", b"one two", b"a b c d e f", b"Same WORDS same words", b"x " * 40, "é ü ß".encode(), b"  ,,, "]
+    assert np.allclose(model.score(texts), plain_scores(model, texts), atol=1e-4)
+    monkeypatch.setattr(toxicity, "SCORE_BYTES", 10)
+    assert np.allclose(model.score(texts), plain_scores(model, texts), atol=1e-4)
+
+
+def test_gradients_by_differences():
+    model, labels = small_model(2), np.array([1, 0, 1, 0])
+    texts = [b"a b c d", b"e f", b"g", b"h i j k l"]
+    words, firsts = toxicity.word_features(texts)
+
+    def loss():
+        h, _ = model.pooled(words, firsts)
+        m = (h.astype(np.float64) @ model.weights) + model.bias
+        return float(np.mean(np.log1p(np.exp(m)) - labels * m)) + 0.5e-4 * float(model.weights @ model.weights)
+
+    d, grads, (where, g) = toxicity.gradients(model, words, firsts, labels)
+    for q, grad in zip((*model.filters, *model.offsets, model.weights), grads):
+        at = np.unravel_index(int(np.argmax(np.abs(grad))), q.shape)
+        q[at] += 1e-2
+        up = loss()
+        q[at] -= 2e-2
+        down = loss()
+        q[at] += 1e-2
+        assert abs((up - down) / 2e-2 - grad[at]) < 0.02 * max(1, abs(grad[at]))
+    total = np.zeros_like(model.embed)
+    np.add.at(total, words[where].ravel(), np.repeat(g, words.shape[1], axis=0))
+    at = np.unravel_index(int(np.argmax(np.abs(total))), total.shape)
+    model.embed[at] += 1e-2
+    up = loss()
+    model.embed[at] -= 2e-2
+    assert abs((up - loss()) / 2e-2 - total[at]) < 0.02 * max(1, abs(total[at]))
+    assert abs(d.sum()) < 1
+
+
+def test_flags_replace_columns_of_their_names(spark):
+    docs, labels = labelled(spark, 120)
+    odd = docs.select("*", F.lit("x").alias("_score"), F.lit("y").alias("_TOXIC"), F.lit(1).alias("y"))
+    flags = toxicity.flagged(odd, toxicity.fit(odd, labels))
+    assert flags.columns == ["doc_id", "text", "lang", "y", "_score", "_toxic"] and flags.count() == docs.count()
+
+
+@pytest.mark.parametrize("score", [toxicity.toxicity_scores, quality.quality_scores])
+def test_clashing_names_and_repeated_labels(spark, score):
+    docs, labels = labelled(spark, 120)
+    odd = docs.select("*", *[F.lit("c").alias(c) for c in ("id", "key", "y", "score", "stats", "held_out", "predicted", "_hash", "d")])
+    plain = {r["doc_id"]: r["score"] for r in score(docs, labels).collect()}
+    again = {r["doc_id"]: r["score"] for r in score(odd, labels.unionAll(labels).select("*", F.lit(1).alias("y"), F.lit(2).alias("id"))).collect()}
+    assert all(abs(plain[d] - again[d]) < 1e-9 for d in plain) and len(plain) == len(again)
+
+
 @pytest.mark.parametrize("score", [toxicity.toxicity_scores, quality.quality_scores])
 def test_scores_without_labels_or_rows(spark, nothing, score):
     docs, labels = labelled(spark, 20)
