@@ -1,10 +1,11 @@
 """Operator 10: best-fit packing of token sequences by linear grouping.
 
 Only the counts of the at most `size` lengths reach the driver. There, large lengths are split into groups of equal cardinality and rounded
-up to their group's largest; configurations of these few sizes are chosen, each as full as can be (a subset-sum search) and as often as it
-goes; then actual lengths take the places of the rounded ones, and small lengths fill what is left by best fit, the largest first. The plan
-is a list of runs (so many sequences of one configuration), whose number depends on the lengths alone, never on the documents. Pieces are
-numbered within their lengths in parallel, and each looks its place up in the plan.
+up to their group's largest; the configurations of these few sizes (some tens) come from a linear programme, solved by column generation and
+rounded down, and a subset-sum search covers what rounding leaves; then actual lengths take the places of the rounded ones, and small lengths
+fill what is left by best fit, the largest first. Plans with several bounds of what is small are made, and that of fewest sequences is taken.
+A plan is a list of runs (so many sequences of one configuration), whose number depends on the lengths alone, never on the documents. Pieces
+are numbered within their lengths in parallel, and each looks its place up in the plan.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; a null doc_id stays null.
 """
@@ -26,8 +27,10 @@ from graphloom.llm.common import keyed, longs_of, real_id, row_batch, shuffle_pa
 from graphloom.llm.tokenizer import default_path, load
 from graphloom.session import materialise
 
-#: Tokens in a sequence; the id after each document; lengths up to this are small; groups of the large ones.
-SEQUENCE_TOKENS, END_ID, SMALL_TOKENS, GROUPS = 2048, 0, 256, 1024
+#: Tokens in a sequence; the id after each document; groups of the large lengths; pivots of the linear programme.
+SEQUENCE_TOKENS, END_ID, GROUPS, MOST_PIVOTS = 2048, 0, 64, 4000
+#: Lengths up to one of these shares of a sequence are small: a plan is made with each, and the one of fewest sequences is taken.
+SMALL_SHARES = (1 / 8, 1 / 4, 3 / 8, 1 / 2)
 
 _PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECE_DDL = "id long, piece int, start long, length long, ids_crc32 long"
@@ -80,9 +83,66 @@ def _fill(counts: dict[int, int], room: int) -> list[int]:
     return chosen
 
 
-def configurations(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """(how often, sizes) so that each size is placed as often as it is counted; the largest size left opens each configuration."""
+def best_configuration(sizes: list[int], values: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """The configuration of the greatest value (how often each size is in it): an unbounded knapsack over the tokens of a sequence."""
+    best, stages = np.zeros(size + 1), []
+    for s, v in zip(sizes, values.tolist()):
+        stages.append(best)
+        best = best.copy()
+        for _ in range(size // s if v > 1e-12 else 0):
+            better = best[:-s] + v
+            if not (better > best[s:] + 1e-12).any():
+                break
+            np.maximum(best[s:], better, out=best[s:])
+    used, room = np.zeros(len(sizes), dtype=np.int64), size
+    for k in range(len(sizes) - 1, -1, -1):
+        above = best if k == len(sizes) - 1 else stages[k + 1]
+        while used[k] * sizes[k] + sizes[k] <= size and room >= sizes[k] and above[room] > stages[k][room] + 1e-12:
+            room -= sizes[k]
+            used[k] += 1
+    return float(used @ values), used
+
+
+def optimal_configurations(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """(how often, sizes) by column generation: the linear programme of least sequences, whose columns are found by their dual values, rounded
+    down. Each column of the final basis is one configuration, so there are at most as many as sizes; what rounding leaves is not covered."""
+    sizes = sorted(counts, reverse=True)
+    columns = [np.eye(len(sizes), dtype=np.int64)[k] * (size // s) for k, s in enumerate(sizes)]
+    inverse = np.diag([1 / (size // s) for s in sizes])
+    used = np.array([counts[s] / (size // s) for s in sizes])
+    for _ in range(MOST_PIVOTS):
+        value, column = best_configuration(sizes, inverse.sum(axis=0), size)
+        if value <= 1 + 1e-7:
+            break
+        step = inverse @ column
+        rises = step > 1e-9
+        ratio = np.where(rises, used / np.where(rises, step, 1), np.inf)
+        out = int(np.argmin(ratio))
+        used = np.maximum(used - ratio[out] * step, 0)
+        used[out] = ratio[out]
+        columns[out] = column
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
     left, out = dict(counts), []
+    for times, column in zip(used.tolist(), columns):
+        own = {s: int(n) for s, n in zip(sizes, column) if n}
+        whole = min([int(times + 1e-6), *(left[s] // n for s, n in own.items())])
+        if whole > 0 and own:
+            out.append((whole, [s for s, n in own.items() for _ in range(n)]))
+            for s, n in own.items():
+                left[s] -= whole * n
+    return out
+
+
+def configurations(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """(how often, sizes) so that each size is placed as often as it is counted: the optimal ones, then for the rest ones opened by the largest size left."""
+    out = optimal_configurations(counts, size) if counts else []
+    left = dict(counts)
+    for times, sizes in out:
+        for s in sizes:
+            left[s] -= times
+    left = {s: n for s, n in left.items() if n}
     while left:
         top = max(left)
         left[top] -= 1
@@ -98,7 +158,7 @@ def configurations(counts: dict[int, int], size: int) -> list[tuple[int, list[in
     return out
 
 
-def plan_runs(counts: dict[int, int], size: int = SEQUENCE_TOKENS, small: int = SMALL_TOKENS, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
+def plan_runs(counts: dict[int, int], size: int, small: int, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
     """(sequences, actual lengths in each) covering every counted length."""
     large = sorted(((s, c) for s, c in counts.items() if small < s < size and c), reverse=True)
     runs: list[tuple[int, list[int]]] = [(counts[size], [size])] if counts.get(size) else []
@@ -194,13 +254,14 @@ def _place(batches: Iterator[pa.RecordBatch], places: dict[str, np.ndarray]) ->
         yield row_batch(_PLACED, *(b.column(b.schema.get_field_index(f.name)) for f in _PIECE), places["sequence"][at] + rank - places["rank"][at], places["offset"][at])
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = SEQUENCE_TOKENS, small: int = SMALL_TOKENS, groups: int = GROUPS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = SEQUENCE_TOKENS, small: int | None = None, groups: int = GROUPS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each row of docs."""
     spark = docs.sparkSession
     path = tokenizer_path or default_path()
     pieces = materialise(keyed(docs).mapInArrow(partial(_pieces, path=path, size=size), _PIECE_DDL), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
-    places = place_table(plan_runs(counts, size, small, groups))
+    plans = [plan_runs(counts, size, own, groups) for own in ([int(size * x) for x in SMALL_SHARES] if small is None else [small])]
+    places = place_table(min(plans, key=lambda runs: sum(n for n, _ in runs)))
     # frequent lengths are numbered in several parts; there are at most `size` + 8 * partitions parts
     part_rows = max(1, sum(counts.values()) // (8 * shuffle_partitions(spark)))
     parts = spark.createDataFrame([(s, -(-c // part_rows)) for s, c in counts.items()], "length long, parts int")
