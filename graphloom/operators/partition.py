@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.iterate import numbered, running_sum
+from graphloom.plans.iterate import numbered, numbered_within, running_sum
 from graphloom.session import materialise, ship
 
-#: Most moves without gain in a row, the share by which a cut may worsen while a partition is out of balance, and the least tolerance.
+#: Most moves without gain in a row, the share by which a cut may worsen while a partition is out of balance, and the least tolerance.
 STALL, WORSE, LEAST_TARGET = 500, 1.05, 20
 
 
@@ -46,6 +50,102 @@ def split_by_order(values: DataFrame, value: str = "x", vertices: DataFrame | No
     return own.crossJoin(F.broadcast(total)).select("id", F.when(F.col("before") * 2 < F.col("total"), 0).otherwise(1).alias("part"))
 
 
+def _by_value(edges: DataFrame, values: DataFrame, value: str) -> tuple[DataFrame, DataFrame, int]:
+    """id, pos in (value, id) order; a, b: each undirected edge by the positions of its ends, a < b; the number of vertices."""
+    order = materialise(numbered(values.select("id", value), value, "id", name="pos").select("id", "pos", value), "by-value")
+    a, b = order.select(F.col("id").alias("src"), F.col("pos").alias("x")), order.select(F.col("id").alias("dst"), F.col("pos").alias("y"))
+    ends = edges.where("src < dst").join(a, "src").join(b, "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return order, ends, order.count()
+
+
+def window_of(n: int, imb: float) -> tuple[int, int]:
+    """First and last split that an imbalance of imb percent allows: the smaller part has at least `left` of n vertices, the larger at most `right`."""
+    right = math.floor(math.ceil(n / 2) * (1 + imb / 100))
+    return n - right, right
+
+
+def split_cuts(edges: DataFrame, values: DataFrame, value: str = "x", imb: float = 1.0) -> DataFrame:
+    """split, cut: the number of edges between the first `split` vertices by (value, id) and the others, for each split with left < split <= right.
+
+    An edge is cut by the splits after its first end up to its second, so cuts are running sums of edges that begin and end: no loop, no moves.
+    """
+    order, ends, n = _by_value(edges, values, value)
+    left, right = window_of(n, imb)
+    steps = ends.select(F.explode(F.array(F.struct((F.col("a") + 1).alias("split"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("split"), F.lit(-1).alias("d")))).alias("s")).select("s.*")
+    steps = steps.groupBy("split").agg(F.sum("d").alias("d"))
+    every = order.select((F.col("pos") + 1).alias("split")).join(steps, "split", "left").select("split", F.coalesce("d", F.lit(0)).alias("d"))
+    cuts = running_sum(every, "d", "split", name="cut")
+    return cuts.where((F.col("split") > left) & (F.col("split") <= right)).select(F.col("split").cast("long"), F.col("cut").cast("long"))
+
+
+def best_split(edges: DataFrame, values: DataFrame, value: str = "x", imb: float = 1.0) -> DataFrame:
+    """One row: vertices in the larger part, cut of the split with the smallest cut in the window (of equal ones the last)."""
+    n = values.count()
+    top = split_cuts(edges, values, value, imb).agg(F.min(F.struct("cut", (-F.col("split")).alias("s"))).alias("m"))
+    return top.select(F.greatest(-F.col("m.s"), n + F.col("m.s")).cast("long").alias("larger"), F.col("m.cut").alias("cut"))
+
+
+def median_cut(edges: DataFrame, values: DataFrame, value: str = "x") -> DataFrame:
+    """One row: the cut in edges if vertices under the median are part 0, and the parts' ratio (part 1 to part 0; null if that is empty)."""
+    median = values.agg(F.median(value).alias("med"))  # one row
+    part = materialise(values.crossJoin(F.broadcast(median)).select("id", F.when(F.col(value) < F.col("med"), 0).otherwise(1).alias("part")), "part")
+    cut = _ends(edges.where("src < dst"), part).agg(F.count_if(F.col("ps") != F.col("pd")).alias("cut"))
+    return cut.crossJoin(part.agg((F.sum("part") / F.nullif(F.sum(1 - F.col("part")), F.lit(0))).alias("balance")))
+
+
+def swept_partition(edges: DataFrame, values: DataFrame, value: str = "x", imb: float = 0.0) -> DataFrame:
+    """id, part: the first vertices by (value, id) are part 0, up to the window's left end; then each one of the window in turn joins them if the cut
+    (in edges, both directions) that has been counted so far does not exceed the best so far. A rejected vertex stays, yet its change stays counted.
+
+    The decisions depend on one another in order, so one task makes them; it gets one row for each vertex of the window (imb percent of all):
+    how its edges to others fall, and its neighbours before it in the window.
+    """
+    order, ends, n = _by_value(edges, values, value)
+    left, right = window_of(n, imb)
+    start = ends.agg(F.count_if((F.col("a") < left) & (F.col("b") >= left)).alias("c")).first()["c"] * 2
+    both = ends.select(F.col("a").alias("pos"), F.col("b").alias("other")).unionByName(ends.select(F.col("b").alias("pos"), F.col("a").alias("other")))
+    own = both.where((F.col("pos") >= left) & (F.col("pos") < right)).groupBy("pos")
+    earlier = F.col("other").between(left, F.col("pos") - 1)
+    own = own.agg(F.sum(F.when(F.col("other") < left, -1).otherwise(1)).cast("long").alias("gain"), F.collect_list(F.when(earlier, F.col("other"))).alias("near"))
+    rows = order.where((F.col("pos") >= left) & (F.col("pos") < right)).select("pos").join(own, "pos", "left")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = best = start
+        moved: set[int] = set()
+        for b in batches:
+            for pos, gain, near in zip(*(b.column(k).to_pylist() for k in range(3))):
+                now += 2 * ((gain or 0) - 2 * sum(p in moved for p in near or ()))
+                if now <= best:
+                    best = now
+                    moved.add(pos)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(moved), pa.int64())], names=["pos"])
+
+    ship(edges.sparkSession)
+    moved = rows.select("pos", "gain", "near").repartition(1).sortWithinPartitions("pos").mapInArrow(decide, "pos long").withColumn("moved", F.lit(True))
+    return order.join(moved, "pos", "left").select("id", F.when((F.col("pos") < left) | F.col("moved"), 0).otherwise(1).alias("part"))
+
+
+def interleaved(first: DataFrame, second: DataFrame, offset: int = 0) -> DataFrame:
+    """id, pos: two ordered lists (id, pos) as one: `offset` entries of the first list, then one of the second and one of the first in turn, then the rest."""
+    both = first.select("id", F.col("pos").alias("turn"), F.lit(1).alias("list")).unionByName(second.select("id", (F.col("pos") + offset).alias("turn"), F.lit(0).alias("list")))
+    return numbered(both, "turn", "list", name="pos").select("id", F.col("pos").cast("long").alias("pos"))
+
+
+def interleaved_for_balance(order: DataFrame, vertices: DataFrame, part: DataFrame) -> DataFrame:
+    """id, pos: movers (order: id, pos) of both parts in turn, each part's in their order; first so many of the heavier part as bring the imbalance
+    to a tenth (or LEAST_TARGET)."""
+    imb = imbalance(vertices, part).first()["imb"] or 0
+    heavy = 0 if imb > 0 else 1
+    own = materialise(numbered_within(order.join(part, "id").join(vertices, "id"), "part", "pos", name="nr").select("id", "part", "vw", F.col("nr").alias("pos")), "movers")
+    sides = [own.where(F.col("part") == p) for p in (heavy, 1 - heavy)]
+    goal, offset = abs(imb) - max(LEAST_TARGET, abs(imb) // 10), 0
+    if goal > 0:
+        before = running_sum(sides[0], "vw", "pos", name="before", exclusive=True)
+        found = before.where(2 * F.col("before") >= goal).agg(F.min("pos")).first()[0]
+        offset = sides[0].count() if found is None else found
+    return interleaved(sides[0], sides[1], offset)
+
+
 def ordered_gains(edges: DataFrame, part: DataFrame, order: DataFrame) -> DataFrame:
     """id, pos, gain: gains if the vertices of order (id, pos) move one after the other. Others stay; an earlier mover counts as moved."""
     pos = order.select("id", "pos")
@@ -78,9 +178,8 @@ def refine_in_batches(edges: DataFrame, vertices: DataFrame, part: DataFrame, ro
         start = edge_cut(edges, part).first()["cut"]
         imb = imbalance(vertices, part).first()["imb"]
         movers = gains(edges, part).where("gain > 0").join(part, "id")
-        side = Window.partitionBy("part", "_salt").orderBy(F.desc("gain"), "id")
-        ranked = movers.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("k", F.row_number().over(side))
-        order = materialise(numbered(ranked, "k", "_salt", F.col("part") if imb >= 0 else F.desc("part"), "id", name="pos").select("id", "pos"), "movers")
+        ranked = numbered(movers, F.desc("gain"), "id", name="pos").select("id", "pos")
+        order = materialise(interleaved_for_balance(ranked, vertices, part), "movers")
         if order.isEmpty():
             return part
         scan = materialise(cut_scan(edges, vertices, part, order), "scan")
@@ -108,19 +207,20 @@ def _as_rows(edges: DataFrame, vertices: DataFrame, part: DataFrame | None = Non
     return v.unionByName(edges.select(F.lit("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w"))
 
 
-def greedy_growing(edges: DataFrame, vertices: DataFrame, most_vertices: int = 5000) -> DataFrame:
-    """seed, cut, and the ids grown from it, for each seed: part 1 takes the vertex that raises the cut least until it has half of the weight.
+def greedy_growing(edges: DataFrame, vertices: DataFrame, most_vertices: int = 5000, most_edges: int = 2_000_000) -> DataFrame:
+    """seed, cut, and the ids grown from it, for each seed: part 1 takes the vertex that raises the cut least (then the least id) until it has half of the weight, rounded down.
 
-    For coarse graphs only (at most most_vertices): each seed's run holds the graph.
+    For coarse graphs only (at most most_vertices, and most_edges in both directions): the graph is broadcast, the seeds are dealt to all tasks.
     """
-    ship(edges.sparkSession)
-    n = vertices.count()
-    if n > most_vertices:
-        raise ValueError(f"{n} vertices; growing is for coarse graphs of at most {most_vertices}")
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, vw, off, dst, w, _ = _rows(pdf.drop(columns="seed"))
-        seed = int(np.searchsorted(ids, pdf["seed"].iloc[0]))
+    spark = ship(edges.sparkSession)
+    n, m = vertices.count(), edges.count()
+    if n > most_vertices or m > most_edges:
+        raise ValueError(f"{n} vertices and {m} edges; growing is for coarse graphs of at most {most_vertices} and {most_edges}")
+    graph = spark.sparkContext.broadcast(_rows(_as_rows(edges, vertices).toPandas()))
+
+    def grow(start: int) -> tuple[int, int, list[int]]:
+        ids, vw, off, dst, w, _ = graph.value
+        seed = int(np.searchsorted(ids, start))
         inside = np.zeros(len(ids), dtype=bool)
         degree = np.add.reduceat(np.append(w, 0), off[:-1]) * (np.diff(off) > 0)
         rise = degree.astype(np.int64)
@@ -131,13 +231,16 @@ def greedy_growing(edges: DataFrame, vertices: DataFrame, most_vertices: int = 5
             held += int(vw[take])
             near = slice(off[take], off[take + 1])
             np.subtract.at(rise, dst[near], 2 * w[near])
-            if 2 * held >= vw.sum() or inside.all():
+            if held >= int(vw.sum()) // 2 or inside.all():
                 break
             take = int(np.where(inside, np.iinfo(np.int64).max, rise).argmin())
-        return pd.DataFrame({"seed": [int(ids[seed])], "cut": [cut], "ids": [ids[inside].tolist()]})
+        return int(ids[seed]), cut, ids[inside].tolist()
+
+    def all_grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([grow(s) for s in b["seed"]], columns=["seed", "cut", "ids"])
 
-    seeds = vertices.select(F.col("id").alias("seed"))
-    return _as_rows(edges, vertices).crossJoin(seeds).groupBy("seed").applyInPandas(grow, "seed long, cut long, ids array<long>")
+    return vertices.select(F.col("id").alias("seed")).repartition("seed").mapInPandas(all_grown, "seed long, cut long, ids array<long>")
 
 
 def growing_partition(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -205,8 +308,6 @@ def edit_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def split_graph(edges: DataFrame, part: DataFrame) -> DataFrame:
     """part, src, dst, w: the induced graphs, with ids renumbered in order within each part."""
-    from graphloom.plans.iterate import numbered_within
-
     ids = materialise(numbered_within(part.select("id", "part"), "part", "id", name="nr"), "renumbered")
     a = ids.select(F.col("id").alias("src"), "part", F.col("nr").alias("a"))
     b = ids.select(F.col("id").alias("dst"), F.col("part").alias("other"), F.col("nr").alias("b"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 _LI = "li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
 #: The graphs, as common table expressions.
 COPURCHASE = f"{_LI}, e AS (SELECT a.p AS src, b.p AS dst, count(*) AS w FROM li a JOIN li b ON a.o = b.o AND a.p <> b.p GROUP BY 1, 2)"
-HEAVY = f"{_LI}, e AS (SELECT a.p AS src, b.p AS dst, count(*) AS w FROM li a JOIN li b ON a.o = b.o AND a.p <> b.p GROUP BY 1, 2 HAVING count(*) >= 2)"
 USERS = """steps AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events),
 half AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS w FROM steps WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2),
 e AS (SELECT src, dst, w FROM half UNION ALL SELECT dst, src, w FROM half)"""
-SPARSE = """half AS (SELECT DISTINCT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity >= 49),
+ORDER_PART = """half AS (SELECT DISTINCT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem),
 e AS (SELECT src, dst, CAST(1 AS BIGINT) AS w FROM half UNION ALL SELECT dst, src, CAST(1 AS BIGINT) FROM half)"""
 TRADE = """t AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, count(*) AS v FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
@@ -100,7 +99,9 @@ def _levels(count: int = 2) -> str:
 
 _TRI = """d AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY 1), up AS (SELECT src AS a, dst AS b FROM e WHERE src < dst),
 tri AS (SELECT x.a, x.b, y.b AS c FROM up x JOIN up y ON x.b = y.a JOIN up z ON z.a = x.a AND z.b = y.b)"""
-_REACH = "WITH RECURSIVE {g}, r AS (SELECT DISTINCT src AS id, src AS label FROM e UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.id WHERE r.label < e.dst)"
+#: The smallest id that reaches each vertex: labels fall along edges until none does.
+_REACH = """WITH RECURSIVE {g}, r(id, label) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM e GROUP BY src
+UNION (SELECT e.dst, min(r.label) FROM r JOIN e ON e.src = r.id JOIN recurring.r AS old ON old.id = e.dst WHERE r.label < old.label GROUP BY e.dst))"""
 _SCAN = f"""{PARITY}, {GAINS}, ord AS (SELECT id, row_number() OVER (ORDER BY gain DESC, id) - 1 AS pos FROM g WHERE gain > 0),
 og AS (SELECT o.id, o.pos, sum(CASE WHEN coalesce(q.pos < o.pos, false) THEN CASE WHEN a.part = b.part THEN w ELSE -w END WHEN a.part <> b.part THEN w ELSE -w END) AS gain
 FROM ord o JOIN e ON e.src = o.id JOIN part_ a ON a.id = e.src JOIN part_ b ON b.id = e.dst LEFT JOIN ord q ON q.id = e.dst GROUP BY 1, 2),
@@ -109,18 +110,44 @@ scan AS (SELECT pos + 1 AS prefix, og.id, CAST((SELECT cut FROM base) - sum(gain
 _STATS = "min({c}) AS min, max({c}) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median"
 
 
+def _colors(pairs: str, vertices: str) -> str:
+    """Colours in the order of priorities: a vertex takes the least that no neighbour before it has, once all of these have theirs."""
+    return f"""vx AS MATERIALIZED (SELECT id, {_p('id')} AS p FROM ({vertices})), pr AS MATERIALIZED (SELECT a.id AS id, b.id AS earlier FROM ({pairs}) q JOIN vx a ON q.src = a.id JOIN vx b ON q.dst = b.id WHERE b.p < a.p OR b.p = a.p AND b.id < a.id),
+r(id, color) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM vx WHERE id NOT IN (SELECT id FROM pr)
+UNION (SELECT t.id, list_min(list_filter(range(0, len(used) + 1), lambda x: NOT list_contains(used, x))) FROM (SELECT pr.id, count(*) AS need, count(old.id) AS have, list(old.color) AS used
+FROM (SELECT DISTINCT pr.id FROM r JOIN pr ON pr.earlier = r.id) c JOIN pr ON pr.id = c.id LEFT JOIN recurring.r AS old ON old.id = pr.earlier GROUP BY pr.id) t WHERE need = have))
+SELECT id, color FROM r"""
+
+
+#: x in the order of (x, id), each undirected edge by its positions, and the window of splits that one percent allows.
+_ORDERED = """vec AS (SELECT DISTINCT src AS id, src * 31 % 97 AS x FROM e), ord AS MATERIALIZED (SELECT id, x, row_number() OVER (ORDER BY x, id) - 1 AS pos FROM vec),
+ends AS MATERIALIZED (SELECT least(a.pos, b.pos) AS a, greatest(a.pos, b.pos) AS b FROM e JOIN ord a ON src = a.id JOIN ord b ON dst = b.id WHERE src < dst),
+win AS (SELECT count(*) AS n, count(*) - CAST(floor(ceil(count(*) / 2) * 1.01) AS BIGINT) AS lo, CAST(floor(ceil(count(*) / 2) * 1.01) AS BIGINT) AS hi FROM ord),
+cuts AS (SELECT pos + 1 AS split, (SELECT count(*) FROM ends WHERE a < pos + 1 AND b >= pos + 1) AS cut FROM ord, win WHERE pos + 1 > lo AND pos + 1 <= hi)"""
+#: Rows of the trade matrix as lists: off-diagonal values by column, diagonal, right-hand side.
+_ROWS = "m AS (SELECT x.i AS i, list(coalesce(t.v, 0) ORDER BY y.i) AS a FROM (SELECT DISTINCT i FROM t) x CROSS JOIN (SELECT DISTINCT i FROM t) y LEFT JOIN t ON t.i = x.i AND t.j = y.i GROUP BY 1), nr AS (SELECT i, a, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM m)"
+
+
+#: Partitions grown from each seed: the vertex that raises the cut least joins, until half of all vertices (rounded down) are in.
+_GROWN = """dg AS MATERIALIZED (SELECT src AS id, sum(w) AS d FROM e GROUP BY 1), tot AS (SELECT count(*) AS n FROM dg),
+gr(seed, held) AS (SELECT id, [id] FROM dg UNION ALL (SELECT seed, list_append(any_value(held), min({'r': rise, 'id': id}).id) FROM (SELECT s.seed, any_value(s.held) AS held, dg.id, any_value(dg.d) - 2 * coalesce(sum(CASE WHEN list_contains(s.held, e.dst) THEN e.w END), 0) AS rise
+FROM gr s CROSS JOIN tot CROSS JOIN dg LEFT JOIN e ON e.src = dg.id WHERE len(s.held) < tot.n // 2 AND NOT list_contains(s.held, dg.id) GROUP BY s.seed, dg.id) GROUP BY seed)),
+fin AS (SELECT seed, held FROM gr, tot WHERE len(held) >= tot.n // 2),
+grown AS (SELECT seed, CAST(sum(CASE WHEN list_contains(held, src) AND NOT list_contains(held, dst) THEN w ELSE 0 END) AS BIGINT) AS cut, CAST(any_value(len(held)) AS BIGINT) AS n FROM fin CROSS JOIN e GROUP BY seed)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
         "copurchase_edges": w + COPURCHASE + " SELECT src, dst, w FROM e",
         "part_supplier_bipartite": "WITH half AS (SELECT l_partkey AS src, l_suppkey + (SELECT max(p_partkey) + 1 FROM part) AS dst, count(*) AS w FROM lineitem GROUP BY 1, 2) SELECT src, dst, w FROM half UNION ALL SELECT dst, src, w FROM half",
         "user_sequence_graph": w + USERS + " SELECT src, dst, w FROM e",
-        "order_part_graph": w + SPARSE + " SELECT src, dst, w FROM e",
+        "order_part_graph": w + ORDER_PART + " SELECT src, dst, w FROM e",
         "symmetrised_pairs": w + TRADE + " SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS w FROM (SELECT i AS src, j AS dst FROM t UNION ALL SELECT j, i FROM t) WHERE src <> dst",
         "merged_parallel_edges": "SELECT l_partkey AS src, l_suppkey AS dst, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2",
         "matrix_market_round_trip": w + USERS + " SELECT src, dst, CAST(1 AS BIGINT) AS w FROM e",
         "matrix_market_values": w + TRADE + " SELECT i, j, v FROM t WHERE i <> j",
-        "compressed_rows_round_trip": w + SPARSE + ", n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nr FROM (SELECT DISTINCT src AS id FROM e)) SELECT a.nr AS src, b.nr AS dst FROM e JOIN n a ON src = a.id JOIN n b ON dst = b.id",
+        "compressed_rows_round_trip": w + ORDER_PART + ", n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nr FROM (SELECT DISTINCT src AS id FROM e)) SELECT a.nr AS src, b.nr AS dst FROM e JOIN n a ON src = a.id JOIN n b ON dst = b.id",
         "edge_list_round_trip": w + USERS + " SELECT src, dst, w FROM e",
         "partition_file_round_trip": "SELECT p_partkey AS id, CAST(p_size % 2 AS INTEGER) AS part FROM part",
         "banded_matrix": "SELECT i, true AS dominant FROM (SELECT unnest(range(200)) AS i)",
@@ -135,10 +162,9 @@ def oracle_sql() -> dict[str, str]:
         "stable_split": w + SIZE + " SELECT i, v % 2 AS side, row_number() OVER (PARTITION BY v % 2 ORDER BY i) - 1 AS pos FROM s",
         "permuted_vector": w + PRICE + f" SELECT row_number() OVER (ORDER BY {_p('i')}, i) - 1 AS i, v FROM x",
         "members_by_color": w + SIZE + " SELECT v, count(*) AS n, min(i) AS first, max(i) AS last FROM s GROUP BY 1",
-        "connected_components": _REACH.format(g=SPARSE) + " SELECT id, min(label) AS label FROM r GROUP BY 1",
-        "largest_component": _REACH.format(g=SPARSE) + ", c AS (SELECT id, min(label) AS label FROM r GROUP BY 1), top AS (SELECT label FROM c GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1) SELECT id AS old_id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM c JOIN top USING (label)",
-        "bfs_levels": "WITH RECURSIVE " + SPARSE + ", r AS (SELECT min(src) AS id, CAST(0 AS BIGINT) AS lvl FROM e UNION SELECT e.dst, r.lvl + 1 FROM r JOIN e ON e.src = r.id WHERE r.lvl < 60) SELECT id, min(lvl) AS lvl FROM r GROUP BY 1",
-        "balloon_clusters": w + USERS + " SELECT count(DISTINCT src) AS n, count(DISTINCT src) AS clustered FROM e",
+        "connected_components": _REACH.format(g=ORDER_PART) + " SELECT id, label FROM r",
+        "largest_component": _REACH.format(g=ORDER_PART) + ", c AS (SELECT id, label FROM r), top AS (SELECT label FROM c GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1) SELECT id AS old_id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM c JOIN top USING (label)",
+        "bfs_levels": "WITH RECURSIVE " + ORDER_PART + ", r AS (SELECT min(src) AS id, CAST(0 AS BIGINT) AS lvl FROM e UNION SELECT e.dst, r.lvl + 1 FROM r JOIN e ON e.src = r.id WHERE r.lvl < 60) SELECT id, min(lvl) AS lvl FROM r GROUP BY 1",
         "transpose_matrix": w + SUPPLY + " SELECT j AS i, i AS j, v FROM a",
         "spmv_weighted": w + COPURCHASE + ", " + SIZE + " SELECT src AS id, CAST(sum(w * v) AS BIGINT) AS y FROM e JOIN s ON dst = i GROUP BY 1",
         "spmv_transposed": w + SUPPLY + ", " + SIZE + " SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT a.j AS i, 2 * a.v * s.v AS v FROM a JOIN s ON a.i = s.i UNION ALL SELECT s_suppkey, 3 * s_nationkey FROM supplier) GROUP BY 1",
@@ -156,7 +182,6 @@ def oracle_sql() -> dict[str, str]:
         "blas1_vectors": w + PRICE + ", " + SIZE + " SELECT i, 2 * x.v + 3 * s.v - x.v * s.v AS v, abs(2 * x.v + 3 * s.v - x.v * s.v) AS a FROM x JOIN s USING (i)",
         "weighted_norm": w + PRICE + ", " + SIZE + " SELECT round(sum(pow(abs(x.v) / abs(s.v + 1), 2)), 2) AS nrm2wsq FROM x JOIN s USING (i)",
         "greatest_difference": w + PRICE + ", " + SIZE + " SELECT CAST(max(abs(x.v - s.v)) AS DOUBLE) AS diff FROM x JOIN s USING (i)",
-        "incomplete_lu": "SELECT 0.0::DOUBLE AS gap",
         "batched_small_dense": "SELECT p_partkey, round((3.0::DOUBLE * p_size - 1) / (3 * (p_size + 2.0::DOUBLE) - 1), 6) AS x0, round(((p_size + 2.0::DOUBLE) - p_size) / (3 * (p_size + 2.0::DOUBLE) - 1), 6) AS x1, round(3 * (p_size + 2.0::DOUBLE) - 1, 6) AS det FROM part",
         "array_algebra": "SELECT p_partkey, CAST(p_size * (p_size + 10) + 4 + 9 + 56 AS DOUBLE) AS dot, CAST(2 * (p_size + 9) + 2 AS DOUBLE) AS total FROM part",
         "all_reducers": "WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity + 3 AS BIGINT) AS v FROM lineitem) SELECT CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, (SELECT id FROM r ORDER BY v, id LIMIT 1) AS least_at, (SELECT id FROM r ORDER BY v DESC, id LIMIT 1) AS most_at, product(sign(v)) AS sign, bool_and(v > 0) AS all_positive, bool_or(v % 2 = 1) AS any_odd, bit_and(v) AS band, bit_or(v) AS bor FROM r",
@@ -167,14 +192,14 @@ def oracle_sql() -> dict[str, str]:
         "contract_ptap": w + COPURCHASE + ", " + HEC3 + ", " + CONTRACTED + " SELECT src, dst, w FROM ce",
         "hec_map": w + COPURCHASE + ", " + HN + ",\n" + _hec_serial() + " SELECT id, dense_rank() OVER (ORDER BY up) - 1 AS cid FROM u5",
         "matching_pairs": w + USERS + ",\n" + _matching(),
-        "leaf_pairs": w + SPARSE + ", " + DEG + ", l AS (SELECT e.dst AS hub, e.src AS id, (row_number() OVER (PARTITION BY e.dst ORDER BY e.src) - 1) // 2 AS k FROM e JOIN deg ON e.src = deg.id WHERE deg.deg = 1) SELECT min(id) AS a, max(id) AS b FROM l GROUP BY hub, k HAVING count(*) = 2",
-        "twin_pairs": w + SPARSE + ", n AS (SELECT src AS id, list_sort(list(dst)) AS near FROM e GROUP BY 1), l AS (SELECT id, near, (row_number() OVER (PARTITION BY near ORDER BY id) - 1) // 2 AS k FROM n) SELECT min(id) AS a, max(id) AS b FROM l GROUP BY near, k HAVING count(*) = 2",
-        "relative_round": w + SPARSE + f""", h AS (SELECT dst AS hub, src AS id, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 2 AS k FROM e WHERE src % 2 = 0),
+        "leaf_pairs": w + ORDER_PART + ", " + DEG + ", l AS (SELECT e.dst AS hub, e.src AS id, (row_number() OVER (PARTITION BY e.dst ORDER BY e.src) - 1) // 2 AS k FROM e JOIN deg ON e.src = deg.id WHERE deg.deg = 1) SELECT min(id) AS a, max(id) AS b FROM l GROUP BY hub, k HAVING count(*) = 2",
+        "twin_pairs": w + ORDER_PART + ", n AS (SELECT src AS id, list_sort(list(dst)) AS near FROM e GROUP BY 1), l AS (SELECT id, near, (row_number() OVER (PARTITION BY near ORDER BY id) - 1) // 2 AS k FROM n) SELECT min(id) AS a, max(id) AS b FROM l GROUP BY near, k HAVING count(*) = 2",
+        "relative_round": w + ORDER_PART + f""", h AS (SELECT dst AS hub, src AS id, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 2 AS k FROM e WHERE src % 2 = 0),
 two AS (SELECT hub, min(id) AS a, max(id) AS b FROM h GROUP BY hub, k HAVING count(*) = 2), off AS (SELECT hub, a AS id, b AS partner FROM two UNION ALL SELECT hub, b, a FROM two),
 best AS (SELECT id, partner FROM (SELECT id, partner, row_number() OVER (PARTITION BY id ORDER BY {_p('hub')} DESC, hub DESC, partner DESC) AS rn FROM off) WHERE rn = 1)
 SELECT x.id AS a, x.partner AS b FROM best x JOIN best y ON x.partner = y.id AND y.partner = x.id WHERE x.id < x.partner""",
-        "mis2_set": w + SPARSE + ",\n" + _mis2() + " SELECT id FROM ist WHERE state = 1",
-        "mis2_map": w + SPARSE + ",\n" + _mis2() + f""", rt AS (SELECT id, id AS root FROM ist WHERE state = 1),
+        "mis2_set": w + ORDER_PART + ",\n" + _mis2() + " SELECT id FROM ist WHERE state = 1",
+        "mis2_map": w + ORDER_PART + ",\n" + _mis2() + f""", rt AS (SELECT id, id AS root FROM ist WHERE state = 1),
 nr AS MATERIALIZED (SELECT id, root FROM rt UNION ALL SELECT src, max(root) FROM e JOIN rt ON dst = id WHERE src NOT IN (SELECT id FROM rt) GROUP BY 1),
 fr AS (SELECT id, root FROM (SELECT src AS id, root, row_number() OVER (PARTITION BY src ORDER BY w DESC, {_p('dst')} DESC, dst DESC, root DESC) AS rn FROM e JOIN nr ON dst = nr.id WHERE src NOT IN (SELECT id FROM nr)) WHERE rn = 1)
 SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, root FROM nr UNION ALL SELECT id, root FROM fr)""",
@@ -205,11 +230,9 @@ SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, id AS r
         "power_iter_10": w + NATIONS + ", " + DEG + ",\n" + _power(),
         "rayleigh": w + USERS + ", " + DEG + ", x AS (SELECT id, CAST(id % 7 AS DOUBLE) AS x FROM deg), l AS (SELECT x.id, x.x, wdeg * x.x - n.ax AS lx FROM x JOIN deg USING (id) JOIN (SELECT src AS id, sum(w * x) AS ax FROM e JOIN x ON dst = id GROUP BY 1) n ON n.id = x.id) SELECT round(sum(x * lx) / sum(x * x), 6) AS quotient, round(sqrt(sum(lx * lx)), 4) AS norm, round(sum(x * lx) / sum(x * x) * count(*) / 4, 4) AS bound FROM l",
         "drawing_coordinates": w + NATIONS + " SELECT true AS apart, count(DISTINCT src) AS n FROM e",
-        "triangle_count": w + HEAVY + ", " + _TRI + " SELECT count(*) AS cnt FROM tri",
-        "triangles_per_vertex": w + HEAVY + ", " + _TRI + " SELECT id, count(*) AS cnt FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY 1",
+        "triangle_count": w + COPURCHASE + ", " + _TRI + " SELECT count(*) AS cnt FROM tri",
+        "triangles_per_vertex": w + COPURCHASE + ", " + _TRI + " SELECT id, count(*) AS cnt FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY 1",
         "coloring_conflicts": "SELECT CAST(0 AS BIGINT) AS conflicts",
-        "d2_coloring_conflicts": "SELECT CAST(0 AS BIGINT) AS conflicts",
-        "bipartite_coloring": "SELECT CAST(0 AS BIGINT) AS conflicts",
         "experiment_stats": w + RUNS + ", f AS (SELECT graph, method, 'cut' AS figure, cut AS value FROM runs UNION ALL SELECT graph, method, 'time', time FROM runs) SELECT graph, method, figure, " + _STATS.format(c="value") + ", round(stddev_samp(value), 4) AS stdev FROM f GROUP BY 1, 2, 3",
         "experiment_level_stats": w + RUNS + ", f AS (SELECT graph, method, unnest(range(run % 3 + 1)) AS level, cut FROM runs), h AS (SELECT graph, method, level, CAST(floor(cut * 8 / pow(2, level)) AS BIGINT) AS value FROM f) SELECT graph, method, level, count(*) AS runs, " + _STATS.format(c="value") + " FROM h GROUP BY 1, 2, 3",
         "method_ratios": w + RATIOS + " SELECT graph, method, round(ratio, 6) AS ratio FROM ratios",
@@ -219,4 +242,43 @@ SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, id AS r
         "method_table": w + RUNS + ", " + MEDIANS + " SELECT graph, round(max(m) FILTER (method = '1'), 2) AS m1, round(max(m) FILTER (method = '2'), 2) AS m2, round(max(m) FILTER (method = '3'), 2) AS m3 FROM md GROUP BY 1",
         "normalised_times": w + RUNS + " SELECT graph, method, run, time, round(time / min(time) OVER (PARTITION BY graph), 6) AS normal FROM runs",
         "figures_by_run": w + RUNS + " SELECT graph, method, string_agg(CAST(cut AS VARCHAR), ',' ORDER BY run) AS cuts FROM runs GROUP BY 1, 2",
+        "coloring_colors": "WITH RECURSIVE " + USERS + ", " + _colors("SELECT src, dst FROM e", "SELECT DISTINCT src AS id FROM e"),
+        "d2_coloring_colors": "WITH RECURSIVE " + ORDER_PART + ", " + _colors("SELECT src, dst FROM e UNION SELECT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst", "SELECT DISTINCT src AS id FROM e"),
+        "bipartite_coloring": "WITH RECURSIVE " + ORDER_PART + ", " + _colors("SELECT DISTINCT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst AND x.src % 2 = 0", "SELECT DISTINCT src AS id FROM e WHERE src % 2 = 0"),
+        "balloon_clusters": "WITH RECURSIVE " + USERS + f""", st(id, cid) AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY {_p('id')}, id) <= 16 THEN id END FROM (SELECT DISTINCT src AS id FROM e)),
+r(id, cid, size, step) AS (SELECT id, cid, CAST(1 AS BIGINT), 0 FROM st WHERE cid IS NOT NULL UNION ALL
+(SELECT id, cid, count(*) OVER (PARTITION BY cid) AS size, step FROM (SELECT id, cid, step + 1 AS step FROM r UNION ALL
+SELECT src, min({{'size': r.size, 'cid': r.cid}}).cid, max(r.step) + 1 FROM r JOIN e ON e.dst = r.id WHERE src NOT IN (SELECT id FROM r) GROUP BY src) WHERE step < 40))
+SELECT v.id, coalesce(l.cid, v.id) AS cid FROM (SELECT DISTINCT src AS id FROM e) v LEFT JOIN (SELECT id, cid FROM r WHERE step = (SELECT max(step) FROM r)) l ON v.id = l.id""",
+        "incomplete_lu": w + TRADE + " SELECT i, j, CAST(CASE WHEN i = j THEN 4 * v + 100 ELSE v END AS BIGINT) AS v FROM t",
+        "split_cuts": w + COPURCHASE + ", " + _ORDERED + " SELECT split, cut FROM cuts",
+        "best_split": w + COPURCHASE + ", " + _ORDERED + " SELECT greatest(split, n - split) AS larger, cut FROM cuts, win ORDER BY cut, split DESC LIMIT 1",
+        "median_cut": w + COPURCHASE + ", " + _ORDERED + ", md AS (SELECT median(x) AS m FROM ord), pt AS (SELECT id, CASE WHEN x < m THEN 0 ELSE 1 END AS part FROM ord, md) SELECT (SELECT count(*) FROM e JOIN pt a ON src = a.id JOIN pt b ON dst = b.id WHERE src < dst AND a.part <> b.part) AS cut, round(sum(part) / sum(1 - part), 6) AS balance FROM pt",
+        "swept_partition": "WITH RECURSIVE " + COPURCHASE + ", " + _ORDERED + """, nb AS MATERIALIZED (SELECT a AS pos, b AS other FROM ends UNION ALL SELECT b, a FROM ends),
+s(pos, now, best, moved) AS (SELECT lo - 1, (SELECT 2 * count(*) FROM ends WHERE a < lo AND b >= lo), (SELECT 2 * count(*) FROM ends WHERE a < lo AND b >= lo), CAST([] AS BIGINT[]) FROM win
+UNION ALL (SELECT pos, upd, CASE WHEN upd <= best THEN upd ELSE best END, CASE WHEN upd <= best THEN list_append(moved, pos) ELSE moved END
+FROM (SELECT s.pos + 1 AS pos, any_value(s.now) + 2 * coalesce(sum(CASE WHEN nb.other IS NULL THEN 0 WHEN nb.other < win.lo OR list_contains(s.moved, nb.other) THEN -1 ELSE 1 END), 0) AS upd, any_value(s.best) AS best, any_value(s.moved) AS moved
+FROM s CROSS JOIN win LEFT JOIN nb ON nb.pos = s.pos + 1 WHERE s.pos + 1 < win.hi GROUP BY s.pos)))
+SELECT id, CAST(CASE WHEN ord.pos < lo OR list_contains(l.moved, ord.pos) THEN 0 ELSE 1 END AS BIGINT) AS part FROM ord, win, (SELECT moved FROM s ORDER BY pos DESC LIMIT 1) l""",
+        "interleaved_order": w + COPURCHASE + f""", part_ AS (SELECT DISTINCT src AS id, CASE WHEN src % 4 = 0 THEN 1 ELSE 0 END AS part FROM e), {GAINS},
+im AS (SELECT sum(CASE WHEN part = 0 THEN 1 ELSE -1 END) AS imb FROM part_), mv AS (SELECT id, part, row_number() OVER (PARTITION BY part ORDER BY gain DESC, id) - 1 AS k FROM g JOIN part_ USING (id) WHERE gain > 0),
+hv AS (SELECT CASE WHEN imb > 0 THEN 0 ELSE 1 END AS heavy, abs(imb) - greatest(20, abs(imb) // 10) AS goal FROM im),
+sz AS (SELECT count(*) AS n FROM mv, hv WHERE part = heavy), off_ AS (SELECT CASE WHEN goal > 0 THEN least((goal + 1) // 2, n) ELSE 0 END AS o, n FROM hv, sz),
+of2 AS (SELECT CASE WHEN goal > 0 AND (goal + 1) // 2 >= off_.n THEN off_.n ELSE o END AS o FROM off_, hv)
+SELECT id, row_number() OVER (ORDER BY CASE WHEN part = heavy THEN k ELSE k + o END, CASE WHEN part = heavy THEN 1 ELSE 0 END) - 1 AS pos FROM mv, hv, of2""",
+        "gggp_cuts": "WITH RECURSIVE " + NATIONS + ", " + _GROWN + " SELECT seed, cut, n FROM grown",
+        "gggp_best_cut": "WITH RECURSIVE " + NATIONS + ", " + _GROWN + " SELECT min(cut) AS cut FROM grown",
+        "fourway_cut": w + USERS + " SELECT count(DISTINCT src) AS n, CAST(4 AS BIGINT) AS parts, true AS better FROM e",
+        "recoarsening_cycles": "SELECT true AS no_worse",
+        "binary_graph_round_trip": w + USERS + " SELECT src, dst FROM e",
+        "binary_graph_round_trip_32": w + USERS + " SELECT src, dst FROM e",
+        "triangular_solve": "WITH RECURSIVE " + TRADE + """, m AS (SELECT x.n_nationkey AS i, list(coalesce(t.v, 0) ORDER BY y.n_nationkey) AS a FROM nation x CROSS JOIN nation y LEFT JOIN t ON t.i = x.n_nationkey AND t.j = y.n_nationkey GROUP BY 1),
+low AS (SELECT i, a, row_number() OVER (ORDER BY i) - 1 AS k FROM m),
+s(k, x) AS (SELECT CAST(0 AS BIGINT), CAST([] AS DOUBLE[]) UNION ALL SELECT s.k + 1, list_append(x, (i % 5 * 100.0 + 100 - coalesce(list_sum(list_transform(range(1, low.k + 1), lambda q: a[q] * x[q])), 0)) / (1.0 + coalesce(list_sum(a[1:low.k]), 0))) FROM s JOIN low ON low.k = s.k)
+SELECT CAST(i AS BIGINT) AS i, round(x[low.k + 1], 6) AS v FROM low, (SELECT x FROM s ORDER BY k DESC LIMIT 1)""",
+        "gs_sweep": "WITH RECURSIVE " + TRADE + ", " + _ROWS + """, rw AS (SELECT i, k, n, a, list_sum(a) AS b, 2.0 * (list_sum(a) - a[k + 1]) AS d FROM nr),
+s(step, x) AS (SELECT CAST(0 AS BIGINT), CAST(list_transform(range(0, (SELECT max(n) FROM nr)), lambda q: 0.0) AS DOUBLE[]) UNION ALL
+SELECT step + 1, list_transform(x, lambda o, q: CASE WHEN q = k + 1 THEN (b - list_sum(list_transform(range(1, n + 1), lambda z: CASE WHEN z = k + 1 THEN 0 ELSE a[z] * x[z] END))) / d ELSE o END)
+FROM s JOIN rw ON rw.k = CASE WHEN step < n THEN step ELSE 2 * n - 1 - step END WHERE step < 2 * n)
+SELECT i, round(x[k + 1], 6) AS v FROM nr, (SELECT x FROM s ORDER BY step DESC LIMIT 1)""",
     }

@@ -55,9 +55,15 @@ def _matrix(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
 
 
-def _heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The co-purchase edges of at least average weight: a graph with leaves and several components."""
-    return tables.copurchase(spark, sf_dir).where("w >= 2")
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' trade as a graph: weights of both directions summed."""
+    half = tables.nation_trade(spark, sf_dir).where("i <> j").groupBy(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst")).agg(F.sum("v").cast("long").alias("w"))
+    return materialise(g.mirrored(half), "nations")
+
+
+def _ids_mod(edges: DataFrame, n: int, ones: int) -> DataFrame:
+    """A vector with many ties: x = id * ones mod n."""
+    return materialise(g.vertices_of(edges).select("id", (F.col("id") * ones % n).cast("long").alias("x")), "vector")
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------------------------
@@ -80,7 +86,7 @@ def user_sequence_graph(spark, sf_dir):
 
 @query
 def order_part_graph(spark, sf_dir):
-    return tables.large_order_part(spark, sf_dir)
+    return tables.order_part(spark, sf_dir)
 
 
 @query
@@ -116,7 +122,7 @@ def matrix_market_values(spark, sf_dir):
 @query
 def compressed_rows_round_trip(spark, sf_dir):
     path = shared_path(spark, "crs")
-    edges = tables.large_order_part(spark, sf_dir)
+    edges = tables.order_part(spark, sf_dir)
     ids = materialise(numbered(g.vertices_of(edges).select(F.col("id").alias("old_id")), "old_id", name="new_id"), "ids")
     files.write_compressed_rows(g.relabelled(edges, ids), path, ids.count())
     return files.read_compressed_rows(spark, path)
@@ -220,17 +226,17 @@ def members_by_color(spark, sf_dir):
 
 @query
 def connected_components(spark, sf_dir):
-    return g.star_components(tables.large_order_part(spark, sf_dir))
+    return g.star_components(tables.order_part(spark, sf_dir))
 
 
 @query
 def largest_component(spark, sf_dir):
-    return g.largest_component(tables.large_order_part(spark, sf_dir))
+    return g.largest_component(tables.order_part(spark, sf_dir))
 
 
 @query
 def bfs_levels(spark, sf_dir):
-    edges = tables.large_order_part(spark, sf_dir)
+    edges = tables.order_part(spark, sf_dir)
     return g.bfs_levels(edges, edges.agg(F.min("src").alias("id")))
 
 
@@ -247,8 +253,8 @@ def rcm_order(spark, sf_dir):
 
 @query
 def balloon_clusters(spark, sf_dir):
-    """Grown clusters; each vertex has one."""
-    return g.balloon_clusters(tables.user_sequence(spark, sf_dir), 16).agg(F.count("*").alias("n"), F.count("cid").alias("clustered"))
+    """Grown clusters: the cluster of each vertex."""
+    return g.balloon_clusters(materialise(tables.user_sequence(spark, sf_dir), "edges"), 16)
 
 
 # --- sparse algebra ----------------------------------------------------------------------------------------------------------------------
@@ -369,22 +375,22 @@ def gs_sweep(spark, sf_dir):
 
 @query
 def triangular_solve(spark, sf_dir):
-    """L x = b with L from the trade matrix: unit-free lower triangle, twice the diagonal."""
-    t = tables.nation_trade(spark, sf_dir).where("i >= j").select("i", "j", F.when(F.col("i") == F.col("j"), 2.0 * F.col("v")).otherwise(F.col("v").cast("double")).alias("v"))
-    t = materialise(t, "trade")
-    x = sparse.triangular_solve(t, t.groupBy("i").agg(F.sum("v").alias("v")))
+    """L x = b: the whole lower triangle of the trade matrix, with a dominant diagonal (one more than the row's sum)."""
+    low = materialise(tables.nation_trade(spark, sf_dir).where("i > j").select("i", "j", F.col("v").cast("double")), "trade")
+    rows = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    diagonal = rows.join(low.groupBy("i").agg(F.sum("v").alias("s")), "i", "left").select("i", F.col("i").alias("j"), (F.coalesce("s", F.lit(0.0)) + 1).alias("v"))
+    x = sparse.triangular_solve(materialise(low.unionByName(diagonal), "lower"), rows.select("i", (F.col("i") % 5 * 100.0 + 100).alias("v")))
     return x.select("i", F.round("v", 6).alias("v"))
 
 
 @query
 def incomplete_lu(spark, sf_dir):
-    """Factors of the trade matrix multiply to it (its pattern is full): the largest difference, rounded."""
+    """Factors of the trade matrix (its pattern is full, so nothing is dropped): the entries of their product, rounded."""
     t = tables.nation_trade(spark, sf_dir).select(F.lit(0).cast("long").alias("g"), "i", "j", F.when(F.col("i") == F.col("j"), 4.0 * F.col("v") + 100).otherwise(F.col("v").cast("double")).alias("v"))
     t = materialise(t, "trade")
     f = materialise(sparse.incomplete_lu(t), "ilu")
     product = sparse.spgemm(f.where("part = 'L'").select("i", "j", "v"), f.where("part = 'U'").select("i", "j", "v"))
-    gap = sparse.spadd(1, product, -1, t).agg(F.max(F.abs("v")).alias("v"))
-    return gap.select(F.round("v", 6).alias("gap"))
+    return product.select("i", "j", F.round("v").cast("long").alias("v"))
 
 
 @query
@@ -458,18 +464,18 @@ def matching_pairs(spark, sf_dir):
 
 @query
 def leaf_pairs(spark, sf_dir):
-    return coarsen.leaf_pairs(tables.large_order_part(spark, sf_dir))
+    return coarsen.leaf_pairs(tables.order_part(spark, sf_dir))
 
 
 @query
 def twin_pairs(spark, sf_dir):
-    return coarsen.twin_pairs(tables.large_order_part(spark, sf_dir))
+    return coarsen.twin_pairs(tables.order_part(spark, sf_dir))
 
 
 @query
 def relative_round(spark, sf_dir):
     """Even ids (orders) are free, parts are the hubs."""
-    edges = tables.large_order_part(spark, sf_dir)
+    edges = tables.order_part(spark, sf_dir)
     return coarsen.relative_round(edges, g.vertices_of(edges).where("id % 2 = 0").select("id"))
 
 
@@ -482,12 +488,12 @@ def two_hop_matching_sizes(spark, sf_dir):
 
 @query
 def mis2_set(spark, sf_dir):
-    return coarsen.mis2(tables.large_order_part(spark, sf_dir)).where("state = 1").select("id")
+    return coarsen.mis2(tables.order_part(spark, sf_dir)).where("state = 1").select("id")
 
 
 @query
 def mis2_map(spark, sf_dir):
-    return coarsen.mis2_aggregation(tables.large_order_part(spark, sf_dir))
+    return coarsen.mis2_aggregation(tables.order_part(spark, sf_dir))
 
 
 @query
@@ -619,11 +625,91 @@ def split_subgraphs(spark, sf_dir):
 
 @query
 def gggp_cuts(spark, sf_dir):
-    """Grown partitions of the nations' trade graph: the cut of each seed."""
-    t = tables.nation_trade(spark, sf_dir).where("i <> j")
-    half = t.groupBy(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst")).agg(F.sum("v").cast("long").alias("w"))
-    edges = g.mirrored(half)
-    return partition.greedy_growing(edges, g.vertices_of(edges)).select("seed", F.size("ids").cast("long").alias("n"))
+    """Grown partitions of the nations' trade graph: the cut and the size of each seed."""
+    edges = _nations(spark, sf_dir)
+    return partition.greedy_growing(edges, g.vertices_of(edges)).select("seed", "cut", F.size("ids").cast("long").alias("n"))
+
+
+@query
+def gggp_best_cut(spark, sf_dir):
+    """The grown partition of the smallest cut."""
+    edges = _nations(spark, sf_dir)
+    return partition.edge_cut(edges, materialise(partition.growing_partition(edges, g.vertices_of(edges)), "grown"))
+
+
+@query
+def split_cuts(spark, sf_dir):
+    """The co-purchase graph in the order of a vector: the cut of each split that an imbalance of one percent allows."""
+    edges = _edges(spark, sf_dir)
+    return partition.split_cuts(edges, _ids_mod(edges, 97, 31), imb=1.0)
+
+
+@query
+def best_split(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return partition.best_split(edges, _ids_mod(edges, 97, 31), imb=1.0)
+
+
+@query
+def median_cut(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return partition.median_cut(edges, _ids_mod(edges, 97, 31)).select(F.col("cut").cast("long"), F.round("balance", 6).alias("balance"))
+
+
+@query
+def swept_partition(spark, sf_dir):
+    """A vector made a bisection, with the vertices of the window of one percent taken over one by one."""
+    edges = _edges(spark, sf_dir)
+    return _long(partition.swept_partition(edges, _ids_mod(edges, 97, 31), imb=1.0), "part")
+
+
+@query
+def interleaved_order(spark, sf_dir):
+    """Movers of the co-purchase graph, best first, both parts in turn; parts of three to one, so the heavier one begins alone."""
+    edges = _edges(spark, sf_dir)
+    part = materialise(g.vertices_of(edges).select("id", F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("part")), "part")
+    order = materialise(numbered(partition.gains(edges, part).where("gain > 0"), F.desc("gain"), "id", name="pos").select("id", "pos"), "order")
+    return partition.interleaved_for_balance(order, g.vertices_of(edges), part)
+
+
+@query
+def fourway_cut(spark, sf_dir):
+    """Recursive bisection of the users' graph into four parts: sizes, and the total cut against that of id mod 4 (below one is better)."""
+    edges = materialise(tables.user_sequence(spark, sf_dir), "edges")
+    part = materialise(multilevel.recursive_partition(edges, 2, steps=5), "fourway")
+    base = g.vertices_of(edges).select("id", (F.col("id") % 4).alias("part"))
+    cut = partition.edge_cut(edges, part).crossJoin(partition.edge_cut(edges, base).withColumnRenamed("cut", "plain"))
+    return cut.crossJoin(part.groupBy("part").agg(F.count("*").alias("n")).agg(F.count("*").alias("parts"), F.sum("n").alias("n"))).select("n", "parts", (F.col("cut") < F.col("plain")).alias("better"))
+
+
+@query
+def recoarsening_cycles(spark, sf_dir):
+    """Two more cycles of coarsening within the parts never make the cut of the nations' graph worse."""
+    edges = _nations(spark, sf_dir)
+    one, more = multilevel.bisect(edges), multilevel.bisect(edges, cycles=2)
+    both = partition.edge_cut(edges, one).crossJoin(partition.edge_cut(edges, more).withColumnRenamed("cut", "after"))
+    return both.select((F.col("after") <= F.col("cut")).alias("no_worse"))
+
+
+@query
+def binary_graph_round_trip(spark, sf_dir):
+    """The users' graph as a record of 64-bit numbers, written and read."""
+    return _through_binary(spark, sf_dir, True)
+
+
+@query
+def binary_graph_round_trip_32(spark, sf_dir):
+    return _through_binary(spark, sf_dir, False)
+
+
+def _through_binary(spark: SparkSession, sf_dir: str, wide: bool) -> DataFrame:
+    """Written by ranges, joined by the driver in the shared folder (a local one in tests), read by splits."""
+    edges = materialise(tables.user_sequence(spark, sf_dir), "edges")
+    path = shared_path(spark, "binary")
+    n = edges.agg(F.max("src")).first()[0] + 1
+    files.write_binary_graph(edges, path, n, wide)
+    files.publish_binary_graph(spark, path, path + ".bin")
+    return files.read_binary_graph(spark, path + ".bin", wide)
 
 
 @query
@@ -669,12 +755,6 @@ def spectral_bisection(spark, sf_dir):
     return part.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query
-def fourway_sizes(spark, sf_dir):
-    """Recursive bisection into four parts of the users' graph; rows only."""
-    return multilevel.recursive_partition(tables.user_sequence(spark, sf_dir), 2, steps=5).groupBy("part").agg(F.count("*").alias("n"))
-
-
 # --- spectral ----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -716,12 +796,17 @@ def drawing_coordinates(spark, sf_dir):
 
 @query
 def triangle_count(spark, sf_dir):
-    return kernels.triangle_count(_heavy(spark, sf_dir))
+    return kernels.triangle_count(_edges(spark, sf_dir))
 
 
 @query
 def triangles_per_vertex(spark, sf_dir):
-    return kernels.triangles_per_vertex(_heavy(spark, sf_dir))
+    return kernels.triangles_per_vertex(_edges(spark, sf_dir))
+
+
+@query
+def coloring_colors(spark, sf_dir):
+    return _long(kernels.coloring(materialise(tables.user_sequence(spark, sf_dir), "edges")), "color")
 
 
 @query
@@ -731,51 +816,15 @@ def coloring_conflicts(spark, sf_dir):
 
 
 @query
-def d2_coloring_conflicts(spark, sf_dir):
-    edges = materialise(tables.order_part(spark, sf_dir), "edges")
-    return kernels.conflicts(kernels.two_hop(edges), materialise(kernels.coloring2(edges), "colors"))
+def d2_coloring_colors(spark, sf_dir):
+    return _long(kernels.coloring2(materialise(tables.order_part(spark, sf_dir), "edges")), "color")
 
 
 @query
 def bipartite_coloring(spark, sf_dir):
-    """Rows that share a column have different colours: as many colours in each column as rows."""
+    """The colours of the rows (orders) of the order by part matrix: none that share a column (part) are alike."""
     a = tables.order_part(spark, sf_dir).where("src % 2 = 0").select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    colors = kernels.coloring_bipartite(a)
-    own = a.join(colors.withColumnRenamed("id", "i"), "i").groupBy("j").agg(F.count("*").alias("n"), F.count_distinct("color").alias("c"))
-    return own.agg(F.count_if(F.col("n") != F.col("c")).alias("conflicts"))
-
-
-# --- all orders and parts: what the queries of like names do on large line items only ----------------------------------------------------
-
-
-@query
-def whole_order_part_graph(spark, sf_dir):
-    return tables.order_part(spark, sf_dir)
-
-
-@query
-def whole_compressed_rows_round_trip(spark, sf_dir):
-    path = shared_path(spark, "crs")
-    edges = tables.order_part(spark, sf_dir)
-    ids = materialise(numbered(g.vertices_of(edges).select(F.col("id").alias("old_id")), "old_id", name="new_id"), "ids")
-    files.write_compressed_rows(g.relabelled(edges, ids), path, ids.count())
-    return files.read_compressed_rows(spark, path)
-
-
-@query
-def whole_bfs_levels(spark, sf_dir):
-    edges = tables.order_part(spark, sf_dir)
-    return g.bfs_levels(edges, edges.agg(F.min("src").alias("id")))
-
-
-@query
-def whole_mis2_set(spark, sf_dir):
-    return coarsen.mis2(tables.order_part(spark, sf_dir)).where("state = 1").select("id")
-
-
-@query
-def whole_mis2_map(spark, sf_dir):
-    return coarsen.mis2_aggregation(tables.order_part(spark, sf_dir))
+    return _long(kernels.coloring_bipartite(a), "color")
 
 
 # --- experiments -------------------------------------------------------------------------------------------------------------------------

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import degrees, symmetrised
-from graphloom.plans.iterate import numbered
+from graphloom.plans.iterate import numbered, running_sum
 from graphloom.session import materialise, ship
 
 
@@ -95,52 +97,85 @@ def write_graph(edges: DataFrame, path: str, n: int) -> None:
     write_matrix_market(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w"), path, n, n, symmetric=True, pattern=True)
 
 
-def write_binary_graph(edges: DataFrame, path: str, n: int) -> None:
-    """Compressed rows as one binary record: six 64-bit numbers (n, directed m, 1, 0, 1, 0), 32-bit offsets, 32-bit neighbours.
+def write_binary_graph(edges: DataFrame, path: str, n: int, wide: bool = False) -> None:
+    """Compressed rows as one binary record: six 64-bit numbers (n, directed m, 1, 0, 1, 0), offsets, neighbours; these of 32 bits, or of 64 if wide.
 
-    The format is one file, so one task writes it, streaming rows in order; Parquet is the sink for graphs that do not fit such a file.
+    The record is written in ranges: rows (part, nr, data) whose data, in that order, are the record.
     """
     ship(edges.sparkSession)
     m = edges.count()
-    counts = edges.sparkSession.range(n).join(degrees(edges).select("id", "deg"), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
-    rows = counts.select(F.lit(0).alias("k"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("deg").cast("long").alias("v")).unionByName(
+    if not wide and max(n, m) >= 1 << 32:
+        raise ValueError(f"{n} vertices and {m} edges do not fit 32 bits; write a wide record")
+    kind = "<u8" if wide else "<u4"
+    counts = edges.sparkSession.range(n).join(degrees(edges).select("id", "deg"), "id", "left").select("id", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"))
+    ends = running_sum(counts, "deg", "id", name="end")
+    rows = ends.select(F.lit(0).alias("k"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("end").cast("long").alias("v")).unionByName(
         edges.select(F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dst").alias("v"))
     )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = np.array([n, m, 1, 0, 1, 0], dtype="<i8").tobytes() + np.zeros(1, dtype="<u4").tobytes()
-        yield pd.DataFrame({"data": [head]})
-        total = 0
-        for b in batches:
-            deg, near = b.loc[b["k"] == 0, "v"].to_numpy(), b.loc[b["k"] == 1, "v"].to_numpy()
-            ends = total + np.cumsum(deg)
-            total = int(ends[-1]) if len(ends) else total
-            yield pd.DataFrame({"data": [ends.astype("<u4").tobytes() + near.astype("<u4").tobytes()]})
+        for nr, b in enumerate(batches):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "nr": [nr], "data": [b["v"].to_numpy().astype(kind).tobytes()]})
 
-    rows.repartition(1).sortWithinPartitions("k", "a", "b").mapInPandas(encode, "data binary").write.mode("overwrite").parquet(path)
+    head = np.array([n, m, 1, 0, 1, 0], dtype="<i8").tobytes() + np.zeros(1, dtype=kind).tobytes()
+    body = rows.repartitionByRange("k", "a", "b").sortWithinPartitions("k", "a", "b").mapInPandas(encode, "part int, nr int, data binary")
+    body.unionByName(edges.sparkSession.createDataFrame([(-1, 0, bytearray(head))], "part int, nr int, data binary")).write.mode("overwrite").parquet(path)
+
+
+def save_binary_graph(spark: SparkSession, path: str, file: str) -> None:
+    """The record written by write_binary_graph as a file of the driver, range by range."""
+    with open(file, "wb") as out:
+        for r in spark.read.parquet(path).orderBy("part", "nr").toLocalIterator():
+            out.write(r["data"])
+
+
+def publish_binary_graph(spark: SparkSession, path: str, file: str) -> None:
+    """The same as a file of the shared folder, through Hadoop's file system, a range of the record at a time."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(file)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        for r in spark.read.parquet(path).orderBy("part", "nr").toLocalIterator():
+            out.write(r["data"])
+    finally:
+        out.close()
 
 
 def binary_graph_bytes(spark: SparkSession, path: str) -> bytes:
     """The record written by write_binary_graph, for a small graph."""
-    rows = spark.read.parquet(path).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
-    return b"".join(bytes(r["data"]) for r in rows)
+    return b"".join(bytes(r["data"]) for r in spark.read.parquet(path).orderBy("part", "nr").toLocalIterator())
 
 
-def read_binary_graph(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst of a file of that format (or of a folder of such files)."""
+def read_binary_graph(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+    """src, dst of a file of that format. The file is read in splits as numbers of fixed size, so no task holds more than a split."""
     ship(spark)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in b["content"]:
-                n, m = np.frombuffer(data, "<i8", 2)
-                offsets = np.frombuffer(data, "<u4", int(n) + 1, 48).astype(np.int64)
-                near = np.frombuffer(data, "<u4", int(m), 48 + 4 * (int(n) + 1)).astype(np.int64)
-                if offsets[-1] != m:
-                    raise ValueError("the offsets do not end at the number of edges")
-                yield pd.DataFrame({"src": np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets)), "dst": near})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "src long, dst long")
+    size, kind = (8, "<u8") if wide else (4, "<u4")
+    first = 48 // size
+    records = spark.sparkContext.binaryRecords(path, size)
+    n, m = (int(x) for x in np.frombuffer(b"".join(records.take(first))[:16], "<i8"))
+
+    def numbers(rows: Iterator[tuple[bytes, int]]) -> Iterator[tuple[int, int]]:
+        while chunk := list(islice(rows, 65_536)):
+            yield from zip((i for _, i in chunk), np.frombuffer(b"".join([r for r, _ in chunk]), kind).tolist())
+
+    own = materialise(spark.createDataFrame(records.zipWithIndex().mapPartitions(numbers), "at long, value long").where(F.col("at") >= first), "binary-graph")
+    last = own.where(F.col("at") == first + n).first()
+    if last is None or last["value"] != m or own.count() != n + 1 + m:
+        raise ValueError("the offsets do not end at the number of edges")
+    offsets = own.where(F.col("at") < first + n).select((F.col("at") - first).alias("src"), F.col("value").alias("at"))
+    near = own.where(F.col("at") > first + n).select((F.col("at") - first - n - 1).alias("at"), F.col("value").alias("dst"))
+    return _with_rows(offsets, near)
+
+
+def _with_rows(offsets: DataFrame, near: DataFrame) -> DataFrame:
+    """src, dst: the neighbours (at, dst) with the rows that own them, by the rows' offsets (src, at)."""
+    starts = offsets.groupBy("at").agg(F.max("src").alias("src"))  # empty rows share an offset; the last owns what follows
+    marked = near.join(starts, "at", "left")
+    # the owner of a place is that of the last offset before it: carried on by a running maximum over ranges
+    ranged = materialise(marked.repartitionByRange("at").withColumn("_r", F.spark_partition_id()), "crs-rows")
+    most = ranged.groupBy("_r").agg(F.max("src").alias("m"))
+    before = most.select("_r", F.max("m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("b"))
+    own_max = F.max("src").over(Window.partitionBy("_r").orderBy("at"))
+    return ranged.withColumn("s", own_max).join(F.broadcast(before), "_r").select(F.greatest("s", "b").alias("src"), "dst")
 
 
 def write_edge_list(edges: DataFrame, path: str, binary: bool = False) -> None:
@@ -162,8 +197,6 @@ def write_compressed_rows(edges: DataFrame, path: str, n: int, adjacency_head: b
     """Text of compressed rows: sizes, offsets, neighbours, one a line; adjacency_head puts `AdjacencyGraph` first and leaves the end offset out."""
     spark = edges.sparkSession
     m = edges.count()
-    from graphloom.plans.iterate import running_sum
-
     counts = spark.range(n).join(degrees(edges).select("id", "deg"), "id", "left").select("id", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"))
     offsets = running_sum(counts, "deg", "id", name="first", exclusive=True)
     head = (["AdjacencyGraph"] if adjacency_head else []) + [str(n), str(m)]
@@ -183,15 +216,8 @@ def read_compressed_rows(spark: SparkSession, path: str) -> DataFrame:
     n = int(own.where(F.col("nr") == skip).first()["value"])
     first = skip + 2
     offsets = own.where((F.col("nr") >= first) & (F.col("nr") < first + n)).select((F.col("nr") - first).alias("src"), F.col("value").cast("long").alias("at"))
-    starts = offsets.groupBy("at").agg(F.max("src").alias("src"))  # empty rows share an offset; the last owns what follows
     near = own.where(F.col("nr") >= first + n + (1 - skip)).select((F.col("nr") - first - n - (1 - skip)).alias("at"), F.col("value").cast("long").alias("dst"))
-    marked = near.join(starts, "at", "left")
-    # the owner of a place is that of the last offset before it: carried on by a running maximum over ranges
-    ranged = materialise(marked.repartitionByRange("at").withColumn("_r", F.spark_partition_id()), "crs-rows")
-    most = ranged.groupBy("_r").agg(F.max("src").alias("m"))
-    before = most.select("_r", F.max("m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("b"))
-    own_max = F.max("src").over(Window.partitionBy("_r").orderBy("at"))
-    return ranged.withColumn("s", own_max).join(F.broadcast(before), "_r").select(F.greatest("s", "b").alias("src"), "dst")
+    return _with_rows(offsets, near)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:

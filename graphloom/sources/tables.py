@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import mirrored
+from graphloom.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,26 +28,28 @@ def part_supplier(spark: SparkSession, sf_dir: str, least_quantity: float = 0.0)
 
 
 def user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose events follow each other within a day; w counts how often, in either direction."""
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").select("user_id", F.lead("user_id").over(day).alias("next")).where("next is not null and next <> user_id")
+    """Users whose events follow each other within a day; w counts how often, in either direction.
+
+    Events are dealt by ranges of time, whatever their day; the last event of a range is followed by the first one of the next range.
+    """
+    rows = table(spark, sf_dir, "events").select("ts", "event_id", F.struct(F.to_date("ts").alias("day"), F.col("user_id").alias("user")).alias("own"))
+    ranged = materialise(rows.repartitionByRange("ts", "event_id").withColumn("_range", F.spark_partition_id()), "events-by-time")
+    firsts = ranged.groupBy("_range").agg(F.min_by("own", F.struct("ts", "event_id")).alias("first"))  # one row for each partition
+    after = firsts.select("_range", F.lead("first").over(Window.orderBy("_range")).alias("after"))
+    following = F.lead("own").over(Window.partitionBy("_range").orderBy("ts", "event_id"))
+    both = ranged.withColumn("next", following).join(F.broadcast(after), "_range").select("own", F.coalesce("next", "after").alias("next"))
+    steps = both.where("own.day = next.day and own.user <> next.user").select(F.col("own.user").alias("user_id"), F.col("next.user").alias("next"))
     half = steps.groupBy(F.least("user_id", "next").alias("src"), F.greatest("user_id", "next").alias("dst")).agg(F.count("*").alias("w"))
     return mirrored(half)
 
 
-def order_part(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> DataFrame:
-    """Bipartite: orders (even ids) and parts (odd ids) of all line items, or of those of at least the quantity."""
+def order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bipartite: orders (even ids) and parts (odd ids) of all line items."""
     rows = table(spark, sf_dir, "lineitem")
-    rows = rows if least_quantity is None else rows.where(F.col("l_quantity") >= least_quantity)
     pairs = rows.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
     return mirrored(pairs.withColumn("w", F.lit(1).cast("long")))
 
 
-def large_order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse part of order_part: large line items only, a graph with leaves, twins and many components."""
-    return order_part(spark, sf_dir, 49.0)
-
-
 def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix entries i (customer nation), j (supplier nation), v (line items)."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("i"))

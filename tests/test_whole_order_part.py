@@ -22,7 +22,7 @@ def rows(spark, sf, name):
 
 
 def test_all_pairs(spark, sf, near):
-    got = [(r["src"], r["dst"], r["w"]) for r in rows(spark, sf, "whole_order_part_graph")]
+    got = [(r["src"], r["dst"], r["w"]) for r in rows(spark, sf, "order_part_graph")]
     assert sorted(got) == sorted((a, b, 1) for a in near for b in near[a])
 
 
@@ -34,11 +34,11 @@ def test_levels(spark, sf, near):
         for b in near[a] - level.keys():
             level[b] = level[a] + 1
             todo.append(b)
-    assert {r["id"]: r["lvl"] for r in rows(spark, sf, "whole_bfs_levels")} == level
+    assert {r["id"]: r["lvl"] for r in rows(spark, sf, "bfs_levels")} == level
 
 
 def test_independent_at_distance_two(spark, sf, near):
-    chosen = {r["id"] for r in rows(spark, sf, "whole_mis2_set")}
+    chosen = {r["id"] for r in rows(spark, sf, "mis2_set")}
     reach = {a: (near[a] | {c for b in near[a] for c in near[b]}) - {a} for a in near}
     assert all(not reach[a] & chosen for a in chosen) and all(a in chosen or reach[a] & chosen for a in near)
 
