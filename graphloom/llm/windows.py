@@ -48,8 +48,8 @@ from graphloom.session import materialise, release
 CHUNK_BYTES, FLUSH_BYTES, PART_BYTES = 1 << 20, 8 << 20, 1 << 20
 #: Windows in one packed string at most, so that repetitive texts make no boundless strings.
 MOST_WINDOWS = 256
-#: Bytes of text for each bucket; buckets of digests for each bucket of strings.
-BUCKET_BYTES, DIGEST_BUCKETS = 16 << 20, 8
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 16 << 20
 #: A minimiser is hot beyond so many occurrences in all, or so many texts of one chunk.
 MOST_ENTRIES, MOST_LOCAL = 4096, 32
 #: Removals that an owner holds before they go out.
@@ -309,22 +309,30 @@ def _settle(windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _send(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n_buckets: int, n_doc_buckets: int) -> Iterator[pa.RecordBatch]:
     """From documents' buckets (kind 0 shared minimisers, then kind 1 texts): strings (kind 1), hot windows (kind 2), and settled removals (kind 0)."""
 
+    cuts: list[np.ndarray] = []
+
     def flush(strings: _Strings) -> Iterator[pa.RecordBatch]:
         flat = [(s, p) for s, ps in strings.places.items() for p in ps]
         if flat:
             mini = np.array([p[0] for _, p in flat], dtype=np.uint64)
             cols = [np.array([p[k] for _, p in flat], dtype=_STRING[k]) for k in range(1, 5)]
             yield from _dealt(_bucket_of(mini, n_buckets), 1, [mini, *cols, np.array([len(s) for s, _ in flat], dtype=np.int32)], [s for s, _ in flat])
-        yield from _cut_rows(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4), n_doc_buckets)
+        yield from settled(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4))
 
     def flush_hot(strings: _Strings) -> Iterator[pa.RecordBatch]:
         windows = _hot_windows(strings, unit)
         if windows is not None:
             windows, gone = _settle(windows, width)
-            yield from _cut_rows(gone, n_doc_buckets)
             cols = [np.ascontiguousarray(windows[:, k]) for k in range(5)]
-            yield from _dealt(_bucket_of(cols[0].view(np.uint64), n_buckets * DIGEST_BUCKETS), 2, [cols[0], cols[1], cols[2], cols[3], cols[4].astype(np.int32)])
-        yield from _cut_rows(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4), n_doc_buckets)
+            yield from _dealt(_bucket_of(cols[0].view(np.uint64), n_buckets), 2, [cols[0], cols[1], cols[2], cols[3], cols[4].astype(np.int32)])
+            yield from settled(gone)
+        yield from settled(np.array(strings.cuts, dtype=np.int64).reshape(-1, 4))
+
+    def settled(some: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+        cuts.append(some)
+        if last or sum(map(len, cuts)) > MOST_CUTS:
+            yield from _cut_rows(np.concatenate(cuts), n_doc_buckets)
+            cuts.clear()
 
     strings, hot_strings = _Strings(width), _Strings(width)
     told: list[tuple[np.ndarray, ...]] = []
@@ -363,6 +371,7 @@ def _send(batches: Iterator[pa.RecordBatch], unit: str, width: int, gram: int, n
                 at = stop
     yield from flush(strings)
     yield from flush_hot(hot_strings)
+    yield from settled(np.zeros((0, 4), dtype=np.int64), last=True)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Iterator[bytes]]]:
@@ -479,8 +488,7 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
     repeated(strings, ids, width) yields (string, first window, windows) of the runs of windows that also start in a string of a smaller id.
     """
     own = keyed(docs)
-    n_buckets = partitions_for(docs, BUCKET_BYTES)
-    n_doc_buckets = 2 * n_buckets
+    n_buckets = n_doc_buckets = partitions_for(docs, BUCKET_BYTES)
     grams = {"unit": unit, "width": width, "gram": gram, "n_buckets": n_buckets, "n_doc_buckets": n_doc_buckets}
 
     def exchanged(rows: DataFrame, *order: str) -> DataFrame:
