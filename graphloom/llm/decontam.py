@@ -54,7 +54,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     looked_up = _exploded(words, n, "id", "key", "bound").where(F.col("hash") <= F.col("bound")).select("id", "key", "hash")
     candidates = materialise(looked_up.join(sketch, "hash").select("id", "key", "item", "item_key").distinct(), "candidates")
     # verification: the candidates' shingles against the items', as strings
-    some = own.join(candidates.select("id", "key").distinct(), ["id", "key"], "left_semi").select("id", "key", words_of(F.col("text")).alias("words"))
+    # the candidates' texts are written first: else the words of all texts would be split again, as Spark moves that below the join
+    texts = materialise(own.join(materialise(candidates.select("id", "key").distinct(), "candidate-rows"), ["id", "key"], "left_semi"), "candidate-texts")
+    some = texts.select("id", "key", words_of(F.col("text")).alias("words"))
     of_items = _exploded(item, n, "item", "item_key", text=True).distinct()
     met = _exploded(some, n, "id", "key", text=True).join(of_items, ["hash", "shingle"]).select("id", "key", "item", "item_key", "shingle").distinct()
     pairs = candidates.join(met, ["id", "key", "item", "item_key"]).groupBy("id", "key", "item", "item_key").agg(F.count("*").cast("int").alias("n_shared"))

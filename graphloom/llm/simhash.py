@@ -262,9 +262,9 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
 
 
 def _components(prints: DataFrame, index: Index) -> DataFrame:
-    """prints (written; id, key, print, for wide ones bits) with the component: the smallest id reachable by links."""
+    """prints (written; id, key, print, for wide ones bits) with component, the smallest id reachable by links, and head_key, the smallest key of it."""
     more = [F.first("bits").alias("bits")] if index.words > 1 else []
-    distinct = materialise(prints.groupBy("print").agg(F.min("id").alias("first"), *more), "distinct-prints")
+    distinct = materialise(prints.groupBy("print").agg(F.min(F.struct("id", "key")).alias("first"), *more), "distinct-prints")
     row_bytes = 2 * len(index.segments) * (16 + 8 * index.words * (index.words > 1))
     n = max(shuffle_partitions(prints.sparkSession), -(-distinct.count() * row_bytes // BUCKET_BYTES))
     sent = distinct.select("print", *["bits"] * bool(more)).mapInArrow(partial(_halves, index=index, n=n), _SENT_DDL)
@@ -272,8 +272,8 @@ def _components(prints: DataFrame, index: Index) -> DataFrame:
     labels = star_components(links).withColumnRenamed("id", "print")
     group = materialise(distinct.join(labels, "print", "left").select("print", "first", F.coalesce("label", "print").alias("label")), "print-groups")
     release(distinct)
-    least = group.groupBy("label").agg(F.min("first").alias("component"))
-    return prints.join(group.join(least, "label").select("print", "component"), "print")
+    least = group.groupBy("label").agg(F.min("first").alias("head"))
+    return prints.join(group.join(least, "label").select("print", F.col("head.id").alias("component"), F.col("head.key").alias("head_key")), "print")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -283,7 +283,11 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, words: int = WIDE_SHINGLE, index: Index = WIDE) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable by links of wide fingerprints) and text_key (xxhash64), one row for each row of docs."""
+    """doc_id, component_id (the smallest doc_id reachable by links of wide fingerprints), kept and text_key (xxhash64), one row for each row of docs.
+
+    kept: whether the row's (doc_id, text_key) is the smallest of its component, so that also of equal or null ids one text stays.
+    """
     prints = keyed(docs).mapInArrow(partial(_wide, words=words), "id long, key long, print long, bits binary")
     out = _components(materialise(prints, "wide-fingerprints"), index)
-    return out.select(real_id().alias("doc_id"), real_id("component").alias("component_id"), F.col("key").alias("text_key"))
+    kept = (F.col("id") == F.col("component")) & (F.col("key") == F.col("head_key"))
+    return out.select(real_id().alias("doc_id"), real_id("component").alias("component_id"), kept.alias("kept"), F.col("key").alias("text_key"))
