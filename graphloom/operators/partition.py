@@ -172,19 +172,23 @@ def best_prefix(scan: DataFrame, target: int) -> DataFrame:
 
 
 def refine_in_batches(edges: DataFrame, vertices: DataFrame, part: DataFrame, rounds: int = 5) -> DataFrame:
-    """Distributed refinement: vertices of positive gain, best first and sides interleaved, move up to the best prefix; while the cut falls."""
+    """Distributed refinement: vertices of positive gain, best first and sides interleaved, move up to the best prefix; while the balance or the cut gets
+    better. While the parts are out of balance, all vertices of the heavier one may move."""
     part = materialise(part, "part")
     for _ in range(rounds):
         start = edge_cut(edges, part).first()["cut"]
-        imb = imbalance(vertices, part).first()["imb"]
-        movers = gains(edges, part).where("gain > 0").join(part, "id")
+        imb = imbalance(vertices, part).first()["imb"] or 0
+        target = max(LEAST_TARGET, abs(imb) // 10)
+        heavy = F.lit(abs(imb) > target) & (F.col("part") == (0 if imb > 0 else 1))
+        movers = gains(edges, part).join(part, "id").where((F.col("gain") > 0) | heavy)
         ranked = numbered(movers, F.desc("gain"), "id", name="pos").select("id", "pos")
         order = materialise(interleaved_for_balance(ranked, vertices, part), "movers")
         if order.isEmpty():
             return part
         scan = materialise(cut_scan(edges, vertices, part, order), "scan")
-        best = best_prefix(scan, max(LEAST_TARGET, abs(imb))).first()
-        if best["cut"] >= start:
+        best = scan.join(best_prefix(scan, target).select("prefix"), "prefix").first()
+        off, off_before = (abs(x) if abs(x) > target else 0 for x in (best["imb"], imb))
+        if (off, best["cut"]) >= (off_before, start):
             return part
         moved = order.where(F.col("pos") < best["prefix"]).select("id", F.lit(True).alias("moved"))
         part = materialise(part.join(moved, "id", "left").select("id", F.when(F.col("moved"), 1 - F.col("part")).otherwise(F.col("part")).cast("int").alias("part")), "part")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.iterate import numbered_within
 from graphloom.session import materialise, ship
 
 
@@ -115,8 +116,8 @@ def permuted(x: DataFrame, perm: DataFrame) -> DataFrame:
 
 
 def members(values: DataFrame, key: str, ident: str = "id") -> DataFrame:
-    """The reverse map: the sorted ids of each value."""
-    return values.groupBy(key).agg(F.sort_array(F.collect_list(ident)).alias("members"))
+    """The reverse map: (value, nr, id), the ids of each value numbered in order. No value's ids are gathered in one row or task."""
+    return numbered_within(values.select(key, ident), key, ident, name="nr").select(key, "nr", ident)
 
 
 def greatest_difference(x: DataFrame, y: DataFrame) -> DataFrame:

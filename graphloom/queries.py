@@ -218,7 +218,7 @@ def permuted_vector(spark, sf_dir):
 def members_by_color(spark, sf_dir):
     """The reverse map, as counts and extremes of each value's members."""
     own = sparse.members(_size(spark, sf_dir).select(F.col("i").alias("id"), "v"), "v")
-    return own.select("v", F.size("members").cast("long").alias("n"), F.element_at("members", 1).alias("first"), F.element_at("members", -1).alias("last"))
+    return own.groupBy("v").agg(F.count("*").alias("n"), F.min_by("id", "nr").alias("first"), F.max_by("id", "nr").alias("last"))
 
 
 # --- components, traversal ---------------------------------------------------------------------------------------------------------------
