@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -162,6 +165,36 @@ def gauss_seidel(a: DataFrame, b: DataFrame, x: DataFrame, colors: DataFrame, om
     return x
 
 
+def two_stage_gauss_seidel(a: DataFrame, b: DataFrame, x: DataFrame, inner: int = 1, sweeps: int = 1, direction: str = "forward") -> DataFrame:
+    """Sweeps x += z, where z solves (D + L) z = b - A x (backward: D + U) by `inner` Jacobi steps from z = r / D. No colours: each step is one join and one sum."""
+    d = materialise(diagonal(a).select("i", F.col("v").alias("d")), "diagonal")
+    x = materialise(b.select("i").join(x.select("i", F.col("v").cast("double")), "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v")), "sweep")
+    for _ in range(sweeps):
+        for upper in {"forward": (False,), "backward": (True,), "symmetric": (False, True)}[direction]:
+            r = materialise(axpby(1.0, b, -1.0, spmv(a, x)), "residual")
+            side = triangle(a, upper, strict=True)
+            z = materialise(r.join(d, "i").select("i", (F.col("v") / F.col("d")).alias("v")), "inner")
+            for _ in range(inner):
+                new = axpby(1.0, r, -1.0, spmv(side, z)).join(d, "i").select("i", (F.col("v") / F.col("d")).alias("v"))
+                z = materialise(new, "inner")
+            x = materialise(axpby(1.0, x, 1.0, z), "sweep")
+    return x
+
+
+def spmv_stencil(x: DataFrame, shape: tuple[int, ...], stencil: dict[tuple[int, ...], float]) -> DataFrame:
+    """y of a matrix that a stencil on a grid defines (row-major places, the last axis runs fastest): y at p is the sum of weight * x at p + offset,
+    where that is on the grid. The matrix is never made: each entry of x goes to the places that its offsets name, one sum."""
+    strides = [math.prod(shape[k + 1 :]) for k in range(len(shape))]
+    moves = []
+    for offset, weight in stencil.items():
+        at = [F.floor(F.col("i") / s).cast("long") % n - o for s, n, o in zip(strides, shape, offset)]
+        inside = functools.reduce(lambda p, q: p & q, [(c >= 0) & (c < n) for c, n in zip(at, shape)])
+        place = functools.reduce(lambda p, q: p + q, [c * s for c, s in zip(at, strides)])
+        moves.append(F.when(inside, F.struct(place.alias("i"), (F.col("v") * F.lit(weight)).alias("v"))))
+    own = x.select(F.explode(F.array(*moves)).alias("m")).where("m is not null")
+    return own.groupBy(F.col("m.i").alias("i")).agg(F.sum("m.v").alias("v"))
+
+
 def level_sets(a: DataFrame, upper: bool = False, most_levels: int = 10_000) -> DataFrame:
     """i, lvl: rows of a triangular matrix by the longest chain of rows that they wait for."""
     need = triangle(a, upper, strict=True).select("i", "j")
@@ -190,6 +223,28 @@ def triangular_solve(a: DataFrame, b: DataFrame, upper: bool = False) -> DataFra
     return x
 
 
+def trsm(alpha: float, a: DataFrame, b: DataFrame, upper: bool = False) -> DataFrame:
+    """X of A X = alpha B for a triangular A: (i, j, v), all columns at once, one join and one aggregate for each level set."""
+    levels = materialise(level_sets(a, upper), "levels")
+    deepest = levels.agg(F.max("lvl")).first()[0]
+    off, d = triangle(a, upper, strict=True).select("i", F.col("j").alias("k"), F.col("v").alias("av")), diagonal(a).select("i", F.col("v").alias("d"))
+    known = b.select("i", "j", (F.col("v") * alpha).cast("double").alias("b"))
+    x = None
+    for level in range((deepest or 0) + 1):
+        own = levels.where(F.col("lvl") == level).select("i")
+        rest = known.join(own, "i")
+        if x is not None:
+            rest = rest.unionByName(off.join(own, "i").join(x.select(F.col("i").alias("k"), "j", "v"), "k").select("i", "j", (-F.col("av") * F.col("v")).alias("b")))
+        new = rest.groupBy("i", "j").agg(F.sum("b").alias("s")).join(d, "i").select("i", "j", (F.col("s") / F.col("d")).alias("v"))
+        x = materialise(new if x is None else x.unionByName(new), "solved")
+    return x
+
+
+def trtri(a: DataFrame, upper: bool = False) -> DataFrame:
+    """The inverse of a triangular matrix: (i, j, v), without entries that are zero by the pattern."""
+    return trsm(1.0, a, diagonal(a).select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")), upper)
+
+
 def _dense(pdf: pd.DataFrame) -> np.ndarray:
     n = int(max(pdf["i"].max(), pdf["j"].max())) + 1
     out = np.zeros((n, n))

@@ -128,6 +128,40 @@ cuts AS (SELECT pos + 1 AS split, (SELECT count(*) FROM ends WHERE a < pos + 1 A
 _ROWS = "m AS (SELECT x.i AS i, list(coalesce(t.v, 0) ORDER BY y.i) AS a FROM (SELECT DISTINCT i FROM t) x CROSS JOIN (SELECT DISTINCT i FROM t) y LEFT JOIN t ON t.i = x.i AND t.j = y.i GROUP BY 1), nr AS (SELECT i, a, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM m)"
 
 
+def _hec2(rounds: int = 16) -> str:
+    """Rounds of accepted suitors; all of a round read the state before it."""
+    out = [f"s0 AS MATERIALIZED (SELECT id, hn, {_p('id')} AS p, CASE WHEN id = hn THEN id END AS root FROM hn)"]
+    for k in range(rounds):
+        out.append(f"f{k} AS MATERIALIZED (SELECT id, hn, p FROM s{k} WHERE root IS NULL)")
+        out.append(f"a{k} AS MATERIALIZED (SELECT v, m.i AS u, m.p AS p FROM (SELECT a.hn AS v, min({{'p': a.p, 'i': a.id}}) AS m FROM f{k} a JOIN f{k} b ON a.hn = b.id GROUP BY 1))")
+        out.append(f"b{k} AS MATERIALIZED (SELECT x, min({{'p': p, 'u': u}}).u AS first FROM (SELECT u AS x, p, u FROM a{k} UNION ALL SELECT v, p, u FROM a{k}) GROUP BY 1)")
+        out.append(f"t{k} AS MATERIALIZED (SELECT u, v FROM a{k} JOIN b{k} y ON y.x = u JOIN b{k} z ON z.x = v WHERE y.first = u AND z.first = u)")
+        out.append(f"g{k} AS MATERIALIZED (SELECT s.id, hn, p, coalesce(root, got) AS root FROM s{k} s LEFT JOIN (SELECT u AS id, v AS got FROM t{k} UNION ALL SELECT v, v FROM t{k}) n ON n.id = s.id)")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT a.id, a.hn, a.p, coalesce(a.root, b.root) AS root FROM g{k} a LEFT JOIN g{k} b ON a.hn = b.id)")
+    return ",\n".join(out) + f"\nSELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM s{rounds}"
+
+
+def _generated(n: int, per_row: int, band: int, where: str = "true") -> str:
+    """Hashed entries in a band, repeats merged by their largest value."""
+    unit = lambda salt: f"CAST('0x' || substr(md5(CAST(key AS VARCHAR) || '-{salt}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+    return f"""k AS (SELECT i, i * {per_row} + c AS key FROM range({n}) r(i) CROSS JOIN range({per_row}) q(c)), h AS (SELECT i, {unit('13721')} AS u, {unit('13721v')} AS z FROM k),
+gen AS (SELECT i, ((i + CAST(floor((u - 0.5) * {band}) AS BIGINT)) % {n} + {n}) % {n} AS j, max(100 * z - 50) AS v FROM h GROUP BY 1, 2 HAVING {where})"""
+
+
+_DOMINANT = """, off_ AS (SELECT * FROM gen WHERE i <> j) SELECT i, j, round(v, 6) AS v FROM off_
+UNION ALL SELECT r.i, r.i, round(greatest(1.0, 1.5 * coalesce(s, 0)), 6) FROM range(200) r(i) LEFT JOIN (SELECT i, sum(abs(v)) AS s FROM off_ GROUP BY 1) t ON t.i = r.i"""
+#: Reverse Cuthill-McKee: by component, level from its vertex of least degree, degree, id, all reversed.
+_RCM = """, deg AS MATERIALIZED (SELECT src AS id, count(*) AS deg FROM e GROUP BY 1), lab AS MATERIALIZED (SELECT r.id, label, deg FROM r JOIN deg ON deg.id = r.id),
+lv(id, lvl) AS (SELECT min({'d': deg, 'i': id}).i, CAST(0 AS BIGINT) FROM lab GROUP BY label UNION SELECT e.dst, lv.lvl + 1 FROM lv JOIN e ON e.src = lv.id WHERE lv.lvl < 60),
+fl AS (SELECT id, min(lvl) AS lvl FROM lv GROUP BY 1), rcm AS (SELECT id, row_number() OVER (ORDER BY label DESC, lvl DESC, deg DESC, id DESC) - 1 AS rnk FROM lab JOIN fl USING (id))"""
+_LOWER = """m AS (SELECT x.n_nationkey AS i, list(coalesce(t.v, 0) ORDER BY y.n_nationkey) AS a FROM nation x CROSS JOIN nation y LEFT JOIN t ON t.i = x.n_nationkey AND t.j = y.n_nationkey GROUP BY 1),
+low AS (SELECT i, a, row_number() OVER (ORDER BY i) - 1 AS k FROM m)"""
+_GOSH2 = f"""sd AS (SELECT id FROM deg WHERE deg > greatest(50, (SELECT sum(deg) // count(*) FROM deg))), k0 AS MATERIALIZED (SELECT id, id AS root FROM sd),
+k1 AS MATERIALIZED (SELECT id, root FROM k0 UNION ALL SELECT id, root FROM (SELECT src AS id, k0.root, row_number() OVER (PARTITION BY src ORDER BY w DESC, {_p('dst')} DESC, dst DESC) AS rn FROM e JOIN k0 ON dst = k0.id WHERE src NOT IN (SELECT id FROM k0)) WHERE rn = 1),
+k2 AS MATERIALIZED (SELECT id, root FROM k1 UNION ALL SELECT id, root FROM (SELECT src AS id, k1.root, row_number() OVER (PARTITION BY src ORDER BY deg.deg DESC, {_p('dst')} DESC, dst DESC) AS rn FROM e JOIN k1 ON dst = k1.id JOIN deg ON deg.id = dst WHERE src NOT IN (SELECT id FROM k1)) WHERE rn = 1),
+hr AS MATERIALIZED (SELECT src AS id, dst AS hn FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, {_p('dst')} DESC, dst DESC) AS rn FROM e) WHERE rn = 1 AND src NOT IN (SELECT id FROM k2)),
+hn AS MATERIALIZED (SELECT id, hn FROM hr WHERE hn NOT IN (SELECT id FROM k2))"""
+
 #: Partitions grown from each seed: the vertex that raises the cut least joins, until half of all vertices (rounded down) are in.
 _GROWN = """dg AS MATERIALIZED (SELECT src AS id, sum(w) AS d FROM e GROUP BY 1), tot AS (SELECT count(*) AS n FROM dg),
 gr(seed, held) AS (SELECT id, [id] FROM dg UNION ALL (SELECT seed, list_append(any_value(held), min({'r': rise, 'id': id}).id) FROM (SELECT s.seed, any_value(s.held) AS held, dg.id, any_value(dg.d) - 2 * coalesce(sum(CASE WHEN list_contains(s.held, e.dst) THEN e.w END), 0) AS rise
@@ -150,7 +184,6 @@ def oracle_sql() -> dict[str, str]:
         "compressed_rows_round_trip": w + ORDER_PART + ", n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nr FROM (SELECT DISTINCT src AS id FROM e)) SELECT a.nr AS src, b.nr AS dst FROM e JOIN n a ON src = a.id JOIN n b ON dst = b.id",
         "edge_list_round_trip": w + USERS + " SELECT src, dst, w FROM e",
         "partition_file_round_trip": "SELECT p_partkey AS id, CAST(p_size % 2 AS INTEGER) AS part FROM part",
-        "banded_matrix": "SELECT i, true AS dominant FROM (SELECT unnest(range(200)) AS i)",
         "degree_stats": w + COPURCHASE + ", " + DEG + " SELECT max(deg) AS max_deg, CAST(sum(deg) AS BIGINT) AS total, CAST(sum(deg) // count(*) AS BIGINT) AS avg_deg, max(wdeg) AS max_wdeg FROM deg",
         "degree_histogram": w + COPURCHASE + ", " + DEG + " SELECT deg, count(*) AS cnt FROM deg GROUP BY 1",
         "degree_order": w + COPURCHASE + ", " + DEG + " SELECT id, row_number() OVER (ORDER BY deg, id) - 1 AS rnk FROM deg",
@@ -281,4 +314,24 @@ s(step, x) AS (SELECT CAST(0 AS BIGINT), CAST(list_transform(range(0, (SELECT ma
 SELECT step + 1, list_transform(x, lambda o, q: CASE WHEN q = k + 1 THEN (b - list_sum(list_transform(range(1, n + 1), lambda z: CASE WHEN z = k + 1 THEN 0 ELSE a[z] * x[z] END))) / d ELSE o END)
 FROM s JOIN rw ON rw.k = CASE WHEN step < n THEN step ELSE 2 * n - 1 - step END WHERE step < 2 * n)
 SELECT i, round(x[k + 1], 6) AS v FROM nr, (SELECT x FROM s ORDER BY step DESC LIMIT 1)""",
+        "banded_matrix": w + _generated(200, 5, 20) + _DOMINANT,
+        "triangular_matrix": w + _generated(200, 5, 20, "((i + CAST(floor((any_value(u) - 0.5) * 20) AS BIGINT)) % 200 + 200) % 200 <= i") + _DOMINANT,
+        "random_graph": w + _generated(300, 4, 300) + " SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS w FROM (SELECT i AS src, j AS dst FROM gen UNION ALL SELECT j, i FROM gen) WHERE src <> dst",
+        "hec2_map": w + COPURCHASE + ", " + HN + ",\n" + _hec2(),
+        "gosh2_map": w + COPURCHASE + ", " + DEG + ", " + _GOSH2 + ",\n" + _hec_serial() + " SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, root FROM k2 UNION ALL SELECT hr.id, k2.root FROM hr JOIN k2 ON hr.hn = k2.id UNION ALL SELECT id, up FROM u5)",
+        "rcm_order": _REACH.format(g=ORDER_PART) + _RCM + " SELECT id, rnk FROM rcm",
+        "rcm_clusters": _REACH.format(g=ORDER_PART) + _RCM + " SELECT id, rnk // 8 AS cid FROM rcm",
+        "trsm": "WITH RECURSIVE " + TRADE + ", " + _LOWER + """, s(k, c, x) AS (SELECT CAST(0 AS BIGINT), c, CAST([] AS DOUBLE[]) FROM range(3) q(c) UNION ALL
+SELECT s.k + 1, c, list_append(x, (2.0 * (i + 1) * (c + 2) - coalesce(list_sum(list_transform(range(1, low.k + 1), lambda q: a[q] * x[q])), 0)) / (1.0 + coalesce(list_sum(a[1:low.k]), 0))) FROM s JOIN low ON low.k = s.k)
+SELECT CAST(i AS BIGINT) AS i, c AS j, round(x[low.k + 1], 6) AS v FROM low JOIN s ON s.k = (SELECT max(k) FROM s)""",
+        "trtri": "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_nationkey AS BIGINT) AS j, CAST(1 AS DOUBLE) AS v FROM nation",
+        "two_stage_sweep": w + TRADE + """, o AS (SELECT i, j, CAST(v AS DOUBLE) AS v FROM t WHERE i <> j), d AS (SELECT i, 2 * sum(v) AS d FROM o GROUP BY 1), b AS (SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM t GROUP BY 1), x0 AS (SELECT i, 0.0 AS v FROM b)""" + "".join(f""",
+r{k} AS MATERIALIZED (SELECT b.i, b.v - coalesce(d.d * x.v, 0) - coalesce(s, 0) AS v FROM b JOIN x{k} x ON x.i = b.i LEFT JOIN d ON d.i = b.i LEFT JOIN (SELECT o.i, sum(o.v * x.v) AS s FROM o JOIN x{k} x ON o.j = x.i GROUP BY 1) q ON q.i = b.i),
+y{k} AS MATERIALIZED (SELECT r.i, r.v / d.d AS v FROM r{k} r JOIN d ON d.i = r.i),
+z{k} AS MATERIALIZED (SELECT r.i, (r.v - coalesce(s, 0)) / d.d AS v FROM r{k} r JOIN d ON d.i = r.i LEFT JOIN (SELECT o.i, sum(o.v * y.v) AS s FROM o JOIN y{k} y ON o.j = y.i WHERE o.i > o.j GROUP BY 1) q ON q.i = r.i),
+w{k} AS MATERIALIZED (SELECT r.i, (r.v - coalesce(s, 0)) / d.d AS v FROM r{k} r JOIN d ON d.i = r.i LEFT JOIN (SELECT o.i, sum(o.v * z.v) AS s FROM o JOIN z{k} z ON o.j = z.i WHERE o.i > o.j GROUP BY 1) q ON q.i = r.i),
+x{k + 1} AS MATERIALIZED (SELECT x.i, x.v + coalesce(w.v, 0) AS v FROM x{k} x LEFT JOIN w{k} w ON w.i = x.i)""" for k in range(2)) + " SELECT i, round(v, 6) AS v FROM x2",
+        "spmv_stencil": w + SIZE + """, g AS (SELECT i, v, i // 25 AS a, i % 25 AS b FROM s), o(da, db, c) AS (VALUES (0, 0, 4), (-1, 0, -1), (1, 0, -1), (0, -1, -1), (0, 1, -1))
+SELECT (a - da) * 25 + b - db AS i, CAST(sum(v * c) AS BIGINT) AS v FROM g CROSS JOIN o WHERE a - da >= 0 AND a - da <= (SELECT max(a) FROM g) AND b - db >= 0 AND b - db < 25 GROUP BY 1""",
+        "spectral_bisection": w + USERS + " SELECT part, CAST(n AS BIGINT) AS n FROM (SELECT 0 AS part, n // 2 AS n FROM (SELECT count(DISTINCT src) AS n FROM e) UNION ALL SELECT 1, n - n // 2 FROM (SELECT count(DISTINCT src) AS n FROM e))",
     }

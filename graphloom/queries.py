@@ -144,10 +144,19 @@ def partition_file_round_trip(spark, sf_dir):
 
 @query
 def banded_matrix(spark, sf_dir):
-    """Generated: places and value signs of a diagonally dominant banded matrix, summarised by row."""
-    a = files.random_matrix(spark, 200, 200, 5, 20, diagonal=1.5)
-    own = a.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.abs("v"))).alias("d"), F.sum(F.when(F.col("i") != F.col("j"), F.abs("v")).otherwise(0)).alias("s"))
-    return own.select("i", (F.col("d") >= 1.5 * F.col("s") - 1e-9).alias("dominant"))
+    """Generated: a diagonally dominant banded matrix."""
+    return files.random_matrix(spark, 200, 200, 5, 20, diagonal=1.5).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query
+def triangular_matrix(spark, sf_dir):
+    """Generated: a lower triangular matrix, its diagonal one and a half times the rest of the row."""
+    return files.random_matrix(spark, 200, 200, 5, 20, diagonal=1.5, triangular=True).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query
+def random_graph(spark, sf_dir):
+    return files.random_graph(spark, 300, 4)
 
 
 # --- degrees, scans, orders --------------------------------------------------------------------------------------------------------------
@@ -376,11 +385,51 @@ def gs_sweep(spark, sf_dir):
 @query
 def triangular_solve(spark, sf_dir):
     """L x = b: the whole lower triangle of the trade matrix, with a dominant diagonal (one more than the row's sum)."""
+    low = _lower(spark, sf_dir)
+    x = sparse.triangular_solve(low, sparse.diagonal(low).select("i", (F.col("i") % 5 * 100.0 + 100).alias("v")))
+    return x.select("i", F.round("v", 6).alias("v"))
+
+
+def _lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade matrix's lower triangle with a dominant diagonal for every nation."""
     low = materialise(tables.nation_trade(spark, sf_dir).where("i > j").select("i", "j", F.col("v").cast("double")), "trade")
     rows = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
     diagonal = rows.join(low.groupBy("i").agg(F.sum("v").alias("s")), "i", "left").select("i", F.col("i").alias("j"), (F.coalesce("s", F.lit(0.0)) + 1).alias("v"))
-    x = sparse.triangular_solve(materialise(low.unionByName(diagonal), "lower"), rows.select("i", (F.col("i") % 5 * 100.0 + 100).alias("v")))
-    return x.select("i", F.round("v", 6).alias("v"))
+    return materialise(low.unionByName(diagonal), "lower")
+
+
+@query
+def trsm(spark, sf_dir):
+    """L X = 2 B with B = (i + 1) (j + 2) for three columns."""
+    low = _lower(spark, sf_dir)
+    b = sparse.diagonal(low).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("j")).withColumn("v", (F.col("i") + 1.0) * (F.col("j") + 2))
+    return sparse.trsm(2.0, low, b).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query
+def trtri(spark, sf_dir):
+    """L times its inverse, to six places: the unit matrix."""
+    low = _lower(spark, sf_dir)
+    return sparse.spgemm(low, sparse.trtri(low)).select("i", "j", (F.round("v", 6) + 0.0).alias("v")).where("abs(v) > 0")
+
+
+@query
+def two_stage_sweep(spark, sf_dir):
+    """Two forward sweeps with two inner steps on the trade matrix made dominant."""
+    t = tables.nation_trade(spark, sf_dir)
+    off = t.where("i <> j").select("i", "j", F.col("v").cast("double"))
+    a = materialise(off.unionByName(off.groupBy("i").agg((F.sum("v") * 2).alias("v")).select("i", F.col("i").alias("j"), "v")), "trade")
+    b = materialise(t.groupBy("i").agg(F.sum("v").cast("double").alias("v")), "trade-sums")
+    return sparse.two_stage_gauss_seidel(a, b, b.select("i", F.lit(0.0).alias("v")), inner=2, sweeps=2).select("i", F.round("v", 6).alias("v"))
+
+
+@query
+def spmv_stencil(spark, sf_dir):
+    """The five-point stencil on the parts' sizes, laid out in rows of 25."""
+    x = _size(spark, sf_dir)
+    n = x.agg(F.max("i")).first()[0] // 25 + 1
+    stencil = {(0, 0): 4.0, (-1, 0): -1.0, (1, 0): -1.0, (0, -1): -1.0, (0, 1): -1.0}
+    return _long(sparse.spmv_stencil(x, (n, 25), stencil), "v")
 
 
 @query

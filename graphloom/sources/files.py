@@ -295,3 +295,8 @@ def random_matrix(spark: SparkSession, rows: int, columns: int, per_row: int, ba
         sums = a.groupBy("i").agg(F.sum(F.abs("v")).alias("s"))
         a = a.unionByName(spark.range(rows).select(F.col("id").alias("i")).join(sums, "i", "left").select("i", F.col("i").alias("j"), F.greatest(F.lit(1.0), diagonal * F.coalesce("s", F.lit(0.0))).alias("v")))
     return a
+
+
+def random_graph(spark: SparkSession, n: int, per_vertex: int, salt: str = "13721") -> DataFrame:
+    """src, dst, w = 1: a clean undirected graph from per_vertex hashed neighbours of each vertex; loops and repeats go."""
+    return symmetrised(random_matrix(spark, n, n, per_vertex, n, salt).select(F.col("i").alias("src"), F.col("j").alias("dst")))
