@@ -5,7 +5,7 @@ Rounds read the snapshot of the round before; cluster ids are positions of the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.priority import SALT, edge_priority, priority
@@ -264,7 +264,8 @@ def weighted_aggregation(edges: DataFrame, share: float = 0.3, salt: str = SALT)
     state = fixpoint(total.withColumn("rep", F.lit(None).cast("boolean")), decide, F.col("rep").isNull(), "representatives")
     reps = state.where("rep").select(F.col("id").alias("dst"))
     shares = edges.join(state.where("not rep").select(F.col("id").alias("src")), "src").join(reps, "dst")
-    spread = shares.select(F.col("src").alias("id"), F.col("dst").alias("rep"), (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("v"))
+    sums = shares.groupBy("src").agg(F.sum("w").alias("s"))
+    spread = shares.join(sums, "src").select(F.col("src").alias("id"), F.col("dst").alias("rep"), (F.col("w") / F.col("s")).alias("v"))
     return spread.unionByName(reps.select(F.col("dst").alias("id"), F.col("dst").alias("rep"), F.lit(1.0).alias("v")))
 
 

@@ -141,6 +141,23 @@ def _hec2(rounds: int = 16) -> str:
     return ",\n".join(out) + f"\nSELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM s{rounds}"
 
 
+def _walk(n: str, salt: str, steps: int, against: str = "") -> str:
+    """Steps of the walk from a hashed vector, kept apart from the constant one and from `against`, with respect to degrees. Tables n0, n1, ..."""
+    unit = f"CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '-{salt}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+    apart = lambda t: f"SELECT id, d, x - (SELECT sum(x * d) / sum(d) FROM {t}) AS x FROM {t}"
+    whole = lambda t: f"SELECT id, d, x / (SELECT sqrt(sum(x * x)) FROM {t}) AS x FROM {t}"
+    out = [f"{n}a AS MATERIALIZED (SELECT id, CAST(wdeg AS DOUBLE) AS d, 2 * {unit} - 1 AS x FROM deg)", f"{n}b AS MATERIALIZED ({apart(n + 'a')})", f"{n}0 AS MATERIALIZED ({whole(n + 'b')})"]
+    for k in range(steps):
+        out.append(f"{n}p{k} AS MATERIALIZED (SELECT a.id, a.d, a.x - (a.d * a.x - coalesce(q.ax, 0)) / a.d / 2 AS x FROM {n}{k} a LEFT JOIN (SELECT src AS id, sum(w * x) AS ax FROM e JOIN {n}{k} ON dst = id GROUP BY 1) q ON q.id = a.id)")
+        out.append(f"{n}q{k} AS MATERIALIZED ({apart(f'{n}p{k}')})")
+        last = f"{n}q{k}"
+        if against:
+            out.append(f"{n}r{k} AS MATERIALIZED (SELECT a.id, a.d, a.x - y.x * (SELECT sum(s.x * s.d * t.x) / sum(t.x * s.d * t.x) FROM {last} s JOIN {against} t ON s.id = t.id) AS x FROM {last} a JOIN {against} y ON a.id = y.id)")
+            last = f"{n}r{k}"
+        out.append(f"{n}{k + 1} AS MATERIALIZED ({whole(last)})")
+    return ",\n".join(out)
+
+
 def _generated(n: int, per_row: int, band: int, where: str = "true") -> str:
     """Hashed entries in a band, repeats merged by their largest value."""
     unit = lambda salt: f"CAST('0x' || substr(md5(CAST(key AS VARCHAR) || '-{salt}'), 1, 13) AS BIGINT) / 4503599627370496.0"
@@ -241,8 +258,6 @@ jn AS (SELECT id, root FROM (SELECT src AS id, dst AS root, row_number() OVER (P
 SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, id AS root FROM rt UNION ALL SELECT id, root FROM jn)""",
         "gosh2_seeds": w + COPURCHASE + ", " + DEG + " SELECT id FROM deg WHERE deg > greatest(50, (SELECT sum(deg) // count(*) FROM deg))",
         "gosh2_stage1": w + COPURCHASE + ", " + DEG + f", sd AS (SELECT id FROM deg WHERE deg > greatest(50, (SELECT sum(deg) // count(*) FROM deg))) SELECT id, root FROM (SELECT src AS id, dst AS root, row_number() OVER (PARTITION BY src ORDER BY w DESC, {_p('dst')} DESC, dst DESC) AS rn FROM e JOIN sd ON dst = sd.id WHERE src NOT IN (SELECT id FROM sd)) WHERE rn = 1",
-        "weighted_aggregation_sums": w + USERS + " SELECT count(DISTINCT src) AS n, count(DISTINCT src) AS whole FROM e",
-        "recoarsen_map": w + COPURCHASE + " SELECT count(DISTINCT src) AS vertices, CAST(1 AS BIGINT) AS parts FROM e",
         "recoarsen_matching_map": w + USERS + " SELECT count(DISTINCT src) AS vertices, CAST(1 AS BIGINT) AS parts FROM e",
         "coarsen_summary": w + COPURCHASE + ",\n" + _levels(),
         "prolong": w + COPURCHASE + ", " + HEC3 + " SELECT id, cid * 3 + 1 AS x FROM m",
@@ -262,7 +277,6 @@ SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, id AS r
         "vec_project": w + SIZE + ", c AS (SELECT i, v - (SELECT avg(v) FROM s) AS x FROM s) SELECT i AS id, round(x / (SELECT sqrt(sum(x * x)) FROM c), 6) AS x FROM c",
         "power_iter_10": w + NATIONS + ", " + DEG + ",\n" + _power(),
         "rayleigh": w + USERS + ", " + DEG + ", x AS (SELECT id, CAST(id % 7 AS DOUBLE) AS x FROM deg), l AS (SELECT x.id, x.x, wdeg * x.x - n.ax AS lx FROM x JOIN deg USING (id) JOIN (SELECT src AS id, sum(w * x) AS ax FROM e JOIN x ON dst = id GROUP BY 1) n ON n.id = x.id) SELECT round(sum(x * lx) / sum(x * x), 6) AS quotient, round(sqrt(sum(lx * lx)), 4) AS norm, round(sum(x * lx) / sum(x * x) * count(*) / 4, 4) AS bound FROM l",
-        "drawing_coordinates": w + NATIONS + " SELECT true AS apart, count(DISTINCT src) AS n FROM e",
         "triangle_count": w + COPURCHASE + ", " + _TRI + " SELECT count(*) AS cnt FROM tri",
         "triangles_per_vertex": w + COPURCHASE + ", " + _TRI + " SELECT id, count(*) AS cnt FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY 1",
         "coloring_conflicts": "SELECT CAST(0 AS BIGINT) AS conflicts",
@@ -334,4 +348,17 @@ x{k + 1} AS MATERIALIZED (SELECT x.i, x.v + coalesce(w.v, 0) AS v FROM x{k} x LE
         "spmv_stencil": w + SIZE + """, g AS (SELECT i, v, i // 25 AS a, i % 25 AS b FROM s), o(da, db, c) AS (VALUES (0, 0, 4), (-1, 0, -1), (1, 0, -1), (0, -1, -1), (0, 1, -1))
 SELECT (a - da) * 25 + b - db AS i, CAST(sum(v * c) AS BIGINT) AS v FROM g CROSS JOIN o WHERE a - da >= 0 AND a - da <= (SELECT max(a) FROM g) AND b - db >= 0 AND b - db < 25 GROUP BY 1""",
         "spectral_bisection": w + USERS + " SELECT part, CAST(n AS BIGINT) AS n FROM (SELECT 0 AS part, n // 2 AS n FROM (SELECT count(DISTINCT src) AS n FROM e) UNION ALL SELECT 1, n - n // 2 FROM (SELECT count(DISTINCT src) AS n FROM e))",
+        "weighted_aggregation": "WITH RECURSIVE " + USERS + ", " + DEG + f""", vx AS MATERIALIZED (SELECT id, wdeg, {_p('id')} AS p FROM deg),
+pr AS MATERIALIZED (SELECT a.id AS id, b.id AS earlier, w FROM e JOIN vx a ON src = a.id JOIN vx b ON dst = b.id WHERE b.p < a.p OR b.p = a.p AND b.id < a.id),
+r(id, rep) USING KEY (id) AS (SELECT id, true FROM vx WHERE id NOT IN (SELECT id FROM pr)
+UNION (SELECT t.id, held < 0.3 * vx.wdeg FROM (SELECT pr.id, count(*) AS need, count(old.id) AS have, sum(CASE WHEN old.rep THEN w ELSE 0 END) AS held
+FROM (SELECT DISTINCT pr.id FROM r JOIN pr ON pr.earlier = r.id) c JOIN pr ON pr.id = c.id LEFT JOIN recurring.r AS old ON old.id = pr.earlier GROUP BY pr.id) t JOIN vx ON vx.id = t.id WHERE need = have))
+SELECT id, rep, round(w / sum(w) OVER (PARTITION BY id), 9) AS v FROM (SELECT src AS id, dst AS rep, w FROM e JOIN r a ON src = a.id JOIN r b ON dst = b.id WHERE NOT a.rep AND b.rep)
+UNION ALL SELECT id, id, 1.0 FROM r WHERE rep""",
+        "recoarsen_map": w + USERS + f""", own AS (SELECT src, dst, w FROM e WHERE src % 20 = dst % 20),
+hb AS (SELECT src AS id, dst AS hn FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, {_p('dst')} DESC, dst DESC) AS rn FROM own) WHERE rn = 1),
+lone AS (SELECT DISTINCT src AS id, src % 20 AS part, {_p('src')} AS p FROM e WHERE src NOT IN (SELECT id FROM hb)),
+ring AS (SELECT id, coalesce(lead(id) OVER (PARTITION BY part ORDER BY p, id), first_value(id) OVER (PARTITION BY part ORDER BY p, id)) AS hn FROM lone),
+hn AS (SELECT id, hn FROM hb UNION ALL SELECT id, hn FROM ring),\n""" + HEC3.split(",\n", 1)[1] + " SELECT id, cid FROM m",
+        "drawing_coordinates": w + NATIONS + ", " + DEG + ",\n" + _walk("u", "a", 4) + ",\n" + _walk("v", "b", 4, "u4") + " SELECT u4.id, round(u4.x, 6) AS u2, round(v4.x, 6) AS u3 FROM u4 JOIN v4 ON u4.id = v4.id",
     }

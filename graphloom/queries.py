@@ -568,19 +568,17 @@ def gosh2_map(spark, sf_dir):
 
 
 @query
-def weighted_aggregation_sums(spark, sf_dir):
-    """Interpolation weights of each vertex sum to one."""
-    own = coarsen.weighted_aggregation(tables.user_sequence(spark, sf_dir)).groupBy("id").agg(F.sum("v").alias("s"))
-    return own.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("s") - 1) < 1e-9).alias("whole"))
+def weighted_aggregation(spark, sf_dir):
+    """The interpolation weights of each vertex."""
+    own = coarsen.weighted_aggregation(materialise(tables.user_sequence(spark, sf_dir), "edges"))
+    return own.select("id", "rep", F.round("v", 9).alias("v"))
 
 
 @query
 def recoarsen_map(spark, sf_dir):
-    """Clusters within the parts of a bisection: none is mixed."""
-    edges = _edges(spark, sf_dir)
-    part = _parity(edges)
-    own = coarsen.recoarsen_hec(edges, part).join(part, "id").groupBy("cid").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
-    return own.agg(F.sum("n").alias("vertices"), F.max("parts").alias("parts"))
+    """Clusters of the users' graph within 20 parts, some of which have vertices without a neighbour of their part."""
+    edges = materialise(tables.user_sequence(spark, sf_dir), "edges")
+    return coarsen.recoarsen_hec(edges, materialise(g.vertices_of(edges).select("id", (F.col("id") % 20).alias("part")), "part"))
 
 
 @query
@@ -832,12 +830,12 @@ def rayleigh(spark, sf_dir):
 
 @query
 def drawing_coordinates(spark, sf_dir):
-    """Second and third vectors of the nations' graph are orthogonal with respect to the degrees."""
+    """Second and third vectors of the nations' graph after four steps of the walk, the third kept apart from the second."""
     half = tables.nation_trade(spark, sf_dir).where("i <> j").groupBy(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst")).agg(F.sum("v").cast("long").alias("w"))
     edges = materialise(g.mirrored(half), "edges")
     v = g.vertices_of(edges)
-    xy = spectral.coordinates(edges, spectral.start_vector(v, "a"), spectral.start_vector(v, "b"), 4).join(g.degrees(edges), "id")
-    return xy.agg((F.abs(F.sum(F.col("u2") * F.col("u3") * F.col("wdeg"))) / F.sum("wdeg") < 1e-6).alias("apart"), F.count("*").alias("n"))
+    xy = spectral.coordinates(edges, spectral.start_vector(v, "a"), spectral.start_vector(v, "b"), 4)
+    return xy.select("id", F.round("u2", 6).alias("u2"), F.round("u3", 6).alias("u3"))
 
 
 # --- kernels -----------------------------------------------------------------------------------------------------------------------------

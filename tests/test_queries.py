@@ -9,7 +9,7 @@ import pytest
 from graphloom import oracles, queries
 
 QUERIES, SQL = queries.queries(), oracles.oracle_sql()
-SLOW = {"bisect_quality", "fourway_cut", "recoarsening_cycles", "weighted_aggregation_sums"}
+SLOW = {"bisect_quality", "fourway_cut", "recoarsening_cycles", "recoarsen_matching_map"}
 
 
 @pytest.fixture(scope="module")
