@@ -73,11 +73,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files of finished jobs only then (else every half hour, by spark.cleaner.periodicGC.interval)."""
+    spark._jvm.System.gc()
+
+
 def release(*written: DataFrame | None) -> None:
-    """Deletes the tables behind results of materialise() that nothing reads any more."""
+    """Deletes the tables behind results of materialise() that nothing reads any more, and shuffle files of finished jobs."""
     for df in written:
         path = getattr(df, "_graphloom_path", None)
         if path:
             fs, own = _filesystem(df.sparkSession, path)
             fs.delete(own, True)
             df._graphloom_path = None
+    for df in written[:1]:
+        if df is not None:
+            free_shuffles(df.sparkSession)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import session
 from graphloom.operators import kernels
 from graphloom.plans import iterate
 from graphloom.sources import tables
@@ -35,3 +36,26 @@ def test_a_balloon_reaches_the_end_of_a_long_path(spark):
     up = spark.range(210).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     path = materialise(up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1).cast("long")), "path")
     assert graph.balloon_clusters(path, 1).select("cid").distinct().count() == 1
+
+
+def test_released_tables_are_deleted(spark):
+    df = session.materialise(spark.range(3), "three")
+    path = df._graphloom_path
+    assert df.count() == 3 and not session.path_is_empty(spark, path)
+    session.release(df, None)
+    assert session.path_is_empty(spark, path)
+    session.release(df)  # once more does nothing
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Conf:
+        get = staticmethod(lambda name, other=None: other)
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(RuntimeError):
+        session.shared_path(Session, "any")
