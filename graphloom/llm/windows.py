@@ -42,7 +42,7 @@ from graphloom.llm.common import (
     unpack,
     word_bounds,
 )
-from graphloom.session import materialise, release
+from graphloom.session import free_shuffles, materialise, release
 
 #: Bytes of text worked on at once in numpy, those whose packed strings go out together, and those that an owner compares at once.
 CHUNK_BYTES, FLUSH_BYTES, PART_BYTES = 1 << 20, 8 << 20, 1 << 20
@@ -497,6 +497,7 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, gram: int, repeated:
     # rows of kind 0 are for documents' buckets and pass the owners of the others by
     minimisers = exchanged(own.mapInArrow(partial(_minimisers, **grams), _SENT_DDL), "kind", "bucket")
     shared = materialise(minimisers.mapInArrow(partial(_own_or_pass, own=_shared), _SENT_DDL), "shared")
+    free_shuffles(docs.sparkSession)
     texts = own.mapInArrow(partial(_texts, n_doc_buckets=n_doc_buckets), _SENT_DDL)
     strings = exchanged(shared.unionByName(texts), "bucket", "kind").mapInArrow(partial(_send, **grams), _SENT_DDL)
     owners = partial(_own, width=width, n_doc_buckets=n_doc_buckets, repeated=repeated)
