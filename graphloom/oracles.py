@@ -59,7 +59,7 @@ def _matching(rounds: int = 25) -> str:
     return ",\n".join(out) + "\nSELECT a, b FROM (" + " UNION ALL ".join(f"SELECT a, b FROM p{k}" for k in range(rounds)) + ")"
 
 
-def _mis2(rounds: int = 12) -> str:
+def _mis2(rounds: int = 24) -> str:
     out = ["c AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT DISTINCT src, src FROM e)", f"i0 AS MATERIALIZED (SELECT DISTINCT src AS id, {_p('src')} AS p, 0 AS state FROM e)"]
     for k in range(rounds):
         one = f"SELECT src AS id, max(t) AS t FROM c JOIN (SELECT id, {{'s': state, 'p': p, 'i': id}} AS t FROM i{k}) f ON c.dst = f.id GROUP BY 1"
