@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.priority import SALT, priority
 from graphloom.operators.graph import degrees, vertices_of
+from graphloom.plans.in_order import in_order, least_free_color, least_free_color_of_groups
 from graphloom.plans.iterate import fixpoint
 from graphloom.session import materialise, ship
 
@@ -36,7 +38,18 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coloring(edges: DataFrame, vertices: DataFrame | None = None, salt: str = SALT) -> DataFrame:
-    """id, color (from 0): in each round, uncoloured vertices before all uncoloured neighbours in (priority, id) take the least colour that no neighbour has."""
+    """id, color (from 0): in the order of (priority, id) each vertex takes the least colour that no neighbour has. In one task that streams the graph; in
+    rounds, which decide vertices before all uncoloured neighbours, where it has too many vertices for that."""
+    rows = edges.select(F.col("src").alias("id"), F.col("dst").alias("via"))
+    if vertices is not None:
+        own = vertices.select("id").distinct()
+        rows = rows.join(own, "id", "left_semi").join(own.select(F.col("id").alias("via")), "via", "left_semi").select("id", "via").unionByName(own.select("id", F.lit(None).cast("long").alias("via")))
+    done = in_order(rows, least_free_color, salt)
+    return coloring_by_rounds(edges, vertices, salt) if done is None else done.withColumnRenamed("value", "color")
+
+
+def coloring_by_rounds(edges: DataFrame, vertices: DataFrame | None = None, salt: str = SALT) -> DataFrame:
+    """The same: in each round, uncoloured vertices before all uncoloured neighbours in (priority, id) take the least colour that no neighbour has."""
     ids = (vertices_of(edges) if vertices is None else vertices).select("id")
     pairs = materialise(edges.select("src", "dst"), "pairs")
 
@@ -73,16 +86,22 @@ def two_hop(edges: DataFrame) -> DataFrame:
 
 
 def coloring2(edges: DataFrame, salt: str = SALT) -> DataFrame:
-    """A distance-2 colouring."""
-    return coloring(materialise(two_hop(edges), "two-hop"), vertices_of(edges), salt)
+    """A distance-2 colouring: vertices that share a closed neighbourhood differ. Pairs within two steps are formed only for rounds."""
+    done = in_order(edges.select(F.col("src").alias("id"), F.col("dst").alias("via")), partial(least_free_color_of_groups, closed=True), salt)
+    if done is not None:
+        return done.withColumnRenamed("value", "color")
+    return coloring_by_rounds(materialise(two_hop(edges), "two-hop"), vertices_of(edges), salt)
 
 
 def coloring_bipartite(entries: DataFrame, rows: bool = True, salt: str = SALT) -> DataFrame:
     """Colours of a matrix's rows (or columns) so that none that share a column (row) are alike."""
     a, via = ("i", "j") if rows else ("j", "i")
     own = entries.select(F.col(a).alias("src"), F.col(via).alias("via"))
+    done = in_order(own.withColumnRenamed("src", "id"), least_free_color_of_groups, salt, own_groups=False)
+    if done is not None:
+        return done.withColumnRenamed("value", "color")
     near = own.join(own.select(F.col("src").alias("dst"), "via"), "via").where("src <> dst").select("src", "dst").distinct().withColumn("w", F.lit(1).cast("long"))
-    return coloring(near, own.select(F.col("src").alias("id")).distinct(), salt)
+    return coloring_by_rounds(near, own.select(F.col("src").alias("id")).distinct(), salt)
 
 
 def conflicts(edges: DataFrame, colors: DataFrame) -> DataFrame:
