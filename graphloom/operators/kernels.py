@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.priority import SALT, priority
-from graphloom.operators.graph import degrees, vertices_of
+from graphloom.operators.graph import vertices_of
+from graphloom.operators.triangles import by_colors
 from graphloom.plans.in_order import in_order, least_free_color, least_free_color_of_groups
 from graphloom.plans.iterate import fixpoint
 from graphloom.session import materialise, ship
@@ -111,17 +112,17 @@ def conflicts(edges: DataFrame, colors: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """a, b, c of each triangle once. Edges point from the smaller (degree, id) to the larger, so hubs start few paths."""
-    deg = degrees(edges).select("id", "deg")
-    a, b = deg.select(F.col("id").alias("src"), F.col("deg").alias("ds")), deg.select(F.col("id").alias("dst"), F.col("deg").alias("dd"))
-    up = materialise(edges.join(a, "src").join(b, "dst").where("struct(ds, src) < struct(dd, dst)").select(F.col("src").alias("a"), F.col("dst").alias("b")), "oriented")
-    paths = up.join(up.select("a", F.col("b").alias("c")), "a").where("b <> c")
-    return paths.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
+    """a, b, c of each triangle once, by (degree, id)."""
+    found, ranks = by_colors(edges, "rows")
+    for c in "abc":
+        found = found.withColumnRenamed(c, "rank").join(ranks.withColumnRenamed("id", c), "rank").drop("rank")
+    return found.select("a", "b", "c")
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    return triangles(edges).agg(F.count("*").alias("cnt"))
+    return by_colors(edges, "count")[0].agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("cnt"))
 
 
 def triangles_per_vertex(edges: DataFrame) -> DataFrame:
-    return triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("cnt"))
+    found, ranks = by_colors(edges, "vertices")
+    return found.groupBy(F.col("a").alias("rank")).agg(F.sum("cnt").cast("long").alias("cnt")).join(ranks, "rank").select("id", "cnt")
