@@ -78,6 +78,13 @@ def normalised(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.join(least, group).withColumn("normal", F.col(value) / F.col("_least")).drop("_least")
 
 
+def rounded(column: str, digits: int) -> Column:
+    """A number rounded in binary, as SQL engines do it: scaled, rounded to a whole number, scaled back. Spark's own rounding takes the shortest decimal form, which
+    makes a tie of what lies just below one."""
+    scale = F.lit(float(10**digits))
+    return F.round(F.col(column) * scale, 0) / scale
+
+
 def run_experiments(commands: dict[str, list[str]], logs: str, timeout: int = 3600) -> dict[str, str]:
     """Runs each command whose log is missing; `done`, `kept`, `failed` or `timeout` by name."""
     out = {}

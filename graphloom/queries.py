@@ -926,7 +926,7 @@ def method_table(spark, sf_dir):
 
 @query
 def normalised_times(spark, sf_dir):
-    return experiments.normalised(_runs(spark, sf_dir).select("graph", "method", "run", "time"), "graph", "time").select("graph", "method", "run", "time", F.round("normal", 6).alias("normal"))
+    return experiments.normalised(_runs(spark, sf_dir).select("graph", "method", "run", "time"), "graph", "time").select("graph", "method", "run", "time", experiments.rounded("normal", 6).alias("normal"))
 
 
 @query
