@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact_dedup, packing, simhash, toxicity
+from graphloom.llm import decontam, exact_dedup, packing, similar, toxicity
 from graphloom.llm.common import NULL_ID, table
 from graphloom.session import materialise
 
@@ -56,9 +56,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near dedup (6): of each component of documents with a five-word similarity of 0.8 by wide fingerprints, the one with the smallest doc_id stays
-    (of equal or null ids the one with the smallest xxhash64 of the text). Texts without words are alike, so one of them stays."""
-    return _drop(docs, simhash.similar_components(docs).where(~F.col("kept")).select("doc_id", "text_key"), "near-copies")
+    """Near dedup (6): of each component of documents, linked by wide fingerprints (an estimate of the five-word similarity) or by a similarity of 0.8 and
+    more, the one with the smallest doc_id stays (of equal or null ids the one with the smallest xxhash64 of the text). No pair at 0.8 is missed. Texts
+    without words are alike, so one of them stays."""
+    return _drop(docs, similar.whole_components(docs).where(~F.col("kept")).select("doc_id", "text_key"), "near-copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

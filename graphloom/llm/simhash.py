@@ -52,7 +52,8 @@ _FACTORS = np.random.default_rng(5008).integers(0, 1 << 63, WIDE_WORDS, dtype=np
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 _PRINT = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64())])
-_WIDE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64()), ("bits", pa.binary())])
+_WIDE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64()), ("bits", pa.binary()), ("name", pa.int64())])
+_WIDE_DDL = "id long, key long, print long, bits binary, name long"
 _LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -138,10 +139,19 @@ def shingle_sets(texts: list[bytes], words: int = WIDE_SHINGLE) -> tuple[np.ndar
     return hashes[new], np.bincount(owner[new], minlength=len(texts))
 
 
+def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each set of shingle_sets()."""
+    ends = np.cumsum(sizes)
+    return np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes()) - (1 << 63) for a, b in zip((ends - sizes).tolist(), ends.tolist())], dtype=np.int64)
+
+
 def wide_prints(texts: list[bytes], words: int = WIDE_SHINGLE) -> np.ndarray:
     """The 512 majority bits of each text's set of shingles (rows of eight numbers; all zero for an empty set)."""
-    hashes, sizes = shingle_sets(texts, words)
-    out = np.zeros((len(texts), WIDE_WORDS), dtype=np.uint64)
+    return prints_of_sets(*shingle_sets(texts, words))
+
+
+def prints_of_sets(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sizes), WIDE_WORDS), dtype=np.uint64)
     if len(hashes):
         out[sizes > 0] = majority(np.stack([mix(hashes * f) for f in _FACTORS], axis=1), sizes[sizes > 0])
     return out
@@ -149,9 +159,9 @@ def wide_prints(texts: list[bytes], words: int = WIDE_SHINGLE) -> np.ndarray:
 
 def _wide(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for texts, cols in chunks(batches, CHUNK_BYTES):
-        prints = wide_prints(texts, words)
-        bits = [p.tobytes() for p in prints]
-        yield row_batch(_WIDE, cols["id"], cols["key"], [xxhash.xxh64_intdigest(x) - (1 << 63) for x in bits], bits)
+        sets = shingle_sets(texts, words)
+        bits = [p.tobytes() for p in prints_of_sets(*sets)]
+        yield row_batch(_WIDE, cols["id"], cols["key"], [xxhash.xxh64_intdigest(x) - (1 << 63) for x in bits], bits, set_names(*sets))
 
 
 def _field(prints: np.ndarray, first: int, width: int) -> np.ndarray:
@@ -261,8 +271,8 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
         yield row_batch(_LINK, *links_of(codes, names, np.stack(bits, axis=1) if more else names.view(np.uint64)[:, None], index))
 
 
-def _components(prints: DataFrame, index: Index) -> DataFrame:
-    """prints (written; id, key, print, for wide ones bits) with component, the smallest id reachable by links, and head_key, the smallest key of it."""
+def linked_groups(prints: DataFrame, index: Index) -> DataFrame:
+    """(print, first, label) of the distinct fingerprints of prints (written; id, key, print, for wide ones bits): the least (id, key) that has it, and its component."""
     more = [F.first("bits").alias("bits")] if index.words > 1 else []
     distinct = materialise(prints.groupBy("print").agg(F.min(F.struct("id", "key")).alias("first"), *more), "distinct-prints")
     row_bytes = 2 * len(index.segments) * (16 + 8 * index.words * (index.words > 1))
@@ -272,13 +282,19 @@ def _components(prints: DataFrame, index: Index) -> DataFrame:
     labels = star_components(links).withColumnRenamed("id", "print")
     group = materialise(distinct.join(labels, "print", "left").select("print", "first", F.coalesce("label", "print").alias("label")), "print-groups")
     release(distinct)
+    return group
+
+
+def headed(prints: DataFrame, group: DataFrame) -> DataFrame:
+    """prints with component, the smallest id of its group, and head_key, the smallest key of that id."""
     least = group.groupBy("label").agg(F.min("first").alias("head"))
     return prints.join(group.join(least, "label").select("print", F.col("head.id").alias("component"), F.col("head.key").alias("head_key")), "print")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) and text_key (xxhash64), one row for each row of docs."""
-    out = _components(materialise(fingerprints(docs), "fingerprints"), NARROW)
+    prints = materialise(fingerprints(docs), "fingerprints")
+    out = headed(prints, linked_groups(prints, NARROW))
     return out.select(real_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"), F.col("key").alias("text_key"))
 
 
@@ -287,7 +303,15 @@ def similar_components(docs: DataFrame, words: int = WIDE_SHINGLE, index: Index
 
     kept: whether the row's (doc_id, text_key) is the smallest of its component, so that also of equal or null ids one text stays.
     """
-    prints = keyed(docs).mapInArrow(partial(_wide, words=words), "id long, key long, print long, bits binary")
-    out = _components(materialise(prints, "wide-fingerprints"), index)
+    prints = wide_fingerprints(docs, words)
+    return kept_rows(headed(prints, linked_groups(prints, index)))
+
+
+def wide_fingerprints(docs: DataFrame, words: int = WIDE_SHINGLE) -> DataFrame:
+    """(id, key, print, bits, name) of each row, written: print names the wide fingerprint, name the set of shingles."""
+    return materialise(keyed(docs).mapInArrow(partial(_wide, words=words), _WIDE_DDL), "wide-fingerprints")
+
+
+def kept_rows(rows: DataFrame) -> DataFrame:
     kept = (F.col("id") == F.col("component")) & (F.col("key") == F.col("head_key"))
-    return out.select(real_id().alias("doc_id"), real_id("component").alias("component_id"), kept.alias("kept"), F.col("key").alias("text_key"))
+    return rows.select(real_id().alias("doc_id"), real_id("component").alias("component_id"), kept.alias("kept"), F.col("key").alias("text_key"))
