@@ -52,8 +52,8 @@ _FACTORS = np.random.default_rng(5008).integers(0, 1 << 63, WIDE_WORDS, dtype=np
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 _PRINT = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64())])
-_WIDE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64()), ("bits", pa.binary()), ("name", pa.int64())])
-_WIDE_DDL = "id long, key long, print long, bits binary, name long"
+_WIDE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("print", pa.int64()), ("bits", pa.binary()), ("name", pa.int64()), ("size", pa.int32()), ("parity", pa.binary())])
+_WIDE_DDL = "id long, key long, print long, bits binary, name long, size int, parity binary"
 _LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -145,6 +145,17 @@ def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes()) - (1 << 63) for a, b in zip((ends - sizes).tolist(), ends.tolist())], dtype=np.int64)
 
 
+def parities(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set of shingle_sets() whether an odd number of its hashes names a bit, by their low bits: a power of two of 64-bit words, of about a bit for each
+    hash. Two sets differ in at least as many hashes as these bits do."""
+    width = 64 << np.ceil(np.log2(np.maximum(1, sizes / 64))).astype(np.int64)
+    ends = np.cumsum(width)
+    at = np.repeat(ends - width, sizes) + (hashes & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(width.sum())).astype(np.uint8) & np.uint8(1)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip(((ends - width) // 8).tolist(), (ends // 8).tolist())]
+
+
 def wide_prints(texts: list[bytes], words: int = WIDE_SHINGLE) -> np.ndarray:
     """The 512 majority bits of each text's set of shingles (rows of eight numbers; all zero for an empty set)."""
     return prints_of_sets(*shingle_sets(texts, words))
@@ -157,11 +168,16 @@ def prints_of_sets(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_names(bits: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each wide fingerprint."""
+    return np.array([xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63) for p in bits], dtype=np.int64)
+
+
 def _wide(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for texts, cols in chunks(batches, CHUNK_BYTES):
         sets = shingle_sets(texts, words)
-        bits = [p.tobytes() for p in prints_of_sets(*sets)]
-        yield row_batch(_WIDE, cols["id"], cols["key"], [xxhash.xxh64_intdigest(x) - (1 << 63) for x in bits], bits, set_names(*sets))
+        bits = prints_of_sets(*sets)
+        yield row_batch(_WIDE, cols["id"], cols["key"], wide_names(bits), [p.tobytes() for p in bits], set_names(*sets), sets[1].astype(np.int32), parities(*sets))
 
 
 def _field(prints: np.ndarray, first: int, width: int) -> np.ndarray:
@@ -169,7 +185,7 @@ def _field(prints: np.ndarray, first: int, width: int) -> np.ndarray:
 
 
 def _halves(batches: Iterator[pa.RecordBatch], index: Index, n: int) -> Iterator[pa.RecordBatch]:
-    """A row for each half of each segment of each fingerprint, packed by the bucket that the half's place and value name."""
+    """A row for each half of each segment of each fingerprint, packed by the bucket that the half's place and value name. The owner knows the names of wide ones by their bits."""
     for b in batches:
         names = longs_of(b, "print")
         for at in range(0, len(names), 4096):
@@ -177,8 +193,8 @@ def _halves(batches: Iterator[pa.RecordBatch], index: Index, n: int) -> Iterator
             bits = np.frombuffer(b"".join(texts_of(b, "bits")[at : at + 4096]), np.uint64).reshape(len(own), -1) if index.words > 1 else own.view(np.uint64)[:, None]
             codes = np.concatenate([np.uint64(k << 32) | _field(bits, first, width) for k, (first, width, _, _) in enumerate(index.halves())])
             every = np.tile(np.arange(len(own)), len(index.halves()))
-            more = [np.ascontiguousarray(bits[every, w]) for w in range(index.words)] if index.words > 1 else []
-            yield from _dealt((mix(codes) % np.uint64(n)).astype(np.int64), 1, [codes, own[every], *more])
+            more = [np.ascontiguousarray(bits[every, w]) for w in range(index.words)] if index.words > 1 else [own[every]]
+            yield from _dealt((mix(codes) % np.uint64(n)).astype(np.int64), 1, [codes, *more])
 
 
 def _walk(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,17 +281,17 @@ def links_of(codes: np.ndarray, names: np.ndarray, bits: np.ndarray, index: Inde
 
 
 def _links(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    more = index.words if index.words > 1 else 0
     for _, _, rows in by_bucket(batches):
-        codes, names, *bits = (np.concatenate(x) for x in zip(*(unpack(payload, np.uint64, np.int64, *[np.uint64] * more)[: 2 + more] for payload in rows)))
-        yield row_batch(_LINK, *links_of(codes, names, np.stack(bits, axis=1) if more else names.view(np.uint64)[:, None], index))
+        codes, *bits = (np.concatenate(x) for x in zip(*(unpack(payload, *[np.uint64] * (1 + index.words))[:-1] for payload in rows)))
+        bits = np.stack(bits, axis=1)
+        yield row_batch(_LINK, *links_of(codes, wide_names(bits) if index.words > 1 else bits[:, 0].view(np.int64), bits, index))
 
 
 def linked_groups(prints: DataFrame, index: Index) -> DataFrame:
     """(print, first, label) of the distinct fingerprints of prints (written; id, key, print, for wide ones bits): the least (id, key) that has it, and its component."""
     more = [F.first("bits").alias("bits")] if index.words > 1 else []
     distinct = materialise(prints.groupBy("print").agg(F.min(F.struct("id", "key")).alias("first"), *more), "distinct-prints")
-    row_bytes = 2 * len(index.segments) * (16 + 8 * index.words * (index.words > 1))
+    row_bytes = 2 * len(index.segments) * (8 + 8 * index.words)
     n = max(shuffle_partitions(prints.sparkSession), -(-distinct.count() * row_bytes // BUCKET_BYTES))
     sent = distinct.select("print", *["bits"] * bool(more)).mapInArrow(partial(_halves, index=index, n=n), _SENT_DDL)
     links = dealt_to(sent, n).sortWithinPartitions("bucket", "kind").mapInArrow(partial(_links, index=index), "src long, dst long")
@@ -308,7 +324,7 @@ def similar_components(docs: DataFrame, words: int = WIDE_SHINGLE, index: Index
 
 
 def wide_fingerprints(docs: DataFrame, words: int = WIDE_SHINGLE) -> DataFrame:
-    """(id, key, print, bits, name) of each row, written: print names the wide fingerprint, name the set of shingles."""
+    """(id, key, print, bits, name, size, parity) of each row, written: print names the wide fingerprint, name the set of shingles."""
     return materialise(keyed(docs).mapInArrow(partial(_wide, words=words), _WIDE_DDL), "wide-fingerprints")
 
 

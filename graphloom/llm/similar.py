@@ -7,10 +7,12 @@ similarity is 0.8 or more, counted shingle by shingle. Sets of one component are
 No pair is missed: two sets of a and b shingles with a similarity of 0.8 share at least 4 (a + b) / 9 of them, which is no less than 4 a / 5. So, with all
 shingles in one order, the first a // 5 + 1 of one set and the first b // 5 + 1 of the other share one (the prefix filter). Any order is right;
 rare shingles come first, so that those of common lines are seldom among the first. How often a shingle occurs is counted over all rows in
-2^22 counters, which shingles share by their hashes. Of a set, the first shingles travel to the buckets that they name; those that several sets have come
-back with their sets' components; pairs of different ones, whose sizes and places leave room for enough shared shingles, are compared in full.
+2^22 counters, which shingles share by their hashes. Of a set, 32 bits of the first shingles travel to the buckets that they name; those that several sets have come
+back with their sets' components. Of pairs of different ones, whose sizes and places leave room for enough shared shingles, the parities are held against each
+other (`simhash.parities`): where more bits differ than shingles may, the pair is not similar. The others are compared in full; only their texts, and those
+that share a slot of a 1 MB bitmap with them, travel.
 
-Shingles and sets are told apart by 64-bit hashes. A shingle that is among the first of n sets of different components gives up to n^2 / 2 pairs of places in one
+Shingles and sets are told apart by 64-bit hashes; that buckets tell first shingles apart by fewer bits only makes more pairs to look at. A shingle that is among the first of n sets of different components gives up to n^2 / 2 pairs of places in one
 task. Defined results otherwise as in `simhash`.
 """
 
@@ -40,8 +42,11 @@ SENT_ROWS, HELD_ROWS = 1 << 18, 1 << 20
 #: Of larger groups one row at a time is compared with the others.
 BY_STEPS = 32
 
-#: Of a bucket's payload: shingle, name of the set, its size, the shingle's place in it.
-_FIRST = (np.uint64, np.int64, np.int32, np.int32)
+#: Slots of rows whose texts are needed, as a power of two; in one bitmap of bitmap_construct_agg().
+SLOT_BITS, BITMAP_SLOTS = 23, 1 << 15
+
+#: Of a bucket's payload: 32 bits of a shingle, name of the set, its size, the shingle's place in it.
+_FIRST = (np.uint32, np.int64, np.int32, np.int32)
 _RANKS = pa.schema([("slice", pa.int32()), ("total", pa.int64()), ("ranks", pa.binary())])
 _SHARED = pa.schema([("code", pa.int64()), ("name", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 _PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "label_a", "label_b")])
@@ -106,7 +111,8 @@ def _send(batches: Iterator[pa.RecordBatch], words: int, ranks: bytes, n: int) -
 
     def flush() -> Iterator[pa.RecordBatch]:
         codes, *more = (np.concatenate(x) for x in zip(*held))
-        yield from _dealt((codes % np.uint64(n)).astype(np.int64), 1, [codes, *more])
+        short = (codes >> np.uint64(32 - COUNTER_BITS)).astype(np.uint32)  # bits below the counter's, as first shingles have few of the counters
+        yield from _dealt((codes % np.uint64(n)).astype(np.int64), 1, [short, *more])
 
     for texts, _ in chunks(batches, CHUNK_BYTES, ()):
         hashes, sizes = shingle_sets(texts, words)
@@ -120,9 +126,9 @@ def _send(batches: Iterator[pa.RecordBatch], words: int, ranks: bytes, n: int) -
 
 
 def _once(held: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """The rows sorted by shingle and set, each once."""
+    """The rows sorted by shingle and set, each once, with the first place."""
     cols = [np.concatenate(x) for x in zip(*held)]
-    order = np.lexsort((cols[1], cols[0]))
+    order = np.lexsort((cols[3], cols[1], cols[0]))
     cols = [c[order] for c in cols]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
@@ -131,7 +137,7 @@ def _once(held: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of shingles that several sets have."""
-    for _, _, payloads in by_bucket(batches):
+    for bucket, _, payloads in by_bucket(batches):
         held, since = [], 0
         for payload in payloads:
             held.append(list(unpack(payload, *_FIRST)[:4]))
@@ -144,7 +150,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several[1:] = same
         several[:-1] |= same
         if several.any():
-            yield row_batch(_SHARED, codes[several].view(np.int64), *(c[several] for c in more))
+            yield row_batch(_SHARED, codes[several].astype(np.int64) | (bucket << 32), *(c[several] for c in more))
 
 
 def pairs_of(code: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -201,6 +207,56 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found([np.concatenate(x) for x in zip(*held)])
 
 
+def differing(a: bytes, b: bytes) -> int:
+    """Differing bits of two of simhash.parities(), the larger folded to the smaller."""
+    a, b = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose parities leave room for enough shared shingles."""
+    for b in batches:
+        size_a, size_b = longs_of(b, "size_a").astype(np.int64), longs_of(b, "size_b").astype(np.int64)
+        apart = np.array([differing(x, y) for x, y in zip(texts_of(b, "parity_a"), texts_of(b, "parity_b"))], dtype=np.int64)
+        own = enough((size_a + size_b - apart) // 2, size_a, size_b)
+        yield row_batch(_PAIR, *(longs_of(b, c)[own] for c in ("a", "b", "label_a", "label_b")))
+
+
+def possible_pairs(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs that may have the least similarity, by the sizes and parities of their sets."""
+    needed = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    sets = prints.select("name", "size", "parity").join(needed, "name", "left_semi").dropDuplicates(["name"])
+    sets = materialise(sets, "parities")
+    both = pairs.join(sets.toDF("a", "size_a", "parity_a"), "a").join(sets.toDF("b", "size_b", "parity_b"), "b")
+    out = materialise(both.mapInArrow(_possible, "a long, b long, label_a long, label_b long"), "possible-pairs")
+    release(sets)
+    return out
+
+
+def _slot():
+    """The slot of a row (id, key), from 1."""
+    return F.xxhash64("id", "key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) + F.lit(1)
+
+
+def _sieve(batches: Iterator[pa.RecordBatch], slots: bytes) -> Iterator[pa.RecordBatch]:
+    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(slots), np.uint8)
+    for b in batches:
+        at = longs_of(b, "slot") - 1
+        own = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if len(own):
+            yield b.take(pa.array(own)).select(["id", "key", "text"])
+
+
+def near_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of texts (id, key, text) that share a slot with one of rows: all of rows, and of n others about n * count(rows) / 2^23."""
+    slots = np.zeros(1 << SLOT_BITS >> 3, dtype=np.uint8)
+    parts = rows.select(_slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    for r in parts.collect():  # at most 2^SLOT_BITS bits
+        at = (r["part"] - 1) * BITMAP_SLOTS // 8
+        slots[at : at + BITMAP_SLOTS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return texts.withColumn("slot", _slot()).mapInArrow(partial(_sieve, slots=zstandard.ZstdCompressor(level=3).compress(slots.tobytes())), "id long, key long, text string")
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for texts, cols in chunks(batches, CHUNK_BYTES, ("name",)):
         hashes, sizes = shingle_sets(texts, words)
@@ -222,20 +278,22 @@ def links_between(docs: DataFrame, prints: DataFrame, group: DataFrame, words: i
     """(src, dst): labels of group (of linked_groups()) that a pair of sets with the least similarity joins; None if no pair comes near it."""
     texts = keyed(docs)
     ranks, total = ranks_of(texts, words)
-    n = max(shuffle_partitions(docs.sparkSession), -(-total * 24 // (DENOMINATOR * BUCKET_BYTES)))
+    n = max(shuffle_partitions(docs.sparkSession), -(-total * 20 // (DENOMINATOR * BUCKET_BYTES)))
     sent = texts.mapInArrow(partial(_send, words=words, ranks=zstandard.ZstdCompressor(level=3).compress(ranks.tobytes()), n=n), _SENT_DDL)
     shared = dealt_to(sent, n).sortWithinPartitions("bucket", "kind").mapInArrow(_shared, "code long, name long, size int, place int")
     shared = materialise(shared, "shared-shingles")
     labels = prints.select("name", "print").distinct().join(group.select("print", "label"), "print").select("name", "label")
     near = shared.join(labels, "name").repartition(shuffle_partitions(docs.sparkSession), "code").sortWithinPartitions("code", "size")
-    pairs = materialise(near.mapInArrow(_pairs, "a long, b long, label_a long, label_b long").distinct(), "similar-pairs")
+    met = materialise(near.mapInArrow(_pairs, "a long, b long, label_a long, label_b long").distinct(), "similar-pairs")
     release(shared)
+    pairs = possible_pairs(met, prints)
+    release(met)
     if pairs.isEmpty():
         return None
     needed = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     rows = prints.join(needed, "name", "left_semi").groupBy("name").agg(F.min(F.struct("id", "key")).alias("row"))
     rows = materialise(rows.select("name", "row.id", "row.key"), "similar-rows")
-    sets = texts.join(rows, ["id", "key"]).select("name", "text").mapInArrow(partial(_sets, words=words), "name long, hashes binary").dropDuplicates(["name"])
+    sets = near_rows(texts, rows).join(rows, ["id", "key"]).select("name", "text").mapInArrow(partial(_sets, words=words), "name long, hashes binary").dropDuplicates(["name"])
     sets = materialise(sets, "similar-sets")
     both = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b")
     return both.select("label_a", "label_b", "hashes_a", "hashes_b").mapInArrow(_compared, "src long, dst long")

@@ -8,6 +8,8 @@ from test_near_stage import shingles, similarity
 
 import corpus_pipeline as p
 from graphloom.llm import similar, simhash
+from graphloom.llm.common import keyed
+from graphloom.session import materialise
 
 
 def near_the_least():
@@ -93,3 +95,32 @@ def test_pairs_of_large_groups():
     batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in part.T], names=list(kinds)) for part in np.array_split(rows, 7)]
     got = [tuple(r.values()) for b in similar._pairs(iter(batches)) for r in b.to_pylist()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_parities_bound_what_differs():
+    """Never more bits than hashes differ, whatever the sizes; sets of one size that share half are told apart by them."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 60, 64, 65, 100, 128, 129, 490, 3000):
+        pool = rng.integers(0, 1 << 64, 3 * n, dtype=np.uint64)
+        for a, b, shared in ((n, n, n), (n, n, n // 2), (n, n * 5 // 4, n), (n, n, n * 8 // 9), (n, 0, 0)):
+            sets = [np.sort(pool[:a]), np.sort(pool[a - shared : a - shared + b])]
+            one, two = simhash.parities(np.concatenate(sets), np.array([a, b]))
+            apart = similar.differing(one, two)
+            assert apart == similar.differing(two, one) <= len(np.setxor1d(*sets))
+            if n >= 60 and shared == n // 2:
+                assert not similar.enough((a + b - apart) // 2, a, b)
+
+
+def test_texts_travel_for_possible_pairs_only(spark):
+    """Texts that share a passage of a third, so that they meet by first shingles, are told apart without their texts."""
+    rng, rows = random.Random(7), []
+    for k in range(60):
+        common = [f"c{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * k + e, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(200)])) for e in (0, 1)]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"), "third")
+    prints = simhash.wide_fingerprints(docs)
+    assert similar.links_between(docs, prints, simhash.linked_groups(prints, simhash.WIDE)) is None
+    texts = keyed(docs)
+    some = texts.where("id % 40 = 3").select("id", "key")
+    assert {r["id"]: r["text"] for r in similar.near_rows(texts, some).collect()} == {i: t for i, t in rows if i % 40 == 3}
+    assert similar.near_rows(texts, some.limit(0)).isEmpty()
