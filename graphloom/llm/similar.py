@@ -50,7 +50,7 @@ _FIRST = (np.uint32, np.int64, np.int32, np.int32)
 _RANKS = pa.schema([("slice", pa.int32()), ("total", pa.int64()), ("ranks", pa.binary())])
 _SHARED = pa.schema([("code", pa.int64()), ("name", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 _PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "label_a", "label_b")])
-_SET = pa.schema([("name", pa.int64()), ("hashes", pa.binary())])
+_SET = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("hashes", pa.binary())])
 _LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -238,29 +238,30 @@ def _slot():
     return F.xxhash64("id", "key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) + F.lit(1)
 
 
-def _sieve(batches: Iterator[pa.RecordBatch], slots: bytes) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int, slots: bytes) -> Iterator[pa.RecordBatch]:
     held = np.frombuffer(zstandard.ZstdDecompressor().decompress(slots), np.uint8)
-    for b in batches:
-        at = longs_of(b, "slot") - 1
-        own = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-        if len(own):
-            yield b.take(pa.array(own)).select(["id", "key", "text"])
+
+    def needed() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = longs_of(b, "slot") - 1
+            own = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if len(own):
+                yield b.take(pa.array(own))
+
+    for texts, cols in chunks(needed(), CHUNK_BYTES):
+        hashes, sizes = shingle_sets(texts, words)
+        yield row_batch(_SET, cols["id"], cols["key"], [x.tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])])
 
 
-def near_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of texts (id, key, text) that share a slot with one of rows: all of rows, and of n others about n * count(rows) / 2^23."""
+def sets_near(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(id, key, hashes) of the texts that share a slot with one of rows: all of rows, and of n others about n * count(rows) / 2^23."""
     slots = np.zeros(1 << SLOT_BITS >> 3, dtype=np.uint8)
     parts = rows.select(_slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     for r in parts.collect():  # at most 2^SLOT_BITS bits
         at = (r["part"] - 1) * BITMAP_SLOTS // 8
         slots[at : at + BITMAP_SLOTS // 8] = np.frombuffer(r["bits"], np.uint8)
-    return texts.withColumn("slot", _slot()).mapInArrow(partial(_sieve, slots=zstandard.ZstdCompressor(level=3).compress(slots.tobytes())), "id long, key long, text string")
-
-
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for texts, cols in chunks(batches, CHUNK_BYTES, ("name",)):
-        hashes, sizes = shingle_sets(texts, words)
-        yield row_batch(_SET, cols["name"], [x.tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])])
+    packed = zstandard.ZstdCompressor(level=3).compress(slots.tobytes())
+    return texts.withColumn("slot", _slot()).mapInArrow(partial(_sets, words=words, slots=packed), "id long, key long, hashes binary")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +294,7 @@ def links_between(docs: DataFrame, prints: DataFrame, group: DataFrame, words: i
     needed = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     rows = prints.join(needed, "name", "left_semi").groupBy("name").agg(F.min(F.struct("id", "key")).alias("row"))
     rows = materialise(rows.select("name", "row.id", "row.key"), "similar-rows")
-    sets = near_rows(texts, rows).join(rows, ["id", "key"]).select("name", "text").mapInArrow(partial(_sets, words=words), "name long, hashes binary").dropDuplicates(["name"])
+    sets = sets_near(texts, rows, words).join(rows, ["id", "key"]).select("name", "hashes").dropDuplicates(["name"])
     sets = materialise(sets, "similar-sets")
     both = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b")
     return both.select("label_a", "label_b", "hashes_a", "hashes_b").mapInArrow(_compared, "src long, dst long")

@@ -122,5 +122,6 @@ def test_texts_travel_for_possible_pairs_only(spark):
     assert similar.links_between(docs, prints, simhash.linked_groups(prints, simhash.WIDE)) is None
     texts = keyed(docs)
     some = texts.where("id % 40 = 3").select("id", "key")
-    assert {r["id"]: r["text"] for r in similar.near_rows(texts, some).collect()} == {i: t for i, t in rows if i % 40 == 3}
-    assert similar.near_rows(texts, some.limit(0)).isEmpty()
+    got = {r["id"]: bytes(r["hashes"]) for r in similar.sets_near(texts, some, 5).collect()}
+    assert got == {i: simhash.shingle_sets([t.encode()])[0].tobytes() for i, t in rows if i % 40 == 3}
+    assert similar.sets_near(texts, some.limit(0), 5).isEmpty()
